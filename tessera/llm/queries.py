@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe_codec import round_trip
+from tessera.llm.decontamination import find_leaks
+from tessera.llm.jaccard_join import classes_of
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.storage import table
 from tessera.llm.token_counts import count_tokens
@@ -34,6 +36,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes_of(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -42,6 +52,8 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
 
