@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.bpe_codec import round_trip
 from tessera.llm.decontamination import find_leaks
@@ -12,6 +13,7 @@ from tessera.llm.jaccard_join import classes_of
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.storage import table
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.toxicity import fit, score
 from tessera.llm.url_filter import LISTED, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +26,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "neighbours")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,6 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_sharding": op5_sharding,
