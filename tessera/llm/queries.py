@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe_codec import round_trip
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.jaccard_join import classes_of
+from tessera.llm.pii import digest, find
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.storage import table
 from tessera.llm.token_counts import count_tokens
@@ -26,6 +27,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
