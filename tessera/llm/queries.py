@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe_codec import round_trip
 from tessera.llm.decontamination import find_leaks
+from tessera.llm.hamming_search import search, sign_code
 from tessera.llm.jaccard_join import classes_of
+from tessera.llm.lm_scoring import score as lm_score
 from tessera.llm.pii import digest, find
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.storage import table
@@ -58,6 +60,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes_of(table(spark, sf_dir, "documents"))
 
 
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code"))
+    return search(codes, codes.where(F.col("vec_id") % 100 == 0))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -70,6 +81,8 @@ QUERIES: dict[str, Query] = {
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_hamming_search": op8_hamming_search,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -77,6 +90,13 @@ _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_hamming_search": """
+        WITH d AS (
+          SELECT a.vec_id AS query_id, b.vec_id,
+                 CAST(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+          FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
+        SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10""",
     "op10_url_filter": rf"""
         WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
         k AS (
