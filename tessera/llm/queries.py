@@ -121,3 +121,12 @@ ORACLE_SQL: dict[str, str] = {
                listed
         FROM r""",
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
