@@ -1,4 +1,6 @@
-"""Registered queries over the reference tables and their SQL."""
+"""Registered queries over the star, event and document tables, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.queries.registry import ORACLE_SQL, QUERIES
+from tessera.queries import evaluation, lookup, plans, relational, requests, retrieval, streams, texts  # noqa: F401, E402
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
