@@ -87,7 +87,7 @@ def rules_extract(t):
 
 
 @query("""
-  WITH g AS (SELECT o_custkey, o_orderkey, list(l_partkey ORDER BY l_linenumber) AS steps FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey)
+  WITH g AS (SELECT o_custkey, o_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS steps FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey)
   SELECT o_custkey, CAST(to_json(list({'no': o_orderkey, 'steps': steps} ORDER BY o_orderkey)) AS VARCHAR) AS plan FROM g GROUP BY o_custkey""")
 def compile_plan(t):
     """Lines under orders under customers, nested in order and written as JSON."""
