@@ -157,3 +157,44 @@ def test_order_of_input_does_not_matter(spark):
     q = retrieval.query_terms(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"), "item_id", "text")
     run = lambda d: sorted(map(tuple, retrieval.bm25(retrieval.postings(d, "doc_id", {"text": 1}), "doc_id", q, "item_id", 5).collect()))
     assert run(docs) == run(docs.orderBy(F.rand(7)).repartition(7))
+
+
+from tessera.functions import steps as S  # noqa: E402
+
+
+@pytest.mark.parametrize(
+    "text, yes",
+    [("First, please carefully inspect the port.", True), ("If it is slow, restart the phone.", True), ("The data is lost.", False), ("You can try another charger.", True), ("", False)],
+)
+def test_instructions(spark, text, yes):
+    assert one(spark, S.is_instruction(F.col("t")), t=text) is yes
+
+
+def test_steps_and_paths(spark):
+    text = "Go to Settings, tap Display, and then tap Navigation bar."
+    assert one(spark, S.steps(F.col("t")), t=text) == ["Go to Settings", "tap Display", "tap Navigation bar"]
+    assert one(spark, S.steps(F.col("t")), t="If it fails, tap Retry.") == ["If it fails, tap Retry."]
+    assert one(spark, S.screen_path(F.col("t")), t=text) == "Settings > Display > Navigation bar"
+    assert one(spark, S.screen_path(F.col("t")), t="Open Settings, tap Reset, tap OK.") == "Settings > Reset"
+    assert one(spark, S.screen_path(F.col("t")), t="Tap Display.") is None
+
+
+@pytest.mark.parametrize("text, path, verb", [("Turn on Wi-Fi", "Settings > Wi-Fi", "enable"), ("Restart the phone", None, "restart"), ("Contact a service center", None, "visit"), ("Tap Display", "Settings > Display", "open"), ("Wait", None, None)])
+def test_verb_class(spark, text, path, verb):
+    df = spark.createDataFrame([(text, path)], "t string, p string")
+    assert df.select(S.verb_class(F.col("t"), F.col("p")).alias("x")).first().x == verb
+
+
+@pytest.mark.parametrize("raw, short", [("The Black Screen of the Phone", "Black screen phone"), ("battery", "Battery issue"), ("", "Troubleshooting issue")])
+def test_titles(spark, raw, short):
+    assert one(spark, S.title(F.col("t")), t=raw) == short
+
+
+def test_descriptions_goals_and_lists(spark):
+    assert one(spark, S.description(F.col("t")), t="It will restore the normal state of the screen") == "It will restore the normal state"
+    assert one(spark, S.description(F.col("t")), t="") == "It will help resolve this issue"
+    assert one(spark, S.goal(F.col("t")), t="wi-fi Troubleshooting Guide") == "Follow these steps to perform this Wi-fi Troubleshooting."
+    assert one(spark, S.unlisted(F.col("t")), t='1. "a b"\n2. "c"') == "a b c"
+    assert one(spark, S.rendered("x {{a}} {{b}}", {"a": F.col("t")}), t="1") == "x 1 {{b}}"
+    assert one(spark, S.catalog_name(F.col("t")), t="Opens the Dark mode settings page.") == "Dark mode"
+    assert one(spark, S.polarity(F.col("a"), F.col("b")), a="x", b=" OnURL ") == "onURL"
