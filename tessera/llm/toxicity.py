@@ -20,7 +20,6 @@ the largest weights as bounds, vote with the square of their cosine.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 
@@ -33,7 +32,7 @@ from tessera.llm.batches import slices
 
 SAMPLE = 6_000  # training rows of each label
 VOCABULARY = 2_048
-LEAST_CHI2 = 30.0
+LEAST_CHI2 = 30.0  # of a term, and one more for each 250 examples
 K = 15
 BLOCK = 32
 PRIOR_WEIGHT = 0.3
@@ -96,54 +95,56 @@ class Vectors:
 
 
 class BlockMaxIndex:
-    """Exact top-k by cosine over a bounded set of entries."""
+    """Exact top-k by cosine over a bounded set of entries.
+
+    Every list knows the largest weight of each block of entries that it
+    touches.  A query adds these up to a bound for each block, scores the blocks
+    with the largest bounds, and then only those whose bound reaches the k-th
+    cosine found.
+    """
+
+    FIRST = 8  # blocks that are scored before the k-th cosine is known
 
     def __init__(self, units: list[dict[int, float]]):
-        self.lists: dict[int, tuple] = {}
         by_term: dict[int, list[tuple[int, float]]] = {}
         for e, unit in enumerate(units):
             for t, v in unit.items():
                 by_term.setdefault(t, []).append((e, v))
-        self.units = units
+        self.lists: dict[int, tuple] = {}
         for t, posts in by_term.items():
             e = np.array([p[0] for p in posts], np.int64)  # ascending
             v = np.array([p[1] for p in posts])
-            block = e // BLOCK
-            edges = np.flatnonzero(np.diff(block, prepend=-1))
-            self.lists[t] = (block[edges], np.maximum.reduceat(v, edges), e, v, np.append(edges, len(e)))
+            edges = np.flatnonzero(np.diff(e // BLOCK, prepend=-1))
+            self.lists[t] = (e[edges] // BLOCK, np.maximum.reduceat(v, edges), e, v)
         self.blocks = -(-len(units) // BLOCK)
 
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` entries with the largest cosine, ties by entry, all above 0; ``skip`` is left out.
-
-        Blocks are opened in the order of their bounds, until no bound reaches the
-        k-th cosine found.
-        """
+    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        """The ``k`` entries with the largest cosine, all above 0, ties by entry."""
         asked = [(v, self.lists[t]) for t, v in query.items() if t in self.lists]
         if not asked:
             return []
-        bound = np.zeros(self.blocks)
-        for v, (block, most, *_) in asked:
-            bound[block] += v * most
-        best: list[tuple[float, int]] = []  # a heap of (cosine, -entry)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-9:
-                break
-            total = np.zeros(BLOCK)
-            for v, (block, _, e, weight, edges) in asked:
-                at = np.searchsorted(block, b)
-                if at < len(block) and block[at] == b:
-                    part = slice(edges[at], edges[at + 1])
-                    total[e[part] - b * BLOCK] += v * weight[part]
-            for j in np.flatnonzero(total > 0).tolist():
-                entry = b * BLOCK + j
-                if entry != skip:
-                    item = (round(float(total[j]), 9), -entry)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-        return [(c, -e) for c, e in sorted(best, reverse=True)]
+        block = np.concatenate([x[0] for _, x in asked])
+        bound = np.bincount(block, np.concatenate([v * x[1] for v, x in asked]), self.blocks)
+        e = np.concatenate([x[2] for _, x in asked])
+        w = np.concatenate([v * x[3] for v, x in asked])
+
+        def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            part = chosen[e // BLOCK]
+            total = np.bincount(e[part], w[part], self.blocks * BLOCK)
+            found = np.flatnonzero(total)
+            return found, np.round(total[found], 9)
+
+        chosen = np.zeros(self.blocks, bool)
+        first = min(self.FIRST, self.blocks)
+        chosen[np.argpartition(-bound, first - 1)[:first]] = True
+        found, cosine = scored(chosen)
+        kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+        rest = (bound >= kth - 1e-8) & (bound > 0) & ~chosen
+        if rest.any():
+            more, there = scored(rest)
+            found, cosine = np.append(found, more), np.append(cosine, there)
+        order = np.lexsort((found, -cosine))[:k]
+        return list(zip(cosine[order].tolist(), found[order].tolist()))
 
 
 class Model:
@@ -246,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     chi2 = F.lit(float(all_n)) * F.pow(a * d - b * c, F.lit(2)) / F.greatest((a + b) * (c + d) * F.lit(float(max(1, n[0]))) * F.lit(float(max(1, n[1]))), F.lit(1e-9))
     terms = (
         examples.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where("clean + toxic >= 3").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
+        .where("clean + toxic >= 3").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2 + all_n / 250).orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
     )
     names = [t.term for t in terms]
     idf = [math.log((1 + all_n) / (1 + t.clean + t.toxic)) + 1 for t in terms]
