@@ -175,9 +175,9 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             counts.withColumn("all", F.sum("n").over(total)).where("kind IS NOT NULL").withColumn("share", F.col("n") / F.col("all"))
             .where((F.col("n") >= LEAST_SEEDS) & (F.col("share") >= LEAST_SHARE)).select("pattern", "kind", "share", F.log2("n").alias("weight"))
         )
-        if patterns is not None:
-            patterns.drop()
-        patterns = materialise(best, "pii-patterns")
+        before, patterns = patterns, materialise(best, "pii-patterns")
+        if before is not None:
+            before.drop()
         if patterns.df.isEmpty():
             break
         # an instance is known once confident patterns of one kind speak for it
