@@ -18,7 +18,11 @@ leader, instead of pairwise; what links is merged into components.  Only lists
 that still hold several components are looked at again, with another leader, and
 at last with every pair across components, so no link between components is
 lost, while a group of thousands of near copies costs a few comparisons each.
-All comparisons are exact.
+Pairs are first held against bit sketches: the parities of a set's hashes in a
+power of two of buckets.  Each shingle that only one of two sets has flips one
+bit, so the number of unlike bits is a lower bound of their difference, and a
+pair beyond the difference that a link allows is dropped without its sets.
+Pairs that pass are compared exactly.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ HOT_ROWS = 1 << 15  # counts sent on from each of these windows
 LIGHT_MOST = 12
 SCAN_COST = 4  # a scanned entry costs so many enumerated ones
 FILTER_BITS = 1 << 23
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 SPLIT_LEAST = 2048  # lists of shingles that so many sets share are dealt over parts
 PARTS = 64
 
@@ -99,8 +103,25 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of a set's hashes in at least twice as many buckets."""
+    size = 1 << min(17, max(8, (2 * len(found)).bit_length()))
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def unlike(x: bytes, y: bytes) -> int:
+    """Unlike bits of two sketches, the larger one folded to the size of the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> Stored:
-    """One pass over the texts: a row of kind 0 for each (k: id, fp, n: set size), and
+    """One pass over the texts: a row of kind 0 for each (k: id, fp, n: set size, sketch), and
     rows of kind 1 for shingles that recur (k: shingle, n: sets that hold it)."""
 
     def run(batches):
@@ -112,18 +133,19 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> Stored:
             if len(some) > HOT_ROWS:
                 some = some[np.argpartition(-n[some], HOT_ROWS)[:HOT_ROWS]]
             m = len(some)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), signed(h[some]), pa.array(np.zeros(m, np.int64)), pa.array(n[some].astype(np.int64))], ["kind", "k", "fp", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), signed(h[some]), pa.array(np.zeros(m, np.int64)), pa.array(n[some].astype(np.int64)), pa.nulls(m, pa.binary())], ["kind", "k", "fp", "n", "sketch"])
 
         for part in slices(batches, "text"):
-            fps, sizes = [], []
+            fps, sizes, bits = [], [], []
             for found in shingles(part.column("text")):
                 s = _set(found)
                 fps.append(_long(_print(s)))
                 sizes.append(len(s))
+                bits.append(sketch(s))
                 held.append(s)
                 count += len(s)
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), part.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "k", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), part.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["kind", "k", "fp", "n", "sketch"])
             if count >= HOT_WINDOW:
                 yield recurring()
                 held, count = [], 0
@@ -131,7 +153,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> Stored:
             yield recurring()
 
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialise(only.mapInArrow(run, "kind byte, k long, fp long, n long"), "sets")
+    return materialise(only.mapInArrow(run, "kind byte, k long, fp long, n long, sketch binary"), "sets")
 
 
 def _hot(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -285,6 +307,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sketches allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("n").to_pylist())
+            keep = pa.array([7 * unlike(x, y) <= n for x, y, n in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+
+    x = classes.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    y = classes.select(F.col("fp").alias("b"), F.col("n").alias("n"), F.col("sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("n")).mapInArrow(run, "a long, b long")
+
+
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -300,50 +336,62 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scan = _scan(docs, id_col, text_col)
     rows = scan.df.where("kind = 0").select(F.col("k").alias("doc_id"), "fp", "n")
-    classes = rows.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    grouped = rows.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    sketches = scan.df.where("kind = 0 AND n > 0").select("fp", "n", "sketch").dropDuplicates(["fp"])
+    classes = materialise(grouped, "classes").df
     sizes = {r.n: r.c for r in classes.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
     lists = materialise(_lists(_keys(docs, light_boundary(sizes), _hot(scan.df), id_col, text_col)), "lists")
-
-    tried = materialise(lists.df.where((F.col("fp") != F.col("lead")) & _possible("n", "lead_n")).select(*_pair("fp", "lead")).distinct(), "pairs")
-    wanted = lists.df.select("fp").unionAll(lists.df.select(F.col("lead").alias("fp"))).distinct()
-    sets = _sets_of(docs, wanted, id_col, text_col)
-    done = [materialise(_verified(tried.df, sets.df), "verified")]
-    tried.drop()
-
     entries = lists.df.select("key", "fp", "n").unionAll(lists.df.select("key", F.col("lead").alias("fp"), F.col("lead_n").alias("n"))).distinct()
-    roots = None
+    tried, links, sets, temporary = [], [], [], [lists]
+
+    def compare(pairs: DataFrame) -> bool:
+        """Compare pairs that have not been compared; whether any are linked."""
+        for old in tried:
+            pairs = pairs.join(old.df, ["a", "b"], "left_anti")
+        new = materialise(pairs.distinct(), "pairs")
+        tried.append(new)
+        if new.df.isEmpty():
+            return False
+        likely = materialise(_plausible(new.df, sketches), "likely")
+        temporary.append(likely)
+        if likely.df.isEmpty():
+            return False
+        wanted = likely.df.select(F.col("a").alias("fp")).unionAll(likely.df.select(F.col("b").alias("fp"))).distinct()
+        for old in sets:
+            wanted = wanted.join(old.df, "fp", "left_anti")
+        if not wanted.isEmpty():
+            sets.append(_sets_of(docs, wanted, id_col, text_col))
+        items = sets[0].df
+        for more in sets[1:]:
+            items = items.unionAll(more.df)
+        links.append(materialise(_verified(likely.df, items).where("linked").select("a", "b"), "links"))
+        return not links[-1].df.isEmpty()
+
+    def merged():
+        found = None
+        for part in links:
+            found = part.df if found is None else found.unionAll(part.df)
+        return components(found if found is not None else tried[0].df.limit(0))
+
+    compare(lists.df.where((F.col("fp") != F.col("lead")) & _possible("n", "lead_n")).select(*_pair("fp", "lead")))
+    roots, rest = merged(), None
     for turn in range(LEADER_ROUNDS + 1):
-        verified = done[0].df
-        for more in done[1:]:
-            verified = verified.unionAll(more.df)
-        if roots is not None:
-            roots.drop()
-        roots = components(verified.where("linked").select("a", "b"))
-        marked = entries.join(roots.df.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-        rest = materialise(marked.join(mixed, "key", "left_semi"), "mixed")
+        if rest is None:
+            marked = entries.join(roots.df.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+            mixed = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+            rest = materialise(marked.join(mixed, "key", "left_semi"), "mixed")
         if turn < LEADER_ROUNDS:
-            chosen = rest.df.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), "fp", "n", "root")).alias("l")).select("key", F.col("l.fp").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.root").alias("lead_root"))
-            pairs = rest.df.join(chosen, "key").where((F.col("root") != F.col("lead_root")) & _possible("n", "lead_n")).select(*_pair("fp", "lead"))
+            other = rest.df.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), "fp", "n", "root")).alias("l")).select("key", F.col("l.fp").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.root").alias("lead_root"))
         else:
             other = rest.df.select("key", F.col("fp").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
-            pairs = rest.df.join(other, "key").where((F.col("fp") < F.col("lead")) & (F.col("root") != F.col("lead_root")) & _possible("n", "lead_n")).select(*_pair("fp", "lead"))
-        new = materialise(pairs.distinct().join(verified, ["a", "b"], "left_anti"), "pairs")
-        rest.drop()
-        if new.df.isEmpty():
-            new.drop()
-            break
-        done.append(materialise(_verified(new.df, sets.df), "verified"))
-        new.drop()
-    else:
-        verified = done[0].df
-        for more in done[1:]:
-            verified = verified.unionAll(more.df)
-        roots.drop()
-        roots = components(verified.where("linked").select("a", "b"))
-    sets.drop()
-    lists.drop()
-    for x in done:
+        pairs = rest.df.join(other, "key").where((F.col("root") != F.col("lead_root")) & _possible("n", "lead_n"))
+        if turn == LEADER_ROUNDS:
+            pairs = pairs.where(F.col("fp") < F.col("lead"))
+        if compare(pairs.select(*_pair("fp", "lead"))):
+            rest.drop()
+            roots.drop()
+            roots, rest = merged(), None
+    for x in (*tried, *links, *sets, *temporary):
         x.drop()
 
     named = classes.join(roots.df.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
