@@ -39,10 +39,10 @@ from tessera.llm.components import components
 from tessera.llm.shingles import FOLD, mix, shingles, signed
 from tessera.llm.storage import Stored, materialise
 
-HOT_KEPT = 1 << 17  # shared shingles whose counts order the prefixes
-HOT_LEAST = 16
-HOT_WINDOW = 1 << 20  # shingles counted together in a task
-HOT_ROWS = 1 << 15  # counts sent on from each of these windows
+HOT_KEPT = 1 << 18  # shared shingles whose counts order the prefixes
+HOT_LEAST = 8
+HOT_WINDOW = 1 << 21  # shingles counted together in a task
+HOT_ROWS = 1 << 17  # counts sent on from each of these windows
 LIGHT_MOST = 12
 SCAN_COST = 4  # a scanned entry costs so many enumerated ones
 FILTER_BITS = 1 << 23
@@ -165,7 +165,10 @@ def _hot(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(docs: DataFrame, boundary: int, hot, id_col: str, text_col: str) -> DataFrame:
-    """``key, part, fp, n``: what each set is entered under; part -1 is a whole list."""
+    """``key, part, fp, n, pos``: what each set is entered under; part -1 is a whole list.
+
+    ``pos`` is the shingle's place in the order of all sets, 0 for subsets.
+    """
     share = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -173,7 +176,7 @@ def _keys(docs: DataFrame, boundary: int, hot, id_col: str, text_col: str) -> Da
         seen: set[int] = set()
         with np.errstate(over="ignore"):
             for part in slices(batches, "text"):
-                keys, parts, fps, sizes = [], [], [], []
+                keys, parts, fps, sizes, places = [], [], [], [], []
                 for found in shingles(part.column("text")):
                     s = _set(found)
                     n = len(s)
@@ -185,7 +188,7 @@ def _keys(docs: DataFrame, boundary: int, hot, id_col: str, text_col: str) -> Da
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(fp)
-                    own, dealt = [], []
+                    own, dealt, at_place = [], [], []
                     if n > boundary:
                         count = np.zeros(n, np.int64)
                         if len(hot_h):
@@ -193,6 +196,7 @@ def _keys(docs: DataFrame, boundary: int, hot, id_col: str, text_col: str) -> Da
                             count = np.where(hot_h[at] == s, hot_n[at], 0)
                         rare = np.lexsort((s, count))[: prefix_size(n)]
                         own.append(s[rare])
+                        at_place.append(np.arange(len(rare), dtype=np.int32))
                         dealt.append(np.where(count[rare] >= SPLIT_LEAST, fp % PARTS, -1).astype(np.int32))
                     for c in subset_sizes(n, boundary):
                         named = np.array(list(combinations(s.tolist(), c)), np.uint64).reshape(-1, c)
@@ -201,26 +205,28 @@ def _keys(docs: DataFrame, boundary: int, hot, id_col: str, text_col: str) -> Da
                             total = total * FOLD + column
                         own.append(mix(total))
                         dealt.append(np.full(len(named), -1, np.int32))
+                        at_place.append(np.zeros(len(named), np.int32))
                     if own:
                         all_keys = np.concatenate(own)
                         keys.append(all_keys)
                         parts += dealt
+                        places += at_place
                         fps.append(np.full(len(all_keys), fp, np.int64))
                         sizes.append(np.full(len(all_keys), n, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.concatenate(parts)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes))], ["key", "part", "fp", "n"])
+                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.concatenate(parts)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["key", "part", "fp", "n", "pos"])
 
     only = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return only.mapInArrow(run, "key long, part int, fp long, n int")
+    return only.mapInArrow(run, "key long, part int, fp long, n int, pos int")
 
 
 def _lists(keys: DataFrame) -> DataFrame:
     """Entries of the lists that have two classes or more, each beside its list's leader, the
-    class with the least fingerprint: ``key, fp, n, lead, lead_n``.
+    class with the least fingerprint: ``key, fp, n, pos, lead, lead_n, lead_pos``.
 
     Parts of a dealt list have a leader each, and name it also beside itself.
     """
-    names = ["key", "part", "fp", "n"]
+    names = ["key", "part", "fp", "n", "pos"]
 
     def run(batches):
         last = None  # the last row and its leader
@@ -230,29 +236,36 @@ def _lists(keys: DataFrame) -> DataFrame:
             rows = [b.column(c).to_numpy() for c in names]
             if last is not None:
                 rows = [np.append(x, y) for x, y in zip(last, rows)]
-            key, part, fp, _ = rows
+            key, part, fp, *_ = rows
             head = np.ones(len(key), bool)
             head[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
             fresh = head.copy()
             fresh[1:] |= fp[1:] != fp[:-1]
-            key, part, fp, n = (x[fresh] for x in rows)
+            key, part, fp, n, pos = (x[fresh] for x in rows)
             head = head[fresh]
             first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            lead, lead_n = fp[first], n[first]
+            lead, lead_n, lead_pos = fp[first], n[first], pos[first]
             if last is not None:  # rows of the list that was open
                 open_ = first == 0
-                lead, lead_n = np.where(open_, last[4], lead), np.where(open_, last[5], lead_n)
+                lead, lead_n, lead_pos = (np.where(open_, x, y) for x, y in zip(last[5:], (lead, lead_n, lead_pos)))
             out = (fp != lead) | (part >= 0)
             out[0] &= last is None  # it went out before
-            last = [x[-1:] for x in (key, part, fp, n)] + [lead[-1], lead_n[-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, fp, n, lead, lead_n)], ["key", "fp", "n", "lead", "lead_n"])
+            last = [x[-1:] for x in (key, part, fp, n, pos)] + [lead[-1], lead_n[-1], lead_pos[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, fp, n, pos, lead, lead_n, lead_pos)], ["key", "fp", "n", "pos", "lead", "lead_n", "lead_pos"])
 
-    return keys.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "fp").mapInArrow(run, "key long, fp long, n int, lead long, lead_n int")
+    return keys.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "fp").mapInArrow(run, "key long, fp long, n int, pos int, lead long, lead_n int, lead_pos int")
 
 
-def _possible(a: str, b: str):
-    """Sizes that a link allows."""
-    return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
+def _possible():
+    """Whether sizes and places allow a link between a member and its leader.
+
+    The first shared shingle of a linked pair is followed, in the order of all
+    sets, by enough others in both of them; another shared one needn't be, but then
+    the pair is met under the first.
+    """
+    n, m = F.col("n"), F.col("lead_n")
+    need = 3 * (n + m)
+    return (n * 4 >= m * 3) & (m * 4 >= n * 3) & (7 * (n - F.col("pos")) >= need) & (7 * (m - F.col("lead_pos")) >= need)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Stored:
@@ -341,7 +354,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = materialise(grouped, "classes").df
     sizes = {r.n: r.c for r in classes.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
     lists = materialise(_lists(_keys(docs, light_boundary(sizes), _hot(scan.df), id_col, text_col)), "lists")
-    entries = lists.df.select("key", "fp", "n").unionAll(lists.df.select("key", F.col("lead").alias("fp"), F.col("lead_n").alias("n"))).distinct()
+    entries = lists.df.select("key", "fp", "n", "pos").unionAll(lists.df.select("key", F.col("lead").alias("fp"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"))).distinct()
     tried, links, sets, temporary = [], [], [], [lists]
 
     def compare(pairs: DataFrame) -> bool:
@@ -373,7 +386,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = part.df if found is None else found.unionAll(part.df)
         return components(found if found is not None else tried[0].df.limit(0))
 
-    compare(lists.df.where((F.col("fp") != F.col("lead")) & _possible("n", "lead_n")).select(*_pair("fp", "lead")))
+    compare(lists.df.where((F.col("fp") != F.col("lead")) & _possible()).select(*_pair("fp", "lead")))
     roots, rest = merged(), None
     for turn in range(LEADER_ROUNDS + 1):
         if rest is None:
@@ -381,10 +394,10 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             mixed = marked.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
             rest = materialise(marked.join(mixed, "key", "left_semi"), "mixed")
         if turn < LEADER_ROUNDS:
-            other = rest.df.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), "fp", "n", "root")).alias("l")).select("key", F.col("l.fp").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.root").alias("lead_root"))
+            other = rest.df.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("o"), "fp", "n", "pos", "root")).alias("l")).select("key", F.col("l.fp").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.pos").alias("lead_pos"), F.col("l.root").alias("lead_root"))
         else:
-            other = rest.df.select("key", F.col("fp").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root"))
-        pairs = rest.df.join(other, "key").where((F.col("root") != F.col("lead_root")) & _possible("n", "lead_n"))
+            other = rest.df.select("key", F.col("fp").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos"), F.col("root").alias("lead_root"))
+        pairs = rest.df.join(other, "key").where((F.col("root") != F.col("lead_root")) & _possible())
         if turn == LEADER_ROUNDS:
             pairs = pairs.where(F.col("fp") < F.col("lead"))
         if compare(pairs.select(*_pair("fp", "lead"))):
