@@ -19,9 +19,12 @@ Krichevsky-Trofimov coder: after n words, a word seen k times has probability
 (k + OWN * p) / (n + OWN), p being the tree's.  The product depends on the
 text's word counts alone, so it is summed without regard to their order.
 
-Counts cover all training documents.  The workers get the nodes with the largest
-counts, at most ``NODES``; a context that is left out is answered by a shorter
-one, so probabilities stay proper.
+Counts cover all training documents, and every node answers: none is left out and
+none goes to the workers.  The codes that the words to be scored ask for are in the
+tree with a count of zero, which changes no estimate; from the shortest contexts
+down, one equi-join for each depth hands every node what its parent has settled, and
+a node without counts answers as its parent does.  The deepest nodes then give each
+distinct code its probability, and another equi-join sums them over words.
 """
 
 from __future__ import annotations
@@ -35,13 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import slices
-from tessera.llm.storage import materialise
+from tessera.llm.storage import Stored, materialise
 
 DEPTH = 6
-NODES = 2_000_000
+NODES = 2_000_000  # of a tree in memory
 HEAD = 1 << 16  # most frequent words, which the workers know
 FLUSH = 200_000  # distinct words that a task holds while counting
-AT_ONCE = 100_000  # words scored together
 BLANK = 0x20
 OWN = 300.0  # words that the tree counts for beside the text's own
 
@@ -105,7 +107,7 @@ def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spelled(words: DataFrame) -> DataFrame:
-    """``code, n``: how often training words put a byte after a context."""
+    """``code, n``: how often training words put a byte after a context; 0 where only other words do."""
 
     def run(batches):
         for b in batches:
@@ -117,7 +119,7 @@ def _spelled(words: DataFrame) -> DataFrame:
                 edges = np.flatnonzero(np.diff(code, prepend=-1))
                 yield pa.RecordBatch.from_arrays([pa.array(code[edges]), pa.array(np.add.reduceat(n, edges))], ["code", "n"])
 
-    return words.where("c > 0").select("word", "c").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return words.select("word", "c").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -131,36 +133,110 @@ def _log_gamma(x: Column) -> Column:
 def _estimate(zeros: Column, ones: Column) -> Column:
     """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
     a, b = zeros.cast("double"), ones.cast("double")
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1)
+    return F.when(a + b > 0, _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1)).otherwise(0.0)
 
 
-def build(pairs: DataFrame) -> DataFrame:
-    """``key, n, one, stay`` of all nodes: the depth, context and decision; its count; the
-    estimate of a one; and the weight that stays at the node."""
+def levels(pairs: DataFrame) -> list[Stored]:
+    """Written tables of the nodes of each depth, the shortest contexts first: ``ctx, node, zeros,
+    ones, own, mixed, stay``, the last being the weight that stays at the node.  The deepest
+    level has ``asked`` too: 1 where a code goes on with a zero, 2 with a one, 3 with both."""
     # decision k of a byte: 1 and its first k bits name the node, the next bit is decided
     eight = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(
         (F.call_function("shiftleft", F.lit(1), k) + F.call_function("shiftright", F.col("byte"), 8 - k)).alias("node"), F.call_function("shiftright", F.col("byte"), 7 - k).bitwiseAND(F.lit(1)).alias("bit")
     ))
     split = pairs.select(F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n").select("ctx", "n", F.explode(eight).alias("d"))
-    level = split.groupBy("ctx", F.col("d.node").alias("node")).agg(F.sum(F.when(F.col("d.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("d.bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
+    level = split.groupBy("ctx", F.col("d.node").alias("node")).agg(F.sum(F.when(F.col("d.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("d.bit") == 1, F.col("n")).otherwise(0)).alias("ones"), F.bit_or(F.col("d.bit") + 1).alias("asked"))
     level = level.withColumn("own", _estimate(F.col("zeros"), F.col("ones"))).withColumn("mixed", F.col("own")).withColumn("stay", F.lit(1.0))
-    out = None
+    out: list[Stored] = []
     for depth in range(DEPTH, -1, -1):
         if depth < DEPTH:
             level = level.groupBy(F.shiftright("ctx", 8).alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("below"))
             level = level.withColumn("own", _estimate(F.col("zeros"), F.col("ones")))
             top = F.greatest("own", "below")
             level = level.withColumn("mixed", math.log(0.5) + top + F.log1p(F.exp(F.least("own", "below") - top))).withColumn("stay", F.exp(math.log(0.5) + F.col("own") - F.col("mixed"))).drop("below")
-        level = materialise(level, f"ctw-{depth}").df
-        n = F.col("zeros") + F.col("ones")
+        out.insert(0, materialise(level, f"ctw-{depth}"))
+        level = out[0].df
+    return out
+
+
+def build(pairs: DataFrame) -> DataFrame:
+    """``key, n, one, stay`` of all nodes with counts: the depth, context and decision; its count;
+    the estimate of a one; and the weight that stays at the node."""
+    n = F.col("zeros") + F.col("ones")
+    out = None
+    for depth, level in enumerate(levels(pairs)):
         key = F.lit(depth << 57).cast("long") + F.shiftleft("ctx", 8) + F.col("node")
-        part = level.select(key.alias("key"), n.alias("n"), ((F.col("ones") + 0.5) / (n + 1)).cast("float").alias("one"), F.col("stay").cast("float").alias("stay"))
+        part = level.df.where(n > 0).select(key.alias("key"), n.alias("n"), ((F.col("ones") + 0.5) / (n + 1)).cast("float").alias("one"), F.col("stay").cast("float").alias("stay"))
         out = part if out is None else out.unionAll(part)
     return out
 
 
+def log_codes(pairs: DataFrame) -> Stored:
+    """``code, lp``: log10 of the probability of the byte of each code of ``pairs`` after its context."""
+    n = F.col("zeros") + F.col("ones")
+    one = (F.col("ones") + 0.5) / (n + 1)
+    tree = levels(pairs)
+    above = None
+    for depth, level in enumerate(tree):
+        if above is None:
+            rows = level.df.withColumns({"p0": F.lit(0.0), "rest0": F.lit(1.0), "answer0": F.lit(0.5)})
+        else:
+            up = above.select(F.col("ctx").alias("up"), F.col("node").alias("up_node"), F.col("p").alias("p0"), F.col("rest").alias("rest0"), F.col("answer").alias("answer0"))
+            up = F.broadcast(up) if depth <= 2 else up  # 255 decisions after each of no more than 256 bytes
+            rows = level.df.join(up, (F.shiftright("ctx", 8) == F.col("up")) & (F.col("node") == F.col("up_node")))
+        p, rest = F.col("p0") + F.col("rest0") * F.col("stay") * one, F.col("rest0") * (1 - F.col("stay"))
+        kept = ["ctx", "node", *(["asked"] if depth == DEPTH else [])]
+        above = rows.select(*kept, p.alias("p"), rest.alias("rest"), F.when(n > 0, p + rest * one).otherwise(F.col("answer0")).alias("answer"))
+    grouped = above.groupBy("ctx").agg(F.collect_list(F.struct("node", "answer", "asked")).alias("d")).select("ctx", F.col("d.node").alias("node"), F.col("d.answer").alias("answer"), F.col("d.asked").alias("asked"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                code, lp = _bytes_of(b.slice(at, 2048))
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(lp)], ["code", "lp"])
+
+    out = materialise(grouped.mapInArrow(run, "code long, lp double"), "lm-codes")
+    for level in tree:
+        level.drop()
+    return out
+
+
+def _bytes_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The asked codes of contexts with their decisions (``ctx, node, answer, asked``), and log10 of their probabilities."""
+    lists = b.column("node")
+    row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+    node, answer, asked = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("node", "answer", "asked"))
+    table = np.full((b.num_rows, 256), 0.5)
+    table[row, node] = answer
+    codes, logs = [], []
+    for bit in (0, 1):
+        last = (node >= 128) & (asked & (1 + bit) > 0)
+        r, byte = row[last], (node[last].astype(np.int64) - 128) * 2 + bit
+        total = np.zeros(len(r))
+        for k in range(8):
+            p = table[r, (1 << k) + (byte >> (8 - k))]
+            total += np.log10(np.clip(np.where((byte >> (7 - k)) & 1 == 1, p, 1 - p), 1e-12, 1.0))
+        codes.append((b.column("ctx").to_numpy()[r] << 8) | byte)
+        logs.append(total)
+    return np.concatenate(codes), np.concatenate(logs)
+
+
+def log_words(words: DataFrame) -> DataFrame:
+    """``word, c, lp`` for ``words`` (id, word, c): log10 of the probability of each, its closing blank included."""
+    codes = log_codes(_spelled(words))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                code, starts = spell(b.column("word"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), np.diff(np.append(starts, len(code))))), pa.array(code)], ["id", "code"])
+
+    sums = words.select("id", "word").mapInArrow(run, "id long, code long").join(codes.df, "code").groupBy("id").agg(F.sum("lp").alias("lp"))
+    return words.join(sums, "id").select("word", "c", "lp")
+
+
 def largest(nodes: DataFrame, most: int = NODES) -> pa.Table:
-    """The nodes with the largest counts, no more than ``most``."""
+    """The nodes with the largest counts, no more than ``most``, for a :class:`Tree`; the operator does without."""
     step = F.floor(F.log2(F.col("n")) * 8)
     sizes = sorted(((r.step, r.k) for r in nodes.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)  # a few hundred steps
     least, total = None, 0
@@ -188,7 +264,7 @@ def _drawn(k: Column, lp: Column) -> Column:
 
 
 class Tree:
-    """Nodes as sorted arrays, and the probabilities that they give."""
+    """Nodes as sorted arrays, and the probabilities that they give: the plain form of :func:`log_codes`."""
 
     def __init__(self, nodes: pa.Table):
         key = nodes.column("key").to_numpy()
@@ -243,27 +319,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), training(id_col).alias("learn"))
-    words = materialise(count_words(base), "lm-words")
+    words = materialise(count_words(base).withColumn("id", F.monotonically_increasing_id()), "lm-words")
     rows = base.groupBy("learn").count().collect()
     ends = sum(r["count"] for r in rows if r["learn"])
     got = words.df.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train = (got.n or 0) + ends
     v_train = (got.v or 0) + (ends > 0)
-    end_word = spark.createDataFrame([(bytearray(b""), ends)], "word binary, c long")
-    tree = spark.sparkContext.broadcast(Tree(largest(build(_spelled(words.df.unionAll(end_word))))))
-
-    def judge(batches):
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= AT_ONCE:
-                yield _judged(tree.value, held)
-                held, n = [], 0
-        if held:
-            yield _judged(tree.value, held)
-
-    scored = materialise(words.df.unionAll(end_word).mapInArrow(judge, "word binary, c long, lp double"), "lm-scored")
+    end_word = spark.createDataFrame([(bytearray(b""), ends, -1)], "word binary, c long, id long")
+    scored = materialise(log_words(words.df.unionAll(end_word)), "lm-scored")
     words.drop()
     head = {bytes(r.word): (r.c, r.lp) for r in scored.df.orderBy(F.desc("c"), "word").limit(HEAD).collect()}
     end = scored.df.where(F.length("word") == 0).first()
@@ -319,11 +382,3 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "score",
         (-F.col("score") / F.lit(math.log10(2)) / F.col("bytes")).alias("bits_per_byte"),
     )
-
-
-def _judged(tree: Tree, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    rows = pa.Table.from_batches(held).combine_chunks()
-    words = rows.column("word").combine_chunks()
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-    lp = tree.log_words(words)
-    return pa.RecordBatch.from_arrays([words, rows.column("c").combine_chunks(), pa.array(lp)], ["word", "c", "lp"])

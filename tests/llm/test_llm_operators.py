@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -301,6 +302,31 @@ def test_lm_bytes_sum_to_one(spark):
     assert order[0] > order[1] > 0.1
 
 
+def test_lm_scores_use_all_nodes(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(lm_scoring.largest, "__defaults__", (50,))  # scores must not hang on what a table in memory may hold
+    rng = random.Random(12)
+    rows = [(d, " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(30))) for d in range(40)]
+    learned = Counter()
+    for d, text in rows:
+        learned.update(brute.words(text) if zlib.crc32(str(d).encode()) % 5 != 1 else ())
+    ends = sum(zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows)
+    words = spark.createDataFrame([(bytearray(w.encode()), n) for w, n in [*learned.items(), ("", ends)]], "word binary, c long")
+    tree = lm_scoring.Tree(lm_scoring.largest(lm_scoring.build(lm_scoring._spelled(words)), 1 << 40))
+    assert len(tree.key) > 1000
+    names = sorted({w for _, text in rows for w in brute.words(text)} | {""})
+    assert set(names) - set(learned) - {""}  # held-out words that training has not
+    lp = dict(zip(names, tree.log_words(pa.array([w.encode() for w in names], pa.binary())).tolist()))
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        found = Counter(brute.words(text))
+        n = 1 + sum(found.values())
+        want = sum(lm_scoring.drawn(k, lp[w]) for w, k in found.items()) + lm_scoring.drawn(1, lp[""]) - (math.lgamma(n + lm_scoring.OWN) - math.lgamma(lm_scoring.OWN)) / math.log(10)
+        assert got[d] == pytest.approx(want, rel=1e-5), d
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/x", "https://WWW.Example.com/en/1?q", "http://x.example.com/en/2", "http://b.net/es/1", "http://b.net", "http://m.spam-farm.example.org/en/7#t", "http://ok.example.org/p", "nothing", None, "x://y.com", "ftp://u@free-bets.example.net:8080/", "http://a.com?x=://z"]
     rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, key string")
