@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 6).
 
 Every window of a text that has as many words as a benchmark item is a
-candidate.  Windows that cannot hold enough of an item's five-word shingles for
+candidate; a text shorter than the item is one window as a whole.  Windows that cannot hold enough of an item's five-word shingles for
 the final similarity are skipped by counting exact shingle hits, which loses
 nothing.  The others get a 64-bit SimHash of their weighted shingles; eight
 blocks of eight bits index the items' fingerprints, and as fingerprints within
@@ -95,14 +95,15 @@ class Items:
         out = []
         for item, found in by_item.items():
             size = self.sizes[item]
-            need = -(-6 * size // 7)  # common / (2 * size - common) >= 0.75
+            span = min(size, len(s))  # a shorter text is one window
+            need = -(-3 * (size + span) // 7)  # common / (size + span - common) >= 0.75
             if len(found) < need:
                 continue
             q = np.array(found)
-            starts = self._windows(q, size, need, len(s))
+            starts = self._windows(q, span, need, len(s))
             if not len(starts):
                 continue
-            best = self._verify(s, starts, size, item)
+            best = self._verify(s, starts, span, item)
             if best:
                 out.append((self.ids[item], *best))
         return out
@@ -110,8 +111,6 @@ class Items:
     @staticmethod
     def _windows(q: np.ndarray, size: int, need: int, n: int) -> np.ndarray:
         """Starts of the windows of ``size`` shingles with ``need`` hits or more."""
-        if n < size:
-            return np.zeros(0, np.int64)
         opens = q[: len(q) - need + 1]  # a hit and the need-th from it within a window
         ends = q[need - 1 :]
         fit = ends - opens < size
@@ -119,7 +118,9 @@ class Items:
         return np.unique(np.concatenate(spans)) if spans else np.zeros(0, np.int64)
 
     def _verify(self, s: np.ndarray, starts: np.ndarray, size: int, item: int) -> tuple[float, int, int] | None:
+        """Similarity and start of the best window of ``size`` shingles, and the number of those that match."""
         best, count = None, 0
+        both = size + self.sizes[item]
         for part in np.split(starts, np.arange(1024, len(starts), 1024)):
             low, high = int(part[0]), int(part[-1]) + size
             sums = np.zeros((high - low + 1, 64), np.int32)
@@ -135,9 +136,9 @@ class Items:
                 for h in s[start : start + size].tolist():
                     bag[h] = bag.get(h, 0) + 1
                 common = sum(min(n, self.bags[item].get(h, 0)) for h, n in bag.items())
-                if 100 * common >= 75 * (2 * size - common):
+                if 100 * common >= 75 * (both - common):
                     count += 1
-                    alike = common / (2 * size - common)
+                    alike = common / (both - common)
                     if best is None or alike > best[0]:
                         best = (alike, start)
         return (*best, count) if best else None

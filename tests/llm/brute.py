@@ -64,6 +64,18 @@ def leaks(docs, items):
     return out
 
 
+def leaks_of_short_texts(docs, items):
+    """{(doc_id, item_id)} of texts shorter than the item, compared as a whole."""
+    out = set()
+    for i, t in items:
+        for d, text in docs:
+            if 5 <= len(words(text)) < len(words(t)):
+                a, b = Counter(shingle_list(text)), Counter(shingle_list(t))
+                if 100 * sum((a & b).values()) >= 75 * sum((a | b).values()):
+                    out.add((d, i))
+    return out
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -185,6 +185,23 @@ def test_leaks_with_edits(spark, odd):
     assert decontamination.find_leaks(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_in_texts_shorter_than_an_item(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((12, 40, 40, 60, 90))]
+    docs = [(0, " ".join(w for k, w in enumerate(items[1][1].split()) if k != 20))]  # 31 of 36 and 35 shingles
+    for d in range(1, 80):
+        passage = rng.choice(items)[1].split()
+        if rng.random() < 0.5:
+            passage = passage[rng.randint(0, 5) : len(passage) - rng.randint(0, 5)]
+        for _ in range(rng.randint(0, 3)):
+            del passage[rng.randrange(len(passage))]
+        docs.append((d, " ".join(passage)))
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute.leaks(docs, items) | brute.leaks_of_short_texts(docs, items)
+    assert [(r.item_id, r.similarity, r.first_word, r.n_windows) for r in found if r.doc_id == 0] == [(1, 31 / 40, 0, 1)]
+
+
 def variants(rng, n):
     """Texts of many sizes with copies and near copies, short ones and hubs among them."""
     word = lambda: f"w{rng.randrange(60)}"
