@@ -1,14 +1,16 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 6).
 
 Every window of a text that has as many words as a benchmark item is a
-candidate; a text shorter than the item is one window as a whole.  Windows that cannot hold enough of an item's five-word shingles for
-the final similarity are skipped by counting exact shingle hits, which loses
-nothing.  The others get a 64-bit SimHash of their weighted shingles; eight
+candidate; a text shorter than an item is one window as a whole.  Windows in which
+fewer shingles occur anywhere in the benchmark than the final similarity needs of
+one item can match none of them and are skipped, which loses nothing.  The others
+get a 64-bit SimHash of their weighted shingles, and that finds their items: eight
 blocks of eight bits index the items' fingerprints, and as fingerprints within
 ``RADIUS`` = 23 bits differ in at most two bits in one block at least, looking up
 all block values within two bits finds every item within the radius.  Candidates
 are then verified exactly: weighted Jaccard similarity of the shingle bags,
-0.75 or more.
+0.75 or more.  What the radius itself may lose is measured in the tests and the
+README.
 """
 
 from __future__ import annotations
@@ -40,12 +42,11 @@ def bit_weights(h: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items of a block, ready for matching texts against them."""
+    """Benchmark items of a block: an index of their fingerprints, and their shingles for verification."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.bags, self.sizes, self.prints = [], [], [], []
+        self.ids, self.bags, sizes, prints, shingles = [], [], [], [], [np.zeros(0, np.uint64)]
         w, bounds = words(pa.array(texts, pa.string()))
-        holders: dict[int, list[int]] = {}
         self.short: dict[int, dict[int, list[int]]] = {}  # of items under K words: by words, by hash
         for i, a, b in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist()):
             if a == b:
@@ -54,59 +55,51 @@ class Items:
             if b - a < K:
                 self.short.setdefault(b - a, {}).setdefault(int(s[0]), []).append(i)
                 continue
-            at = len(self.ids)
             self.ids.append(i)
-            self.sizes.append(len(s))
+            sizes.append(len(s))
             self.bags.append(dict(zip(*(x.tolist() for x in np.unique(s, return_counts=True)))))
-            self.prints.append(simhash(bit_weights(s).sum(0)[None])[0])
-            for h in set(s.tolist()):
-                holders.setdefault(h, []).append(at)
-        self.prints = np.array(self.prints, np.uint64)
-        self.keys = np.array(sorted(holders), np.uint64)
-        self.holders = [holders[h] for h in self.keys.tolist()]
+            prints.append(simhash(bit_weights(s).sum(0)[None])[0])
+            shingles.append(s)
+        self.sizes, self.prints = np.array(sizes, np.int64), np.array(prints, np.uint64)
+        self.windows = np.unique(self.sizes)
+        self.keys = np.unique(np.concatenate(shingles))  # of any item
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[(self.keys >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
         #: which items a block's value leads to
         near = [0] + [sum(1 << b for b in c) for r in range(1, BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r)]
-        self.index = np.zeros((BLOCKS, 1 << BLOCK_BITS, max(1, len(self.ids))), bool)
+        self.index = np.zeros((BLOCKS, 1 << BLOCK_BITS, len(self.ids)), bool)
         blocks = self.prints.view(np.uint8).reshape(-1, BLOCKS)
         for k in range(BLOCKS):
             for flip in near:
                 self.index[k, blocks[:, k] ^ flip, np.arange(len(blocks))] = True
 
-    def hits(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of shingles that some item has, and which of ``keys`` they are."""
+    def hits(self, s: np.ndarray) -> np.ndarray:
+        """Positions of shingles that some item has."""
         if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64)
         may = np.flatnonzero(self.sieve[(s >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.keys, s[may]), len(self.keys) - 1)
-        hit = self.keys[at] == s[may]
-        return may[hit], at[hit]
+        return may[self.keys[at] == s[may]]
 
-    def match(self, s: np.ndarray, places: np.ndarray, which: np.ndarray) -> list[tuple[int, float, int, int]]:
+    def match(self, s: np.ndarray, q: np.ndarray) -> list[tuple[int, float, int, int]]:
         """Matches of one text: item id, similarity, first word of the best window, matching windows.
 
-        ``s``: all shingles of the text; ``places, which``: its hits.
+        ``s``: all shingles of the text; ``q``: the positions of its hits.
         """
-        by_item: dict[int, list[int]] = {}
-        for p, k in zip(places.tolist(), which.tolist()):
-            for item in self.holders[k]:
-                by_item.setdefault(item, []).append(p)
-        out = []
-        for item, found in by_item.items():
-            size = self.sizes[item]
-            span = min(size, len(s))  # a shorter text is one window
-            need = -(-3 * (size + span) // 7)  # common / (size + span - common) >= 0.75
-            if len(found) < need:
-                continue
-            q = np.array(found)
-            starts = self._windows(q, span, need, len(s))
-            if not len(starts):
-                continue
-            best = self._verify(s, starts, span, item)
-            if best:
-                out.append((self.ids[item], *best))
-        return out
+        found: dict[int, list] = {}  # of each item: similarity and start of the best window, and how many match
+        n = len(s)
+        for size in self.windows[self.windows <= n].tolist():
+            need = -(-6 * size // 7)  # common / (2 * size - common) >= 0.75
+            if len(q) < need:
+                break  # longer windows need more
+            starts = self._windows(q, size, need, n)
+            for part in np.split(starts, np.arange(1024, len(starts), 1024)):
+                if len(part):
+                    self._look_up(s, part, size, self.sizes == size, found)
+        longer = self.sizes > n  # the whole text is one window for these
+        if longer.any() and len(q) >= -(-3 * (n + int(self.sizes[longer].min())) // 7):
+            self._look_up(s, np.zeros(1, np.int64), n, longer, found)
+        return [(self.ids[i], *best) for i, best in found.items()]
 
     @staticmethod
     def _windows(q: np.ndarray, size: int, need: int, n: int) -> np.ndarray:
@@ -117,31 +110,36 @@ class Items:
         spans = [np.arange(max(0, e - size + 1), min(o, n - size) + 1) for o, e in zip(opens[fit].tolist(), ends[fit].tolist())]
         return np.unique(np.concatenate(spans)) if spans else np.zeros(0, np.int64)
 
-    def _verify(self, s: np.ndarray, starts: np.ndarray, size: int, item: int) -> tuple[float, int, int] | None:
-        """Similarity and start of the best window of ``size`` shingles, and the number of those that match."""
-        best, count = None, 0
-        both = size + self.sizes[item]
-        for part in np.split(starts, np.arange(1024, len(starts), 1024)):
-            low, high = int(part[0]), int(part[-1]) + size
-            sums = np.zeros((high - low + 1, 64), np.int32)
-            np.cumsum(bit_weights(np.ascontiguousarray(s[low:high])), axis=0, out=sums[1:])
-            prints = simhash(sums[part - low + size] - sums[part - low])
-            blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-            led = np.zeros(len(part), bool)
-            for k in range(BLOCKS):
-                led |= self.index[k, blocks[:, k], item]
-            apart = np.bitwise_count(prints ^ self.prints[item])
-            for start in part[led & (apart <= RADIUS)].tolist():
-                bag: dict[int, int] = {}
-                for h in s[start : start + size].tolist():
+    def near(self, prints: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a fingerprint and an item ``among`` all within RADIUS, by way of the blocks."""
+        led = np.zeros((len(prints), len(self.ids)), bool)
+        blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
+        for k in range(BLOCKS):
+            led |= self.index[k, blocks[:, k]]
+        row, item = np.nonzero(led & among)
+        close = np.bitwise_count(prints[row] ^ self.prints[item]) <= RADIUS
+        return row[close], item[close]
+
+    def _look_up(self, s: np.ndarray, starts: np.ndarray, size: int, among: np.ndarray, found: dict[int, list]) -> None:
+        """Finds the items of the windows of ``size`` shingles at ``starts`` and verifies them, into ``found``."""
+        low, high = int(starts[0]), int(starts[-1]) + size
+        sums = np.zeros((high - low + 1, 64), np.int32)
+        np.cumsum(bit_weights(np.ascontiguousarray(s[low:high])), axis=0, out=sums[1:])
+        rows, items = self.near(simhash(sums[starts - low + size] - sums[starts - low]), among)
+        bag, of = {}, -1
+        for row, item in zip(rows.tolist(), items.tolist()):
+            if row != of:
+                bag, of = {}, row
+                for h in s[starts[row] : starts[row] + size].tolist():
                     bag[h] = bag.get(h, 0) + 1
-                common = sum(min(n, self.bags[item].get(h, 0)) for h, n in bag.items())
-                if 100 * common >= 75 * (both - common):
-                    count += 1
-                    alike = common / (both - common)
-                    if best is None or alike > best[0]:
-                        best = (alike, start)
-        return (*best, count) if best else None
+            own = self.bags[item]
+            common = sum(min(n, own.get(h, 0)) for h, n in bag.items())
+            both = size + int(self.sizes[item]) - common
+            if 100 * common >= 75 * both:
+                best = found.setdefault(item, [0.0, 0, 0])
+                best[2] += 1
+                if common / both > best[0]:
+                    best[:2] = common / both, int(starts[row])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -151,8 +149,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     text.  Texts that hold nothing have no row.  Items of fewer than five words
     are one shingle and match the same words in a row.  Null and empty texts and
     items match nothing; null ids are passed on; repeated rows match each for
-    themselves; repeated items count once for each id.  The benchmark is read in
-    blocks of 4096 items, each of which is one pass over the texts.
+    themselves; repeated items count once for each id; other columns are left out;
+    an empty table of either kind gives an empty result; texts of any length are
+    read in pieces.  The benchmark is read in blocks of 4096 items, each of which
+    is one pass over the texts.
     """
     spark = docs.sparkSession
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -189,15 +189,15 @@ def _match_slice(items: Items, part: pa.RecordBatch) -> list[tuple]:
     rows = []
     if len(w) >= K:
         s = shingles_of(w, K)
-        places, which = items.hits(s)
+        places = items.hits(s)
         # shingles that reach over a text's end belong to no text
         doc = np.searchsorted(bounds, places, "right") - 1
         inside = places + K <= bounds[doc + 1]
-        places, which, doc = places[inside], which[inside], doc[inside]
+        places, doc = places[inside], doc[inside]
         for d in np.unique(doc).tolist():
             own = doc == d
             a, b = int(bounds[d]), int(bounds[d + 1])
-            for item, alike, start, n in items.match(s[a : b - K + 1], places[own] - a, which[own]):
+            for item, alike, start, n in items.match(s[a : b - K + 1], places[own] - a):
                 rows.append((ids[d], item, alike, start, n))
     for n, known in items.short.items():
         for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
