@@ -262,9 +262,12 @@ class MergeMachine:
         self.size = {i: len(b) for b, i in self.vocab.items()}
         #: Length of the longest token that starts with these four bytes.
         self.reach: dict[bytes, int] = {}
+        #: The same of those that end with them.
+        self.reach_back: dict[bytes, int] = {}
         for token in self.vocab:
             if len(token) > 3:
                 self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
+                self.reach_back[token[-4:]] = max(len(token), self.reach_back.get(token[-4:], 0))
         self._edges: tuple[dict, dict] = ({}, {})
         self._fits: dict[tuple[int, int], bool] = {}
         self._own: dict[int, bool] = {}
@@ -409,7 +412,7 @@ class StreamingMerger:
         for byte in data:
             self.tail = (self.tail + bytes([byte]))[-m.lookahead :]
             self.read += 1
-            for size in range(min(m.lookahead, self.read - self.sent), 0, -1):
+            for size in range(min(m.reach_back.get(self.tail[-4:], 3), self.read - self.sent), 0, -1):
                 token = m.vocab.get(self.tail[-size:])
                 if token is None:
                     continue
@@ -454,12 +457,85 @@ class StreamingMerger:
         return self._send(self.read)
 
 
+class CountMachine:
+    """The merge list as a deterministic transducer whose transitions carry token counts.
+
+    A state stands for the bytes of a piece read so far: which token ends there, and
+    in which state it began.  Reading a byte moves to the next state and adds the
+    change in the number of tokens, which may be nothing or negative: the count of a
+    piece is the sum along its path.  States are made when they are first reached.
+    A piece longer than the lookahead has too many states to keep; its last
+    ``lookahead`` of them say all that the future needs, and older ones are let go.
+    """
+
+    KEPT = 1 << 19  # states, and counts of whole pieces
+
+    def __init__(self, machine: MergeMachine):
+        self.m = machine
+        self._clear()
+
+    def _clear(self) -> None:
+        #: of each state: its last token, and its transitions by byte as (state, tokens added)
+        self.last: list[int | None] = [None]
+        self.next: list[dict[int, tuple[int, int]]] = [{}]
+        self._known: dict[str, int] = {}
+
+    def _token(self, tail: bytes, state_at) -> tuple[int, int]:
+        """The token that ends ``tail``, and its size; ``state_at``: the last token before so many bytes."""
+        m = self.m
+        for size in range(min(m.reach_back.get(tail[-4:], 3), len(tail)), 0, -1):
+            token = m.vocab.get(tail[-size:])
+            if token is None:
+                continue
+            before = state_at(size)
+            if m.alone(token) if before is None else m.fits(before, token):
+                return token, size
+        raise ValueError("the merge list gives no encoding")
+
+    def count(self, piece: str) -> int:
+        """Tokens of one piece."""
+        found = self._known.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            if len(raw) > self.m.lookahead:
+                return self._long(raw)
+            if len(self._known) + len(self.last) > self.KEPT:
+                self._clear()
+            found = self._known[piece] = self._walk(raw)
+        return found
+
+    def _walk(self, raw: bytes) -> int:
+        path, counts, state = [0], [0], 0
+        for at, byte in enumerate(raw):
+            step = self.next[state].get(byte)
+            if step is None:
+                token, size = self._token(raw[: at + 1], lambda size: self.last[path[at + 1 - size]])
+                step = self.next[state][byte] = (len(self.last), counts[at + 1 - size] + 1 - counts[at])
+                self.last.append(token)
+                self.next.append({})
+            state = step[0]
+            path.append(state)
+            counts.append(counts[-1] + step[1])
+        return counts[-1]
+
+    def _long(self, raw: bytes) -> int:
+        window = self.m.lookahead
+        last: deque[int | None] = deque([None], window + 1)
+        counts: deque[int] = deque([0], window + 1)
+        for at in range(len(raw)):
+            token, size = self._token(raw[max(0, at + 1 - window) : at + 1], lambda size: last[-size])
+            counts.append(counts[-size] + 1)
+            last.append(token)
+        return counts[-1]
+
+
 class Tokenizer:
     """Encoding, counting and decoding of whole texts."""
 
     def __init__(self, spec: str | bytes):
         self.merger = MergeMachine(json.loads(spec))
         self.split = SplitMachine()
+        self.counter = CountMachine(self.merger)
 
     def _segments(self, text: str) -> list[str | int]:
         """The text cut at special strings, each of which is one token."""
@@ -485,7 +561,11 @@ class Tokenizer:
         return out
 
     def count_batch(self, texts: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.encode_batch(texts)]
+        """Each text's number of tokens, from the counting machine; no ids are made."""
+        plan = [self._segments(t) for t in texts]
+        runs = iter(self.split.pieces([p for parts in plan for p in parts if isinstance(p, str)]))
+        count = self.counter.count
+        return [sum(1 if isinstance(p, int) else sum(map(count, next(runs))) for p in parts) for parts in plan]
 
     def decode(self, ids: bytes, step: int = 1 << 15) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters."""

@@ -1,11 +1,13 @@
 """Token counts by a compiled finite-state tokenizer (operator 3).
 
-The vocabulary file is compiled into the two machines of :mod:`tessera.llm.bpe`.
+The vocabulary file is compiled into the machines of :mod:`tessera.llm.bpe`.
 A text is read in chunks; each chunk's state map (12 states in, 12 states out)
 is computed for all chunks of a slice at once, the maps are composed by a
-parallel prefix scan, and the transitions that end a piece add the number of
-tokens that the piece emits.  The state carried between chunks is one small
-integer, so a text of any length is counted in bounded memory.
+parallel prefix scan, and every piece then runs through the counting transducer,
+whose transitions carry the change in the number of tokens: counts are summed
+along the path and no token is ever made.  The state carried between chunks is one
+small integer, and a piece needs the states of its last ``lookahead`` bytes only,
+so a text of any length is counted in bounded memory.
 """
 
 from __future__ import annotations
