@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import numbered
 from tessera.operators.retrieval import cosine
 from tessera.operators.slots import compatible
 
 
 def guarded(queries: DataFrame, cache: DataFrame, least: float, key: str = "siis_hash") -> DataFrame:
-    """The most similar cached row of the same article whose slots agree: ``query_id, entry_id, score``.
+    """The most similar other cached row of the same article whose slots agree: ``query_id, entry_id, score``.
 
     ``queries``: query_id, key, q_component, q_symptom, q_intent, q_direction, q_vec, q_version;
     ``cache``: entry_id, key, c_..., c_vec, c_version. The article is an equi-join;
@@ -18,17 +19,18 @@ def guarded(queries: DataFrame, cache: DataFrame, least: float, key: str = "siis
     version on either side passes.
     """
     rows = queries.join(cache, key).where(compatible("q_", "c_") & (F.col("q_version").isNull() | F.col("c_version").isNull() | (F.col("q_version") == F.col("c_version"))))
+    rows = rows.where(F.col("query_id") != F.col("entry_id"))
     scored = rows.withColumn("score", F.round(cosine(F.col("q_vec"), F.col("c_vec")), 6)).where(F.col("score") >= least)
     best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry_id")).alias("b"))
     return best.select("query_id", F.col("b.entry_id").alias("entry_id"), (-F.col("b.s")).alias("score"))
 
 
 def tiered(queries: DataFrame, exact: DataFrame, semantic: DataFrame) -> DataFrame:
-    """``query_id, entry_id, tier``: the exact hit if there is one, else the semantic one, else a miss.
+    """``query_id, entry_id, tier``: the exact hit if there is one but the query itself, else the semantic one, else a miss.
 
     ``queries`` and ``exact`` have ``key``; only what the exact join leaves is looked up further.
     """
-    hit = queries.join(exact, "key").groupBy("query_id").agg(F.min("entry_id").alias("entry_id")).withColumn("tier", F.lit("exact"))
+    hit = queries.join(exact, "key").where(F.col("query_id") != F.col("entry_id")).groupBy("query_id").agg(F.min("entry_id").alias("entry_id")).withColumn("tier", F.lit("exact"))
     left = queries.join(hit, "query_id", "left_anti")
     soft = left.join(semantic.select("query_id", "entry_id"), "query_id", "left").select("query_id", "entry_id", F.when(F.col("entry_id").isNull(), "miss").otherwise("semantic").alias("tier"))
     return hit.select("query_id", "entry_id", "tier").unionByName(soft)
@@ -40,5 +42,69 @@ def clusters(rows: DataFrame, key: str, link: str, description: str) -> DataFram
     first = F.coalesce(F.concat(F.lit("link:"), F.col(link)), F.concat(F.lit("text:"), F.col(description)))
     named = rows.select(key, first.alias("grp"), F.col(description).alias("d"))
     heads = named.groupBy("grp").agg(F.min_by("d", key).alias("head"))
-    nodes = heads.select("head").distinct().withColumn("node", F.format_string("SN-%04d", F.row_number().over(Window.orderBy("head"))))
+    nodes = numbered(heads.select("head").distinct(), "head").select("head", F.format_string("SN-%04d", "no").alias("node"))
     return named.join(heads, "grp").join(nodes, "head").select(key, "node")
+
+
+def nodes_of(members: DataFrame, key: str, polarity: str, name: str) -> DataFrame:
+    """``node, by_polarity, name, synonyms``: members (node, key, polarity, name) as one row for each node.
+
+    ``by_polarity`` maps each polarity to its members in order; the shortest name
+    stands for the node, and the others are its synonyms in order.
+    """
+    lists = members.groupBy("node", polarity).agg(F.array_sort(F.collect_list(key)).alias("ids")).groupBy("node").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(polarity, F.lit("unknown")), "ids")))).alias("by_polarity"))
+    names = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct(F.length(name).alias("size"), F.col(name).alias("name")))).alias("n"))
+    own = F.element_at("n", 1)["name"]
+    return lists.join(names, "node").select("node", "by_polarity", own.alias("name"), F.array_sort(F.transform(F.slice("n", 2, F.size("n")), lambda x: x["name"])).alias("synonyms"))
+
+
+#: For each verb, the polarities of an entry in the order in which they serve it.
+PREFERENCE = {
+    "enable": ["onURL", "onClickURL", "updateURL"],
+    "disable": ["offURL", "onClickURL", "updateURL"],
+    "set": ["updateURL", "onClickURL"],
+    "adjust": ["updateURL", "onClickURL"],
+    "open": ["onClickURL", "updateURL", "onURL"],
+    "check": ["onClickURL", "updateURL", "onURL"],
+}
+FALLBACK = ["onClickURL", "updateURL", "onURL", "offURL"]
+
+
+def preference(verb: Column, polarity: Column) -> Column:
+    """How well an entry's polarity serves a verb: 0 is best; kinds that a verb doesn't name follow in a common order."""
+    later = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in FALLBACK]), polarity), F.lit(0))
+    rank = F.when(later > 0, 9 + later).otherwise(99)
+    for name, kinds in PREFERENCE.items():
+        at = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in kinds]), polarity), F.lit(0))
+        rank = F.when((verb == name) & (at > 0), at - 1).otherwise(rank)
+    return rank.cast("int")
+
+
+def siblings(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """``query_id, entry_id``: of the entries on the node that was found, the one that serves the verb best.
+
+    ``asked``: query_id, entry_id (found), verb; ``entries``: entry_id, node, polarity.
+    An entry without a node stays itself.
+    """
+    found = asked.join(entries.select("entry_id", "node"), "entry_id", "left")
+    all_ = entries.select("node", F.col("entry_id").alias("sibling"), "polarity")
+    best = F.min_by("sibling", F.struct(preference(F.col("verb"), F.col("polarity")), "sibling"))
+    return found.join(all_, "node", "left").groupBy("query_id").agg(F.coalesce(best, F.first("entry_id")).alias("entry_id"))
+
+
+def by_rules(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """``query_id, entry_id, how``: an entry whose name is the step's leaf, else one whose description holds it; then by verb.
+
+    ``asked``: query_id, leaf, verb; ``entries``: entry_id, name, description, polarity.
+    Names meet by equality; for leaves that find none, descriptions are looked up by
+    the leaf's first word and then searched for the whole phrase.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    q = asked.select("query_id", low("leaf").alias("leaf"), "verb").where("leaf <> ''")
+    rank = F.struct(preference(F.col("verb"), F.col("polarity")), "entry_id")
+    pick = lambda rows, how: rows.groupBy("query_id").agg(F.min_by("entry_id", rank).alias("entry_id")).withColumn("how", F.lit(how))
+    exact = pick(q.join(entries.select("entry_id", "polarity", low("name").alias("leaf")), "leaf"), "name")
+    words = entries.select("entry_id", "polarity", low("description").alias("d")).withColumn("word", F.explode(F.array_distinct(F.split("d", "[^a-z0-9]+"))))
+    rest = q.join(exact, "query_id", "left_anti").withColumn("word", F.element_at(F.split("leaf", "[^a-z0-9]+"), 1))
+    held = rest.join(words, "word").where(F.concat(F.lit(" "), F.regexp_replace("d", "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("leaf", "[^a-z0-9]+", " "), F.lit(" "))))
+    return exact.unionByName(pick(held, "description"))

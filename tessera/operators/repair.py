@@ -1,15 +1,22 @@
-"""Spelling repair by deletion neighbourhoods, and glued words cut apart."""
+"""Spelling repair by deletion neighbourhoods, lost spaces, and glued words cut apart."""
 
 from __future__ import annotations
 
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-MOST_WORDS = 50_000  # of the dictionary that word breaking broadcasts
+from tessera.operators.ranges import numbered
+
+# The longest piece of a glued word and the longest word that is cut, costs of unknown pieces, and the
+# rank from which a short word is a fragment.
+LONGEST_PIECE, LONGEST_WORD = 20, 400
+UNKNOWN, UNKNOWN_LETTER, UNKNOWN_LEAST = 6.0, 4.0, 4
+FRAGMENT_RANK = 10_000
+GLUED_RUN, GLUED_RUNS = 16, 3
 
 
 def _deletions(word):
@@ -37,35 +44,97 @@ def corrections(words: DataFrame, known: DataFrame) -> DataFrame:
     return near.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("word", "candidate", F.col("n").alias("freq"))
 
 
+def ranked_corrections(words: DataFrame, known: DataFrame) -> DataFrame:
+    """``word, candidate``: of ``known`` (word, tier, rank) one edit away, the one of the lowest tier, then rank, then by name."""
+    left = words.select("word", F.explode(_deletions(F.col("word"))).alias("form"))
+    right = known.select(F.col("word").alias("candidate"), "tier", "rank", F.explode(_deletions(F.col("word"))).alias("form"))
+    near = left.join(right, "form").where(one_edit(F.col("word"), F.col("candidate")))
+    return near.groupBy("word").agg(F.min(F.struct("tier", "rank", "candidate")).alias("b")).select("word", F.col("b.candidate").alias("candidate"))
+
+
+def rewritten(texts: DataFrame, keys: list[str], text: str, fixes: DataFrame) -> DataFrame:
+    """``keys, text``: texts with each word of ``fixes`` (word, candidate) put right; the rest is kept as it is.
+
+    A word that touches a digit is a model's name and stays.
+    """
+    whole = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([A-Za-z']+|[^A-Za-z']+)"), F.lit(1))
+    parts = texts.select(*keys, whole.alias("w")).select(*keys, F.posexplode_outer(F.transform("w", lambda x, i: F.struct(
+        x.alias("part"), (F.coalesce(F.get("w", i - 1), F.lit("")).rlike("[0-9]$") | F.coalesce(F.get("w", i + 1), F.lit("")).rlike("^[0-9]")).alias("model")
+    ))).alias("pos", "p"))
+    looked = parts.select(*keys, "pos", "p.part", F.when(~F.col("p.model"), F.lower("p.part")).alias("word")).join(fixes.select("word", "candidate"), "word", "left")
+    shown = F.struct("pos", F.coalesce("candidate", "part").alias("x"))
+    return looked.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), shown))), lambda x: x["x"]), "").alias("text"))
+
+
+def word_ranks(words: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``word, rank``: the best rank of a word, of it without its last letter, or without two; null if none is known.
+
+    ``ranks``: word, rank.  Words under three letters have none.
+    """
+    forms = F.array_distinct(F.array(F.col("word"), F.expr("left(word, length(word) - 1)"), F.expr("left(word, length(word) - 2)")))
+    looked = words.select("word", F.explode(forms).alias("form")).where("length(word) >= 3").join(ranks.select(F.col("word").alias("form"), "rank"), "form")
+    return words.join(looked.groupBy("word").agg(F.min("rank").alias("rank")), "word", "left")
+
+
+def inflected(known: DataFrame) -> DataFrame:
+    """``word``: known words with the endings that they may have in a text."""
+    return known.select(F.explode(F.transform(F.array(*[F.lit(e) for e in ("", "s", "ed", "ing", "d")]), lambda e: F.concat("word", e))).alias("word")).distinct()
+
+
+def glued(texts: DataFrame, keys: list[str], text: str, known: DataFrame) -> DataFrame:
+    """``keys, glued``: whether a text has lost its spaces: several long runs of letters that no dictionary knows."""
+    runs = texts.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"([a-z]{{{GLUED_RUN},}})"), F.lit(1))).alias("word"))
+    many = runs.join(known.select("word"), "word", "left_anti").groupBy(*keys).agg((F.count("*") >= GLUED_RUNS).alias("glued"))
+    return texts.select(*keys).join(many, keys, "left").select(*keys, F.coalesce("glued", F.lit(False)).alias("glued"))
+
+
+def spaced(text: Column, is_glued: Column) -> Column:
+    """The space after punctuation put back: in a glued text after any mark, else only between sentences ("view.Once")."""
+    every = F.regexp_replace(text, r"(?<=[a-z]{2})([.!?;,])(?=[A-Za-z][A-Za-z])", "$1 ")
+    breaks = F.regexp_replace(text, r"(?<=[a-z]{2})([.!?])(?=[A-Z][a-z])", "$1 ")
+    return F.when(is_glued, every).otherwise(breaks)
+
+
 def word_breaks(words: DataFrame, known: DataFrame) -> DataFrame:
-    """``word, pieces``: the cut of each word into known ones with the least summed rank cost.
+    """``word, pieces``: the cut of each word into known and unknown pieces of the least summed cost.
 
-    A word that cannot be cut into known ones stays whole.  The dictionary is the
-    ``MOST_WORDS`` most frequent of ``known`` (word, n).
+    A known piece costs ln((rank + 1) * ln(V + 2)), ranks being those of ``known``
+    (word, n) by frequency among its V words; an unknown one of four letters or more
+    6 and 4 a letter; shorter unknown ones, single letters but a and i, and short
+    rare words can't stand.  Pieces meet the dictionary by an equi-join, so no task
+    holds it.  Words of over 400 letters stay whole.
     """
-    ranked = known.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    total = math.log(len(ranked) + 2)
-    share = words.sparkSession.sparkContext.broadcast({r.word: math.log((i + 1) * total) for i, r in enumerate(ranked)})
+    order = F.concat(F.lpad((F.lit(10**15) - F.col("n")).cast("string"), 16, "0"), F.col("word"))
+    ranked = numbered(known.select("word", order.alias("o")), "o", "rank").select("word", (F.col("rank") - 1).alias("rank"))
+    size = math.log(known.count() + 2)
+    stands = F.when(F.length("word") == 1, F.col("word").isin("a", "i")).when(F.length("word") <= 3, F.col("rank") <= FRAGMENT_RANK).otherwise(True)
+    costs = ranked.where(stands & (F.length("word") <= LONGEST_PIECE)).select(F.col("word").alias("piece"), F.log((F.col("rank") + 1) * size).alias("cost"))
+    short = words.where(F.length("word") <= LONGEST_WORD).distinct()
+    places = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_PIECE), F.length("word") - i + 1)), lambda k: F.struct(i.alias("at"), F.substr("word", i, k).alias("piece")))))
+    met = short.where("length(word) > 0").select("word", F.explode(places).alias("p")).select("word", "p.at", "p.piece").join(costs, "piece")
+    by_word = met.groupBy("word").agg(F.collect_list(F.struct("at", F.length("piece").alias("size"), "cost")).alias("known"))
 
     @F.pandas_udf(StringType())
-    def cut(column: pd.Series) -> pd.Series:
-        cost = share.value
-
-        def one(word):
-            best = [(0.0, 0)] + [(math.inf, 0)] * len(word)
-            for end in range(1, len(word) + 1):
-                for start in range(max(0, end - 20), end):
-                    price = best[start][0] + cost.get(word[start:end], math.inf)
-                    if price < best[end][0]:
-                        best[end] = (price, start)
+    def cut(word: pd.Series, found: pd.Series) -> pd.Series:
+        def one(w, pieces):
+            n = len(w)
+            price = {(p["at"] - 1, p["size"]): p["cost"] for p in (pieces if pieces is not None else ())}
+            best = [(0.0, 0)] + [(math.inf, 0)] * n
+            for end in range(1, n + 1):
+                for start in range(max(0, end - LONGEST_PIECE), end):
+                    k = end - start
+                    more = price.get((start, k), UNKNOWN + UNKNOWN_LETTER * k if k >= UNKNOWN_LEAST else math.inf)
+                    if best[start][0] + more < best[end][0]:
+                        best[end] = (best[start][0] + more, start)
             if math.isinf(best[-1][0]):
-                return word
-            out, end = [], len(word)
+                return w
+            out, end = [], n
             while end:
-                out.append(word[best[end][1] : end])
+                out.append(w[best[end][1] : end])
                 end = best[end][1]
             return " ".join(out[::-1])
 
-        return column.map(one)
+        return pd.Series([one(w, f) for w, f in zip(word, found)])
 
-    return words.select("word", cut("word").alias("pieces"))
+    done = short.join(by_word, "word", "left").select("word", cut("word", "known").alias("pieces"))
+    return words.join(done, "word", "left").select("word", F.coalesce("pieces", "word").alias("pieces"))

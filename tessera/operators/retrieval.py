@@ -10,7 +10,7 @@ from tessera.functions import text as T
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float], stop: list[str] = T.STOPWORDS) -> DataFrame:
+def postings(docs: DataFrame, key: str, fields: dict[str, float], stop: list[str] = T.RANK_STOP) -> DataFrame:
     """``key, term, tf``: weighted counts; a field of weight 2 counts its terms twice."""
     parts = None
     for column, weight in fields.items():
@@ -43,7 +43,7 @@ def top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def query_terms(rows: DataFrame, key: str, text: str, stop: list[str] = T.STOPWORDS) -> DataFrame:
+def query_terms(rows: DataFrame, key: str, text: str, stop: list[str] = T.RANK_STOP) -> DataFrame:
     return rows.select(key, F.explode(T.without_words(T.words(F.col(text)), stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qn"))
 
 
@@ -53,19 +53,51 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, score, rank``: exact nearest vectors, the query itself left out.
+def square(a: Column) -> Column:
+    """The sum of an array's squares."""
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+
+
+def unit(a: Column, least: float = 1e-12) -> Column:
+    """An array scaled to a norm of 1; norms under ``least`` count as that."""
+    norm = F.greatest(F.sqrt(square(a)), F.lit(least))
+    return F.transform(a, lambda v: v.cast("double") / norm)
+
+
+def against_all(rows: DataFrame, queries: DataFrame, key: str, condition: Column, block: int = 4096) -> DataFrame:
+    """Every row with every query for which ``condition`` holds: a stated query set against all rows.
+
+    Queries go to all rows in blocks of about ``block``, each a broadcast of bounded
+    size and a pass over the rows, however many queries there are.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        met = rows.join(F.broadcast(part), condition)
+        out = met if out is None else out.unionAll(met)
+    return out
+
+
+def scored_against_all(vectors: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
+    """``query_id, vec_id, score, columns``: cosine of each of ``queries`` with all other ``vectors`` (vec_id, embedding, columns).
 
-    Queries go to all rows in one pass: a stated query set against all vectors.
+    Norms are taken once for each vector.
     """
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))) if queries.count() <= 4096 else queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), square(F.col("embedding")).alias("qq"))
+    v = vectors.select("vec_id", "embedding", square(F.col("embedding")).alias("vv"), *columns)
+    dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return against_all(v, q, "query_id", F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / F.sqrt(F.col("qq") * F.col("vv")), 6).alias("score"), *columns)
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score, rank``: exact nearest vectors, the query itself left out."""
+    return top(scored_against_all(vectors, queries), ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
 
 def overlap(docs: DataFrame, key: str, queries: DataFrame, qkey: str, k: int, text: str = "text") -> DataFrame:
     """``qkey, key, score, rank``: the documents whose word sets are most like each query's (Jaccard), by an equi-join on terms."""
-    words = lambda rows, name: rows.select(name, F.explode(F.array_distinct(T.without_words(T.words(F.col(text)), T.STOPWORDS))).alias("term"))
+    words = lambda rows, name: rows.select(name, F.explode(F.array_distinct(T.without_words(T.words(F.col(text)), T.RANK_STOP))).alias("term"))
     d, q = words(docs, key), words(queries, qkey)
     d_n, q_n = d.groupBy(key).agg(F.count("*").alias("dn")), q.groupBy(qkey).agg(F.count("*").alias("qn"))
     common = d.join(q, "term").groupBy(qkey, key).agg(F.count("*").alias("c"))
@@ -73,6 +105,14 @@ def overlap(docs: DataFrame, key: str, queries: DataFrame, qkey: str, k: int, te
     return top(scored, [qkey], [F.desc("score"), F.col(key)], k)
 
 
+def overlap_of(pairs: DataFrame, docs: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
+    """``pairs`` (qkey, key) with ``overlap``: the same similarity, for these pairs alone."""
+    words = lambda c: F.array_distinct(T.without_words(T.words(c), T.RANK_STOP))
+    d = docs.join(pairs.select(key).distinct(), key, "left_semi").select(key, words(F.col(text)).alias("dw"))
+    q = queries.select(qkey, words(F.col(text)).alias("qw"))
+    return pairs.join(d, key).join(q, qkey).withColumn("overlap", F.round(T.jaccard(F.col("dw"), F.col("qw"), 0.0), 6)).drop("dw", "qw")
+
+
 def rrf(lists: list[DataFrame], qkey: str, key: str, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists: ``qkey, key, score, rank``."""
     union = None
@@ -83,10 +123,74 @@ def rrf(lists: list[DataFrame], qkey: str, key: str, k: int, constant: int = 60)
     return top(fused, [qkey], [F.desc("score"), F.col(key)], k)
 
 
+# How much a step's verb and an entry's polarity agree or clash, and what an entry on another surface loses.
+AGREES, CLASHES, ELSEWHERE, LEAF = 0.25, -0.35, -0.3, 0.6
+WANTED = {"enable": "onURL", "disable": "offURL", "set": "updateURL", "adjust": "updateURL", "open": "onClickURL", "check": "onClickURL"}
+OPPOSITE = {"enable": "offURL", "disable": "onURL"}
+
+
+def polarity_bonus(verb: Column, kinds: Column) -> Column:
+    """By the polarities of a node's entries: agreement where the wanted one is among them; a clash only where the opposite is all there is."""
+    out = F.lit(0.0)
+    for name, kind in OPPOSITE.items():
+        out = F.when((verb == name) & (F.size(kinds) > 0) & F.forall(kinds, lambda k: k == kind), CLASHES).otherwise(out)
+    for name, kind in WANTED.items():
+        out = F.when((verb == name) & F.array_contains(kinds, kind), AGREES).otherwise(out)
+    return out
+
+
+def leaf_overlap(leaf: Column, message: Column, description: Column, verbs: list[str]) -> Column:
+    """Similarity of a leaf with an entry's message without verbs, or with its description, whichever is more; 0 for nothing."""
+    words = lambda c: F.array_distinct(T.words(F.coalesce(c, F.lit(""))))
+    return F.greatest(T.jaccard(words(leaf), T.without_words(words(message), verbs), 0.0), T.jaccard(words(leaf), words(description), 0.0))
+
+
+def rescored(score: Column, best: Column, leaf: Column, polarity: Column, elsewhere: Column) -> Column:
+    """A fused score against the best one, with what leaf, polarity and surface add."""
+    return score / best + LEAF * leaf + polarity + F.when(elsewhere, ELSEWHERE).otherwise(0.0)
+
+
+def page_on_path(path: Column, node: Column, least: float = 0.5) -> Column:
+    """Whether some part of a step's path but ``settings`` is like a part of the node's path; parts without words are passed by."""
+    parts = lambda c: F.filter(F.transform(F.split(F.lower(c), r"[>/]"), lambda p: F.array_distinct(T.words(p))), lambda w: F.size(w) > 0)
+    own = F.filter(parts(path), lambda w: ~((F.size(w) == 1) & (F.element_at(w, 1) == "settings")))
+    return F.exists(own, lambda w: F.exists(parts(node), lambda x: T.jaccard(w, x, 0.0) >= least))
+
+
+def screen_docs(members: DataFrame, node: str, order: str, *fields: str) -> DataFrame:
+    """``node, doc``: the distinct texts of a node's members, in order, as one document."""
+    texts = F.array_compact(F.array(*[F.nullif(F.trim(F.col(f)), F.lit("")) for f in fields]))
+    rows = members.groupBy(node).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), texts.alias("t")))).alias("r"))
+    return rows.select(node, F.array_join(F.array_distinct(F.flatten(F.transform("r", lambda x: x["t"]))), ". ").alias("doc"))
+
+
+def section_relevance(sections: DataFrame, intents: DataFrame, key: str) -> DataFrame:
+    """``key, section, intent, relevance``: cosine of each section with each intent of its request, 0 to 1, two digits.
+
+    ``sections``: key, section, vec; ``intents``: key, intent, ivec.  A request has
+    a few of both.
+    """
+    rel = F.round(F.least(F.greatest(cosine(F.col("vec"), F.col("ivec")), F.lit(0.0)), F.lit(1.0)), 2)
+    return sections.join(intents, key).select(key, "section", "intent", F.coalesce(rel, F.lit(0.0)).alias("relevance"))
+
+
 def tier(score: Column, verb: Column, path: Column, floor: float = 1.6) -> Column:
     """Where a step leads: a catalogue entry, a page of the settings, or nowhere."""
-    off_screen = verb.isin("restart", "charge", "contact", "visit")
-    return F.when(off_screen, "manual").when(score >= floor, "catalog").when(path.rlike("^settings"), "dummy").otherwise("manual")
+    off_screen = F.coalesce(verb.isin(OFF_SCREEN), F.lit(False))
+    return F.when(off_screen, "manual").when(score >= floor, "catalog").when(F.lower(path).rlike("^settings"), "dummy").otherwise("manual")
+
+
+#: Verbs that no screen serves, and those that change a setting.
+OFF_SCREEN = ["restart", "reset", "charge", "contact", "visit", "inspect", "clean"]
+CHANGES = ["enable", "disable", "set", "adjust"]
+
+
+def resolved(score: Column, verb: Column, path: Column, page: Column, on_path: Column, floor: float = 1.6) -> Column:
+    """The tier with the fallback to a page: a step that changes a setting, and finds no entry good enough,
+    takes the page (``page``: the score of a search for the screen itself) if that lies on its path."""
+    own = tier(score, verb, path, floor)
+    take = (own != "catalog") & verb.isin(CHANGES) & F.coalesce(page >= floor, F.lit(False)) & F.coalesce(on_path, F.lit(False))
+    return F.when(take, "page").otherwise(own)
 
 
 def confidence(score: Column, most: float = 1.85) -> Column:

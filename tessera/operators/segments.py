@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,34 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return parts.select(key, (F.col("i") + 1).alias("line_no"), F.trim("line").alias("line")).where("line <> ''")
 
 
+def preamble(text: Column) -> Column:
+    """``title, intro, rest`` of an article: what stands before its first ``#``, without the breadcrumb that opens it.
+
+    A breadcrumb is ``<categories> <title> (<categories>):``, its categories compared
+    without spaces.  One line without a sentence is a breadcrumb of another shape.
+    """
+    squash = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    at = F.instr(text, "#")
+    pre = F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
+    rest = F.when(at > 0, F.substr(text, at)).otherwise(F.lit(""))
+    crumb = r"^\s*([^\n()]{1,600}?)\(\s*([^()\n]{1,600}?)\s*\)\s*:\s*"
+    head, cats = F.trim(F.regexp_extract(pre, crumb, 1)), squash(F.regexp_extract(pre, crumb, 2))
+    is_crumb = (cats != "") & squash(head).startswith(cats)
+    # how far the categories reach into the head, which may space them otherwise
+    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1))), F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at")), lambda a, i: F.when(a["seen"] >= F.length(cats), a).otherwise(
+        F.struct((a["seen"] + F.substr(head, i, F.lit(1)).rlike(r"\S").cast("int")).alias("seen"), i.alias("at"))
+    ))["at"]
+    name = F.when(is_crumb, F.regexp_replace(F.substr(head, walk + 1), r"^[ ,:]+|[ ,:]+$", "")).otherwise(F.lit(""))
+    label = (at > 0) & ~pre.rlike(r"(?s)\S.*\n.*\S") & ~pre.rlike(r"[.!?]\s")
+    intro = F.when(is_crumb, F.regexp_replace(pre, crumb, "")).when(label, F.lit("")).otherwise(pre)
+    return F.struct(name.alias("title"), F.regexp_replace(intro, r"^\s+|\s+$", "").alias("intro"), rest.alias("rest"))
+
+
+def section_text(heading: Column, body: Column, most: int = 400) -> Column:
+    """What a section is compared by: its heading and the start of its body, where the limit is the feature."""
+    return F.trim(F.concat_ws(" ", heading, F.substring(body, 1, most)))
+
+
 def sections(rows: DataFrame, key: str, header: str = r"^#{1,6} ") -> DataFrame:
     """``key, section, heading, n_lines, n_chars``: lines under the header before them (section 0: none)."""
     order = Window.partitionBy(key).orderBy("line_no")
@@ -39,11 +67,11 @@ def islands(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     return marked.groupBy(*keys, "island", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def runs(rows: DataFrame, keys: list[str], order: str, gap: int) -> DataFrame:
-    """The rows with ``run``: a new one where ``order`` jumps by ``gap`` or more."""
+def runs(rows: DataFrame, keys: list[str], order: str, gap: int, starts: Column | None = None) -> DataFrame:
+    """The rows with ``run``: a new one where ``order`` jumps by ``gap`` or more, and ``starts`` (a condition) holds if given."""
     w = Window.partitionBy(*keys).orderBy(order)
-    step = F.col(order) - F.lag(order).over(w)
-    return rows.withColumn("run", F.sum(F.when(step >= gap, 1).otherwise(0)).over(w))
+    step = F.col(order) - F.lag(order).over(w) >= gap
+    return rows.withColumn("run", F.sum(F.when(step if starts is None else step & starts, 1).otherwise(0)).over(w))
 
 
 def look_around(rows: DataFrame, key: str, order: str, flag: str, back: int, ahead: int) -> DataFrame:

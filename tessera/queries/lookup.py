@@ -16,7 +16,7 @@ _SIDE = """SELECT vec_id, label, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 3
   CASE WHEN vec_id % 5 = 0 THEN 'configure' ELSE 'fault' END AS intent, CASE WHEN vec_id % 7 = 0 THEN 'add' WHEN vec_id % 7 = 1 THEN 'remove' END AS direction, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE 'v' || (vec_id % 11 // 10) END AS version FROM embeddings"""
 _GUARD = f"""
   s AS ({_SIDE}),
-  p AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_id, {_COS} AS score FROM s q JOIN s c ON q.label = c.label AND q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0
+  p AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_id, {_COS} AS score FROM s q JOIN s c ON q.label = c.label AND q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
         WHERE (q.component IS NULL OR c.component IS NULL OR q.component = c.component) AND (q.symptom IS NULL OR (c.symptom IS NOT NULL AND q.symptom = c.symptom))
           AND (q.intent IS NULL OR c.intent IS NULL OR q.intent = c.intent) AND (q.direction IS NULL OR c.direction IS NULL OR q.direction = c.direction)
           AND (q.version IS NULL OR c.version IS NULL OR q.version = c.version)),
@@ -30,20 +30,20 @@ def _sides(t):
         F.when(v % 5 == 0, "configure").otherwise("fault").alias("intent"), F.when(v % 7 == 0, "add").when(v % 7 == 1, "remove").alias("direction"), F.when(v % 11 != 0, F.concat(F.lit("v"), F.floor(v % 11 / 10))).alias("version"),
     )
     names = ["component", "symptom", "intent", "direction", "vec", "version"]
-    q = s.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "siis_hash", *[F.col(n).alias(f"q_{n}") for n in names])
-    c = s.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("entry_id"), "siis_hash", *[F.col(n).alias(f"c_{n}") for n in names])
+    q = s.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "siis_hash", *[F.col(n).alias(f"q_{n}") for n in names])
+    c = s.select(F.col("vec_id").alias("entry_id"), "siis_hash", *[F.col(n).alias(f"c_{n}") for n in names])
     return q, c
 
 
 @query(f"WITH {_GUARD} SELECT query_id, entry_id, score FROM g WHERE rn = 1")
 def guarded_lookup(t):
-    """The most similar vector of the same label whose slots agree."""
+    """The most similar other vector of the same label whose slots agree, for every hundredth one."""
     return L.guarded(*_sides(t), least=0.2)
 
 
-@query(f"""WITH {_GUARD}, e AS (SELECT q.vec_id AS query_id, min(c.vec_id) AS entry_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0 AND q.vec_id // 10 % 13 = c.vec_id // 10 % 97 GROUP BY q.vec_id)
+@query(f"""WITH {_GUARD}, e AS (SELECT q.vec_id AS query_id, min(c.vec_id) AS entry_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND q.vec_id // 10 % 13 = c.vec_id // 10 % 97 GROUP BY q.vec_id)
   SELECT q.vec_id AS query_id, coalesce(e.entry_id, g.entry_id) AS entry_id, CASE WHEN e.entry_id IS NOT NULL THEN 'exact' WHEN g.entry_id IS NOT NULL THEN 'semantic' ELSE 'miss' END AS tier
-  FROM embeddings q LEFT JOIN e ON e.query_id = q.vec_id LEFT JOIN g ON g.query_id = q.vec_id AND g.rn = 1 WHERE q.vec_id % 10 = 0""")
+  FROM embeddings q LEFT JOIN e ON e.query_id = q.vec_id LEFT JOIN g ON g.query_id = q.vec_id AND g.rn = 1 WHERE q.vec_id % 100 = 0""")
 def tiered_lookup(t):
     """Exact key first, then the guarded neighbour, then a miss."""
     q, c = _sides(t)
@@ -53,13 +53,12 @@ def tiered_lookup(t):
 
 @query("""
   WITH s AS (SELECT q.vec_id AS query_id, c.label, max(round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6)) AS score
-             FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.label),
+             FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, c.label),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rn, coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, label), 0) AS second FROM s)
   SELECT query_id, label, score, second FROM r WHERE rn = 1 AND score >= 0.3 AND round(score - second, 6) >= 0.01""")
 def nearest_with_margin(t):
     """The label whose best vector is nearest, if it is clearly ahead of the next."""
-    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = t.embeddings.join(q, F.col("vec_id") != F.col("query_id")).groupBy("query_id", "label").agg(F.max(F.round(R.cosine(F.col("q"), F.col("embedding")), 6)).alias("score"))
+    s = R.scored_against_all(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "label").groupBy("query_id", "label").agg(F.max("score").alias("score"))
     return R.with_margin(s, ["query_id"], "score", "label", 0.3, 0.01)
 
 
@@ -110,11 +109,11 @@ def upsert_latest(t):
 
 
 @query("""
-  WITH q AS (SELECT conv_id, turn, sha256(lower(text)) AS k FROM conversations), f AS (SELECT k, min(conv_id * 1000 + turn) AS first FROM q GROUP BY k)
-  SELECT conv_id, turn, substr(q.k, 1, 24) AS key, first < conv_id * 1000 + turn AS reused FROM q JOIN f USING (k)""")
+  WITH q AS (SELECT conv_id, turn, sha256(lower(text)) AS k FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) AS rn FROM q)
+  SELECT conv_id, turn, substr(k, 1, 24) AS key, rn > 1 AS reused FROM r""")
 def memo_reuse(t):
     """Whether an equal prompt came before, as a memo would answer it."""
-    q = t.conversations.select("conv_id", "turn", F.sha2(F.lower("text").cast("binary"), 256).alias("k"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"))
+    q = t.conversations.select("conv_id", "turn", F.sha2(F.lower("text").cast("binary"), 256).alias("k"), F.struct("conv_id", "turn").alias("o"))
     f = q.groupBy("k").agg(F.min("o").alias("first"))
     return q.join(f, "k").select("conv_id", "turn", F.substring("k", 1, 24).alias("key"), (F.col("first") < F.col("o")).alias("reused"))
 

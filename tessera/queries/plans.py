@@ -6,20 +6,26 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.lexicon import sql_list
 from tessera.operators import plans as P
 from tessera.operators import segments
+from tessera.operators.ranges import numbered
 from tessera.queries.registry import query
 
-_DIS = """CASE WHEN regexp_matches(lower(head), 'factory|reset|update|safe mode|restart|reboot') THEN 5 WHEN regexp_matches(head, 'ervice|support') THEN 4 WHEN regexp_matches(head, 'diagnos|test') THEN 3
-  WHEN regexp_matches(head, 'network|account') THEN 2 WHEN regexp_matches(head, 'app') THEN 1 WHEN regexp_matches(text, 'ervice|support') THEN 4 WHEN regexp_matches(text, 'diagnos|test') THEN 3 ELSE 0 END"""
+_DIS = r"""CASE WHEN regexp_matches(lower(head), '\brestart(ing|s|ed)?\b|\breboot|\bsafe mode\b|\bsoftware updates?\b|\bsystem update|\bfirmware update|\bfactory (data )?reset\b|\breset\b.*\bfactory\b') THEN 5
+  WHEN regexp_matches(head, '(?i)service cent|\bcontact\b|samsung support|customer support|\bcarrier\b|\brepair\b|authori[sz]ed') THEN 4 WHEN regexp_matches(head, '(?i)samsung members|diagnos') THEN 3
+  WHEN regexp_matches(head, '(?i)reset network|network settings|\bsign (in|out)\b|re-?add|(remove|add) (the |your )?(\w+ )?account|\bre-?log') THEN 2
+  WHEN regexp_matches(head, '(?i)clear (the )?(app''?s? )?(cache|data|storage)|\bcache\b|uninstall|reinstall|force stop|app updates?') THEN 1
+  WHEN regexp_matches(text, '(?i)service cent|\bcontact\b|samsung support|customer support|\bcarrier\b|\brepair\b|authori[sz]ed') THEN 4 WHEN regexp_matches(text, '(?i)samsung members|diagnos') THEN 3 ELSE 0 END"""
 
 
 @query(f"""WITH d AS (SELECT doc_id, source, {_DIS} AS rank FROM (SELECT doc_id, source, text, split_part(text, chr(10), 1) AS head FROM documents))
-  SELECT doc_id, rank, CAST(row_number() OVER (PARTITION BY source ORDER BY rank, doc_id) AS INTEGER) AS place FROM d""")
+  SELECT doc_id, rank, row_number() OVER (ORDER BY rank, doc_id) AS place FROM d""")
 def disruption_order(t):
-    """Documents of each source ordered from the least to the most disruptive."""
-    d = t.documents.select("doc_id", "source", P.disruption(F.substring_index("text", "\n", 1), F.col("text")).alias("rank"))
-    return P.ordered(d, ["source"], ["rank", "doc_id"]).select("doc_id", "rank", "place")
+    """Documents from the least to the most disruptive, numbered range by range: ids are parted into ranges inside each rank."""
+    d = t.documents.select("doc_id", P.disruption(F.substring_index("text", "\n", 1), F.col("text")).alias("rank"))
+    key = F.concat(F.col("rank").cast("string"), F.lpad(F.col("doc_id").cast("string"), 20, "0"))
+    return numbered(d.withColumn("o", key), "o", "place").select("doc_id", "rank", F.col("place").cast("long").alias("place"))
 
 
 @query()
@@ -55,7 +61,7 @@ _SENT = r"""
   p AS (SELECT doc_id, line_no, string_split(regexp_replace(trim(line), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM l WHERE trim(line) <> ''),
   s AS (SELECT doc_id, line_no, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM p),
   n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos) AS no, sentence FROM s)"""
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = sql_list(T.RANK_STOP)
 _TERMS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda x: x NOT IN ({_STOP})))"
 _A, _B = _TERMS.format("text"), _TERMS.format("source")
 
@@ -93,12 +99,3 @@ def compile_plan(t):
     """Lines under orders under customers, nested in order and written as JSON."""
     rows = t.orders.select("o_custkey", "o_orderkey").join(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return P.nested(rows, "o_custkey", "o_orderkey", "l_linenumber", "l_partkey").select("o_custkey", F.to_json("plan").alias("plan"))
-
-
-@query("""
-  WITH f AS (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS followed FROM events GROUP BY ALL)
-  SELECT user_id, day, n, followed, n >= 3 AND followed >= 2 AS complete, least(n - followed, 12 - followed) AS room FROM f""")
-def procedure_completion(t):
-    """Whether a numbered procedure was followed enough to be completed, and how many steps may be added."""
-    f = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("followed"))
-    return f.select("user_id", "day", "n", "followed", ((F.col("n") >= 3) & (F.col("followed") >= 2)).alias("complete"), F.least(F.col("n") - F.col("followed"), 12 - F.col("followed")).alias("room"))

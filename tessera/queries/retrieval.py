@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.lexicon import sql_list
 from tessera.operators import retrieval as R
 from tessera.queries.registry import query
+from tessera.sources import files
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = sql_list(T.RANK_STOP)
 
 
 def _terms(table: str, key: str, column: str, extra: str = "") -> str:
@@ -30,7 +32,8 @@ _JAC = f"""
 
 
 def _bm25(t, k=20):
-    return R.bm25(R.postings(t.documents, "doc_id", {"text": 1}), "doc_id", R.query_terms(t.benchmark, "item_id", "text"), "item_id", k)
+    index = files.stored(R.postings(t.documents, "doc_id", {"text": 1}), "postings")  # read for lengths, counts and scores
+    return R.bm25(index, "doc_id", R.query_terms(t.benchmark, "item_id", "text"), "item_id", k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 20")
@@ -91,8 +94,8 @@ _RESCORE = f"""{_RRF},
 
 
 def _rescored(t):
-    g = _fused(t, 10).withColumn("rel", F.col("score") / F.max("score").over(R.Window.partitionBy("item_id"))).select("item_id", "doc_id", "rel")
-    near = R.overlap(t.documents, "doc_id", t.benchmark, "item_id", 1 << 30).select("item_id", "doc_id", F.col("score").alias("leaf"))
+    g = files.stored(_fused(t, 10).withColumn("rel", F.col("score") / F.max("score").over(R.Window.partitionBy("item_id"))).select("item_id", "doc_id", "rel"), "fused")
+    near = R.overlap_of(g.select("item_id", "doc_id"), t.documents, "doc_id", t.benchmark, "item_id").withColumnRenamed("overlap", "leaf")
     d = t.documents.select("doc_id", "lang", F.col("text").contains("|").alias("table"))
     h = g.join(near, ["item_id", "doc_id"], "left").join(d, "doc_id")
     score = F.col("rel") + 0.6 * F.coalesce("leaf", F.lit(0.0)) + F.when(F.col("lang") == "en", 0.25).otherwise(-0.35) + F.when(F.col("table"), -0.3).otherwise(0.0)

@@ -11,23 +11,6 @@ from tessera.operators import plans as P
 from tessera.operators import retrieval as R
 from tessera.queries.registry import query
 
-#: Frequent words in place of verbs, as the corpus is invented.
-_VERBS = ["the", "and", "is", "of", "in", "der", "die", "la", "le", "de", "to", "on"]
-_VERB_SQL = ", ".join(f"'{v}'" for v in _VERBS)
-
-
-@query(f"""
-  WITH s AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
-  p AS (SELECT doc_id, line, list_filter(list_transform(string_split(regexp_replace(regexp_replace(rtrim(line), ', *(and )?(then )?', chr(1), 'g'), '; *| and then ', chr(1), 'g'), chr(1)), lambda x: regexp_replace(trim(x), '\\.$', '')), lambda x: x <> '') AS parts FROM s)
-  SELECT doc_id, CASE WHEN len(parts) > 1 AND len(list_filter(parts, lambda x: regexp_extract(lower(regexp_replace(x, '^[A-Za-z]+ly +', '')), '^([\\pL''-]+)', 1) IN ({_VERB_SQL}))) = len(parts) THEN len(parts) ELSE 1 END AS n_steps,
-         regexp_extract(lower(regexp_replace(line, '^[A-Za-z]+ly +', '')), '^([\\pL''-]+)', 1) IN ({_VERB_SQL}) AS instructs
-  FROM p""".replace("\\\\", "\\"))
-def instruction_steps(t):
-    """Steps of each document's first line, and whether it opens like an instruction."""
-    line = F.substring_index("text", "\n", 1)
-    return t.documents.select("doc_id", F.size(S.steps(line, _VERBS)).cast("long").alias("n_steps"), S.opens_with(line, _VERBS).alias("instructs"))
-
-
 @query("""
   WITH w AS (SELECT p_partkey, list_filter(string_split(trim(p_name), ' '), lambda x: x <> '') AS w FROM part), c AS (SELECT p_partkey, w[1:3] AS c FROM w),
   f AS (SELECT p_partkey, lower(array_to_string(CASE WHEN len(c) = 0 THEN ['Troubleshooting', 'issue'] WHEN len(c) = 1 THEN list_append(c, 'issue') ELSE c END, ' ')) AS low FROM c)
@@ -50,7 +33,7 @@ def catalog_clean(t):
     k = F.col("p_size") % 4
     wrapped = F.when(k == 0, F.concat(F.lit("Enables the "), "p_name")).when(k == 1, F.concat(F.lit("Opens the "), "p_name", F.lit(" settings page."))).when(k == 2, F.concat(F.lit("Retrieves the "), "p_name", F.lit(" for monitoring"))).otherwise(F.concat(F.lit("Sets "), "p_name"))
     kind, message = F.when(k == 2, "updateURL"), F.when(k == 0, " OnURL").when(k == 1, "offurl").otherwise("x")
-    return t.part.select("p_partkey", S.catalog_name(wrapped).alias("name"), S.polarity(kind, message).alias("polarity"), S.goal(F.concat("p_name", F.lit(" Troubleshooting Guide"))).alias("goal"))
+    return t.part.select("p_partkey", S.catalog_name(wrapped).alias("name"), S.polarity(kind, message).alias("polarity"), S.goal(F.concat("p_name", F.lit(" Troubleshooting Configuration"))).alias("goal"))
 
 
 @query("""SELECT conv_id, string_agg(regexp_replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' '), '"', '', 'g'), ' ' ORDER BY turn) AS query FROM conversations GROUP BY conv_id""")
@@ -92,12 +75,11 @@ _COS = "round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / s
 
 
 @query(f"""
-  WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_id, {_COS} AS score, CASE WHEN c.vec_id % 2 = 0 THEN 'kit' ELSE 'cache' END AS source FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0),
+  WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_id, {_COS} AS score, CASE WHEN c.vec_id % 2 = 0 THEN 'kit' ELSE 'cache' END AS source FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE source WHEN 'kit' THEN 0 ELSE 1 END, entry_id) AS rn FROM s WHERE score >= 0.25) SELECT query_id, entry_id, score, source FROM r WHERE rn = 1""")
 def two_source_best(t):
     """The best of two tables for each query; the first table wins ties."""
-    q = F.broadcast(t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    s = t.embeddings.where("vec_id % 50 <> 0").join(q, F.lit(True)).select("query_id", F.col("vec_id").alias("entry_id"), F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("score"), F.when(F.col("vec_id") % 2 == 0, "kit").otherwise("cache").alias("source"))
+    s = R.scored_against_all(t.embeddings, t.embeddings.where("vec_id % 100 = 0")).select("query_id", F.col("vec_id").alias("entry_id"), "score", F.when(F.col("vec_id") % 2 == 0, "kit").otherwise("cache").alias("source"))
     return R.top(s.where("score >= 0.25"), ["query_id"], [F.desc("score"), F.desc("source"), "entry_id"], 1).drop("rank")
 
 
@@ -170,13 +152,14 @@ def stale_runs(t):
 
 
 @query("""
-  WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+')) AS ids, regexp_extract_all(lower(text), '[a-z]+')[1:40] AS allowed FROM documents)
+  WITH h AS (SELECT doc_id, split_part(text, chr(10), 1) AS head, text FROM documents),
+  a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(head), '[a-z]+')) AS ids, regexp_extract_all(lower(substr(text, length(head) + 2)), '[a-z]+') AS allowed FROM h)
   SELECT doc_id, len(ids) AS n_ids, len(list_filter(ids, lambda x: NOT list_contains(allowed, x))) AS n_unknown FROM a""")
 def answer_ids(t):
-    """Ids of an answer that its article doesn't have."""
-    return t.documents.select("doc_id", T.words(F.substring_index("text", "\n", 1), "[a-z]+").alias("i"), T.words(F.col("text"), "[a-z]+").alias("a")).select(
-        "doc_id", F.size(F.array_distinct("i")).cast("long").alias("n_ids"), F.size(F.array_except(F.array_distinct("i"), F.slice("a", 1, 40))).cast("long").alias("n_unknown")
-    )
+    """Ids of an answer (words of the first line) that its article (all other lines) doesn't have."""
+    head = F.substring_index("text", "\n", 1)
+    rows = t.documents.select("doc_id", F.array_distinct(T.words(head, "[a-z]+")).alias("i"), T.words(F.substr("text", F.length(head) + 2), "[a-z]+").alias("a"))
+    return rows.select("doc_id", F.size("i").cast("long").alias("n_ids"), F.size(F.array_except("i", "a")).cast("long").alias("n_unknown"))
 
 
 @query("""

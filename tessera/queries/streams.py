@@ -33,7 +33,7 @@ def session(t):
 
 def _stream(t):
     rows = t.events
-    return W.timed(W.file_stream(t.spark, t.sf_dir, rows.schema, "events.parquet"))
+    return W.timed(W.file_stream(t.spark, f"{t.sf_dir}/events.parquet", rows.schema))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.lexicon import sql_list
 from tessera.operators import repair, segments, slots
+from tessera.operators.ranges import numbered
 from tessera.queries.registry import query
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_CONTENT_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS + T.UI_VERBS)
+_STOP = sql_list(T.RANK_STOP)
+_CONTENT_STOP = sql_list(T.STOPWORDS + T.UI_VERBS)
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
@@ -20,7 +21,7 @@ _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 def tok_stats(t):
     """Tokens of each document, with and without stop words (tokenizer with repeats)."""
     w = T.words(F.col("text"))
-    kept = T.without_words(w, T.STOPWORDS)
+    kept = T.without_words(w, T.RANK_STOP)
     return t.documents.select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_kept"), F.size(F.array_distinct(kept)).cast("long").alias("n_distinct"))
 
 
@@ -35,12 +36,10 @@ def norm_key(t):
 
 def _sql_scrub(column: str) -> str:
     out = column
-    for _, pattern, by in T.SCRUB:
+    for pattern, by in T.SCRUB_PLAIN:
         pattern, by = pattern.replace("'", "''"), by.replace("$1", "\\1")
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
-    out = f"regexp_replace({out}, '\\( *\\)|\\[ *\\]', '', 'g')"
-    out = f"regexp_replace({out}, ' +([.,;:!?])', '\\1', 'g')"
-    return f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
 
 
 @query(f"SELECT page_id, {_sql_scrub('html')} AS clean, substr(sha256({_sql_scrub('html')}), 1, 16) AS hash FROM pages")
@@ -57,7 +56,7 @@ def scrub_docs(t):
 
 
 def _sql_leaks(table: str, key: str, column: str) -> str:
-    flags = " || ".join(f"CASE WHEN regexp_matches({column}, '{p}') THEN '{n} ' ELSE '' END" for n, p in sorted(T.LEAKS.items()))
+    flags = " || ".join(f"CASE WHEN regexp_matches({column}, '{p}') THEN '{n} ' ELSE '' END" for n, p in sorted(T.LEAK_NAMES.items()))
     return f"SELECT {key}, rtrim({flags}) AS leaks FROM {table}"
 
 
@@ -135,14 +134,25 @@ def mean_pairwise_jaccard(t):
     return p.groupBy("conv_id").agg(F.count("*").alias("n_pairs"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard"))
 
 
-_LEX = ", ".join(f"('{f}', '{lab}', '{p}', {w})" for f, lab, p, w in slots.LEXICON)
-_DENY = " OR ".join(f"before LIKE '% {w} '" for w in slots.DENIALS)
+#: Frequent words of the corpus in place of phrases, as its texts are invented: field, label, phrase, weak.
+CORPUS_LEXICON = [
+    ("component", "relation", "of the", 0), ("component", "relation", "of a", 0), ("component", "place", "in the", 0), ("component", "place", "on the", 0),
+    ("component", "union", "and the", 0), ("component", "general", "the", 1), ("component", "general", "der", 1), ("component", "general", "la", 1),
+    ("symptom", "reason", "for the", 0), ("symptom", "reason", "by the", 0), ("symptom", "state", "is", 0), ("symptom", "state", "was", 0), ("symptom", "state", "est", 0),
+    ("configure", "configure", "with", 0), ("configure", "configure", "that", 0), ("configure", "configure", "que", 0),
+    ("direction", "add", "to", 0), ("direction", "add", "zu", 0), ("direction", "remove", "from", 0), ("direction", "remove", "von", 0),
+]
+CORPUS_DENIALS = ["not ", "no ", "a ", "les ", "die "]
+_LEX = ", ".join(f"('{f}', '{lab}', '{p}', {w})" for f, lab, p, w in CORPUS_LEXICON)
+_DENY = " OR ".join(f"before LIKE '%{w}'" for w in CORPUS_DENIALS)
+_FOUND = f"""
+  lex(field, label, phrase, weak) AS (VALUES {_LEX}),
+  n AS (SELECT conv_id, turn, lower(text) AS s FROM conversations),
+  m AS (SELECT conv_id, turn, field, label, weak, length(phrase) AS size, length(regexp_extract(s, '(?s)^((?:.*?[^\\pL\\pN_])??)' || phrase || '(?:[^\\pL\\pN_]|$)', 1)) + 1 AS pos, s FROM n, lex WHERE regexp_matches(s, '(^|[^\\pL\\pN_])' || phrase || '([^\\pL\\pN_]|$)')),
+  d AS (SELECT *, substr(s, greatest(1, pos - 14), least(pos - 1, 14)) AS before FROM m),
+  k AS (SELECT * FROM d WHERE NOT ({_DENY}))"""
 _SLOTS = f"""
-  WITH lex(field, label, phrase, weak) AS (VALUES {_LEX}),
-  n AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS s FROM conversations),
-  m AS (SELECT conv_id, turn, field, label, weak, length(phrase) AS size, instr(s, ' ' || phrase || ' ') AS pos, s FROM n, lex WHERE instr(s, ' ' || phrase || ' ') > 0),
-  d AS (SELECT *, substr(s, greatest(1, pos - 13), least(pos, 14)) AS before FROM m),
-  k AS (SELECT * FROM d WHERE NOT ({_DENY})),
+  WITH {_FOUND},
   r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, field ORDER BY weak, pos, size DESC, label) AS rn FROM k),
   p AS (SELECT conv_id, turn, max(CASE WHEN field = 'component' AND rn = 1 THEN label END) AS component, max(CASE WHEN field = 'symptom' AND rn = 1 THEN label END) AS symptom,
                max(CASE WHEN field = 'configure' THEN 1 END) AS conf, count(DISTINCT CASE WHEN field = 'direction' THEN label END) AS n_dir, max(CASE WHEN field = 'direction' THEN label END) AS dir
@@ -154,7 +164,7 @@ _SLOTS = f"""
 @query(_SLOTS)
 def slot_extract(t):
     """Component, symptom, intent and direction of each turn by a broadcast lexicon."""
-    return slots.extract(t.conversations, ["conv_id", "turn"], "text")
+    return slots.extract(t.conversations, ["conv_id", "turn"], "text", CORPUS_LEXICON, CORPUS_DENIALS)
 
 
 @query(f"""
@@ -165,7 +175,7 @@ def slot_extract(t):
   FROM q LEFT JOIN d ON q.conv_id = d.doc_id""")
 def mismatch_check(t):
     """Whether a turn shares a word stem with the document of the same number."""
-    stems = lambda c: F.array_distinct(F.transform(F.filter(T.words(c), lambda w: ~w.isin(T.STOPWORDS) & (F.length(w) >= 4)), lambda w: T.stem(w)))
+    stems = lambda c: F.array_distinct(F.transform(F.filter(T.words(c), lambda w: ~w.isin(T.RANK_STOP) & (F.length(w) >= 4)), lambda w: T.stem(w)))
     q = t.conversations.select("conv_id", "turn", stems(F.col("text")).alias("terms"))
     d = t.documents.select("doc_id", stems(F.col("text")).alias("stems"))
     shared = F.size(F.array_intersect("terms", "stems"))
@@ -233,5 +243,5 @@ def duration_parse(t):
 def word_ranks(t):
     """Frequency ranks of words, the dictionary that repair works with."""
     w = t.documents.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
-    ranks = w.select("n").distinct().withColumn("freq_rank", F.dense_rank().over(Window.orderBy(F.desc("n"))).cast("long"))
-    return w.join(ranks, "n").select("word", "n", "freq_rank")
+    ranks = numbered(w.select("n", (-F.col("n")).alias("less")).distinct(), "less", "freq_rank")
+    return w.join(ranks, "n").select("word", "n", F.col("freq_rank").cast("long").alias("freq_rank"))

@@ -5,19 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, a new local one, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: for what a plan reads more than once."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def json_documents(spark: SparkSession, path: str, field: str) -> DataFrame:
     """The elements of an array at ``field`` of each JSON file."""
     return spark.read.json(path, multiLine=True).select(F.explode(field).alias("row")).select("row.*")
@@ -75,3 +85,46 @@ def parsed_frames(frames: DataFrame, schema: str) -> DataFrame:
     line = lambda start: F.element_at(F.filter(F.split("frame", "\n"), lambda x: x.startswith(start)), 1)
     data = F.from_json(F.substr(line("data: "), F.lit(7)), schema)
     return frames.select(F.substr(line("event: "), F.lit(8)).alias("event"), data.alias("d")).select("event", "d.*")
+
+
+def cached_entries(spark: SparkSession, path: str, plan: str, texts: str = "array<string>") -> DataFrame:
+    """The answer cache from a Parquet table: ``plan`` and ``query_texts`` are JSON columns and are parsed.
+
+    A plan that doesn't parse is null; a missing ``hits`` column counts as 0.
+    """
+    rows = spark.read.parquet(path)
+    hits = F.coalesce(F.col("hits"), F.lit(0)) if "hits" in rows.columns else F.lit(0)
+    return rows.withColumn("plan", F.from_json("plan", plan)).withColumn("query_texts", F.from_json("query_texts", texts)).withColumn("hits", hits.cast("long"))
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """Leave a Parquet table with its columns and no rows."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def vector_snapshot(vectors: DataFrame, path: str, key: str, vector: str) -> None:
+    """Ids and vectors as a Parquet table, in place of an older one."""
+    vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def graph_snapshot(nodes: DataFrame, extras: DataFrame, path: str) -> None:
+    """Nodes and their further entries as two nested Parquet tables beside each other."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    extras.write.mode("overwrite").parquet(f"{path}/extras")
+
+
+def log_lines(rows: DataFrame, *columns: str) -> DataFrame:
+    """``line``: one compact JSON object for each row; nulls are left out."""
+    return rows.select(F.to_json(F.struct(*(columns or rows.columns))).alias("line"))
+
+
+def markdown_table(rows: DataFrame, order: list[str], digits: int = 2) -> DataFrame:
+    """``line``: a small table as markdown, its header and rule first; numbers with a fraction are rounded."""
+    kinds = dict(rows.dtypes)
+    cell = lambda c: F.coalesce((F.round(c, digits) if kinds[c] in ("double", "float") else F.col(c)).cast("string"), F.lit("-"))
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    n = F.row_number().over(Window.orderBy(*order))  # of a report, not of data
+    body = rows.select((n + 1).alias("no"), bar([cell(c) for c in rows.columns]).alias("line"))
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(rows.columns) + " |"), (1, "|" + "---|" * len(rows.columns))], "no int, line string")
+    return head.unionByName(body)

@@ -27,9 +27,14 @@ def sessions(events: DataFrame, gap: str, key: str) -> DataFrame:
     return events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def file_stream(spark, path: str, schema: StructType, name: str, files: int = 1) -> DataFrame:
-    """A stream over the Parquet files whose names match ``name`` in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(path)
+def file_stream(spark, path: str, schema: StructType, files: int = 4) -> DataFrame:
+    """A stream over a Parquet table, a single file or a folder of parts, ``files`` of them at a time."""
+    name = path.rstrip("/").rpartition("/")[2]
+    first = spark.read.schema(schema).parquet(path).select("_metadata.file_name").first()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    if first is not None and first.file_name == name:  # a stream reads folders: this one's other files are left out
+        return reader.option("pathGlobFilter", name).parquet(path.rstrip("/").rpartition("/")[0])
+    return reader.parquet(path)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -48,22 +53,26 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """The newest row of each key, merged batch by batch: the table is rewritten beside the old one.
+def upsert_stream(stream: DataFrame, keys: list[str], order: str, name: str, at: str | None = None) -> DataFrame:
+    """The newest row of each key, merged batch by batch into a Parquet table.
 
     ``order`` must tell rows of one key apart; late rows lose against newer ones.
+    Batch n writes version n from version n - 1, so a batch that is run again
+    writes the same; the number of the newest version is kept beside the versions.
+    ``at`` is the folder of table and checkpoint: with the same one, a later call
+    goes on where the one before stopped.  A batch rewrites the table, as plain
+    Parquet has no merge.
     """
-    spark = stream.sparkSession
-    base = shared_folder(spark, f"upsert-{name}")
-    schema, state = stream.schema, {"path": None}
+    spark, schema = stream.sparkSession, stream.schema
+    base = at or shared_folder(spark, f"upsert-{name}")
+    table = lambda n: spark.read.schema(schema).parquet(f"{base}/version={n}")
+    number = "n long"
 
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(schema).parquet(state["path"]) if state["path"] else batch.limit(0)
-        rows = old.unionByName(batch)
+    def merge(batch: DataFrame, n: int) -> None:
+        rows = table(n - 1).unionByName(batch) if n else batch
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), F.col(order)).alias("r")).select("r.*")
-        path = f"{base}/{number}"
-        newest.write.mode("overwrite").parquet(path)
-        state["path"] = path
+        newest.write.mode("overwrite").parquet(f"{base}/version={n}")
+        spark.createDataFrame([(n,)], number).write.mode("overwrite").parquet(f"{base}/newest")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", shared_folder(spark, f"upsert-{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(state["path"])
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table(spark.read.schema(number).parquet(f"{base}/newest").first().n)
