@@ -61,8 +61,9 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = table(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code"))
-    return search(codes, codes.where(F.col("vec_id") % 100 == 0))
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = vectors.select("vec_id", sign_code(F.col("embedding")).alias("code"))
+    return search(codes, codes.where(F.col("vec_id") % 100 == 0), bits=vectors.agg(F.max(F.size("embedding"))).first()[0])
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
