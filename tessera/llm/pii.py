@@ -1,15 +1,15 @@
 """Personal data by bootstrapped contextual extraction (operator 1).
 
 One pass over the texts finds the base entities (email, ip, card, phone) and all
-*candidates*: tokens with a digit or an at sign, each with its lexical context,
-the words before it and the one after it.  Patterns (contexts) and instances
-(candidate strings) form a bipartite graph.  Base entities are the seeds; in each
+*candidates*: tokens with a digit or an at sign, and runs of digit groups with
+what separates them.  Each has three lexical patterns: the words before it, the one
+before with the one after, and its own shape (digits counted, letters not, a country
+code left off).  Patterns and instances (candidate strings) form a bipartite graph.  Base entities are the seeds; in each
 round Spark scores a pattern by the share of its distinct instances that are
 known to be of one kind, weighted by the logarithm of their number, and an
 instance by the patterns of that kind that it occurs in.  Confident patterns make
 their other instances known, those help to score further patterns, and after
-the last round the known instances are spans of their kind wherever a confident
-pattern precedes them.
+the last round candidates with a confident pattern are spans of its kind.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ ROUNDS = 3
 LEAST_SEEDS = 5  # distinct known instances that a pattern needs
 LEAST_SHARE = 0.6  # of a pattern's distinct instances
 LEAST_CONTEXT = 3  # letters that a context has at least
+LEAST_ITEM = 4  # characters of a candidate
+WHOLE_ITEM = 64  # longer candidates are known by their digest
 
 # The base patterns. Runs of digits are atomic: a match that
 # starts inside one would go on the same way.
@@ -42,7 +44,10 @@ _DIGIT_OR_AT = re.compile(r"[0-9@]")
 _TOKEN_END = re.compile(r"[\s,;\"'<>()\[\]{}|]")
 _BEFORE = re.compile(r"(\w+)\W*(?:(\w+)\W*)?$")
 _AFTER = re.compile(r"\W*(\w+)")
-CONTEXT_CHARS = 64
+_RUN = re.compile(r"[+(]{0,2}[0-9]++(?:[ ().\-/]{1,2}[0-9]++)+")
+_COUNTRY = re.compile(r"^\+?[0-9]{1,3}[ .\-]+(?=[(0-9])")
+_DIGITS, _LETTERS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
+CONTEXT_CHARS = 64  # on either side that the words of a context are taken from
 PATTERNS = 1 << 17  # confident patterns that a broadcast may hold
 
 
@@ -98,8 +103,19 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(left) + " _", (left[-1] if left else "") + " _ " + right
 
 
+def shape(item: str) -> str:
+    """A candidate's form: its digits counted, letters not, a leading country code left off."""
+    bare = _COUNTRY.sub("", item) if item.startswith("+") else item
+    return "= " + _LETTERS.sub("a", _DIGITS.sub(lambda m: f"9{len(m.group())}", bare))[:CONTEXT_CHARS]
+
+
+def named(item: str) -> str:
+    """What an instance is known by: itself in small letters, or a digest if it is long."""
+    return item.lower() if len(item) <= WHOLE_ITEM else hashlib.sha256(item.lower().encode()).hexdigest()
+
+
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
-    """Identifier-like strings: base entities with their kind, and other tokens with a digit or an at sign."""
+    """Identifier-like strings: base entities with their kind, runs of digit groups, and other tokens with a digit or an at sign."""
     out, taken = [], []
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if not taken or start >= taken[-1][1]:
@@ -113,6 +129,15 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
         if k < len(taken) and taken[k][0] <= place:
             at = taken[k][1]
             continue
+        stop = taken[k][0] if k < len(taken) else len(text)
+        start = place
+        while start > at and text[start - 1] in "+(" and place - start < 2:
+            start -= 1
+        run = _RUN.match(text, start, stop)
+        if run and not (start and text[start - 1].isalnum()) and not text[run.end() : run.end() + 1].isalnum():
+            out.append((start, run.end(), ""))
+            at = run.end()
+            continue
         start = place
         while start > at and not _TOKEN_END.match(text, start - 1):
             start -= 1
@@ -122,13 +147,13 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
             end = min(end, taken[k][0])
         at = max(end, place + 1)
         token = text[start:end].rstrip(".:!?")
-        if 5 <= len(token) <= 64:
+        if len(token) >= LEAST_ITEM:
             out.append((start, start + len(token), ""))
     return out
 
 
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("item", pa.string()), ("left", pa.string()), ("both", pa.string())]))
+_SEEN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("item", pa.string()), ("left", pa.string()), ("both", pa.string()), ("shape", pa.string())]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Stored:
@@ -147,11 +172,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sto
                 rows = []
                 for s, e, kind in candidates(text, spans):
                     left, both = context(text, s, e)
-                    rows.append({"start": s, "end": e, "kind": kind, "item": text[s:e].lower(), "left": left, "both": both})
+                    rows.append({"start": s, "end": e, "kind": kind, "item": named(text[s:e]), "left": left, "both": both, "shape": shape(text[s:e])})
                 seen.append(rows)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, _FOUND), pa.array(seen, _SEEN)], ["doc_id", "base", "seen"])
 
-    kind = "doc_id long, base array<struct<kind:string,start:long,end:long>>, seen array<struct<start:long,end:long,kind:string,item:string,left:string,both:string>>"
+    kind = "doc_id long, base array<struct<kind:string,start:long,end:long>>, seen array<struct<start:long,end:long,kind:string,item:string,left:string,both:string,shape:string>>"
     return materialise(only.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
 
 
@@ -159,7 +184,7 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``pattern, kind, share``: confident patterns, by rounds over the pattern-instance graph."""
     seen = scanned.select(F.explode("seen").alias("s")).select("s.*")
     edges = materialise(
-        seen.select("item", "kind", F.explode(F.array("left", "both")).alias("pattern")).where(F.length(F.regexp_replace("pattern", r"[\W_]", "")) >= LEAST_CONTEXT).groupBy("pattern", "item").agg(F.max("kind").alias("kind")),
+        seen.select("item", "kind", F.explode(F.array("left", "both", "shape")).alias("pattern")).where(F.col("pattern").startswith("= ") | (F.length(F.regexp_replace("pattern", r"[\W_]", "")) >= LEAST_CONTEXT)).groupBy("pattern", "item").agg(F.max("kind").alias("kind")),
         "pii-graph",
     )
     graph = edges.df.select("pattern", "item")
@@ -198,7 +223,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     Base entities come from their patterns (``source`` base); the others are
     candidates in a confident context (``source`` learned).  Null and empty texts
     have none.  Ids are passed on as they are; a repeated row is a row of its
-    own; other columns are left out.  Offsets count code points.
+    own; other columns are left out; an empty table gives an empty result.  Offsets
+    count code points.  Texts of any length are searched whole.
     """
     scanned = scan(docs, id_col, text_col).df
     rank = F.create_map(*[x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k))])
@@ -207,7 +233,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     base = F.transform("base", lambda s: span(s, s["kind"], "base"))
     if patterns.isEmpty():
         return scanned.select("row", "doc_id", base.alias("spans"))
-    places = scanned.select("row", F.explode("seen").alias("s")).where("s.kind = ''").select("row", "s.start", "s.end", F.explode(F.array("s.left", "s.both")).alias("pattern"))
+    places = scanned.select("row", F.explode("seen").alias("s")).where("s.kind = ''").select("row", "s.start", "s.end", F.explode(F.array("s.left", "s.both", "s.shape")).alias("pattern"))
     more = (
         places.join(patterns, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("share", "kind")).alias("kind"))
         .groupBy("row").agg(F.collect_list(F.struct(F.element_at(rank, F.col("kind")).alias("rank"), "start", "end", "kind", F.lit("learned").alias("source"))).alias("more"))
@@ -235,52 +261,93 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def mask(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, id_col: str = "doc_id") -> DataFrame:
+def mask(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, id_col: str = "doc_id", most: int = PATTERNS) -> DataFrame:
     """``docs`` with every entity masked; ``n_chars``, if there is one, counts the new text.
 
     Patterns are learned first and then applied in one pass, so that no text
     moves; they are few (each needs ``LEAST_SEEDS`` known instances and
-    ``LEAST_SHARE`` of all) and go to the workers as a broadcast.  More than
-    ``PATTERNS`` of them are an error, as a broadcast must be bounded; none is
-    dropped silently.
+    ``LEAST_SHARE`` of all) and go to the workers as a broadcast.  If there are more
+    than ``PATTERNS``, which a broadcast shouldn't hold, the learned spans come by
+    joins instead, and texts are sorted by their digest to meet them.  Null texts
+    stay null; columns of any name pass through.
     """
     scanned = scan(docs, id_col, text_col)
     patterns = learn(scanned.df, rounds)
     names, kind = docs.columns, docs.schema
     at = names.index(text_col)
-    learned = {(r.pattern): (r.share, r.kind) for r in patterns.orderBy(F.desc("share"), F.desc("weight"), "pattern").limit(PATTERNS).collect()}
-    if patterns.count() > len(learned):
-        raise ValueError(f"more than {len(learned)} confident patterns: raise LEAST_SEEDS or LEAST_SHARE")
     scanned.drop()
-    share = docs.sparkSession.sparkContext.broadcast(learned)
     chars = names.index("n_chars") if "n_chars" in names else None
+    rows = patterns.select("pattern", "share", "kind").limit(most + 1).collect()
+    if len(rows) > most:
+        return _masked_by_join(docs, text_col, patterns, names, kind, at, chars)
+    learned = {r.pattern: (r.share, r.kind) for r in rows}
+    share = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
         known = share.value
+
+        def spans_of(text):
+            spans = base_spans(text)
+            own = [(s, e, k) for k, s, e in spans]
+            if known:
+                for s, e, k in candidates(text, spans):
+                    hit = max((known[p] for p in (*context(text, s, e), shape(text[s:e])) if p in known), default=None) if not k else None
+                    if hit:
+                        own.append((s, e, hit[1]))
+            return own
+
         for batch in batches:
             renamed = batch.rename_columns([f"c{k}" for k in range(len(names))])
             for part in slices([renamed], f"c{at}"):
-                texts = []
-                for text in part.column(at).to_pylist():
-                    if text:
-                        spans = base_spans(text)
-                        own = [(s, e, k) for k, s, e in spans]
-                        if known:
-                            for s, e, k in candidates(text, spans):
-                                hit = max((known[p] for p in context(text, s, e) if p in known), default=None) if not k else None
-                                if hit:
-                                    own.append((s, e, hit[1]))
-                        text = masked(text, own)
-                    texts.append(text)
-                columns = list(part.columns)
-                columns[at] = pa.array(texts, pa.string())
-                if chars is not None:
-                    columns[chars] = pa.array([None if t is None else len(t) for t in texts]).cast(columns[chars].type)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                texts = [masked(t, spans_of(t)) if t else t for t in part.column(at).to_pylist()]
+                yield _with_texts(part, texts, at, chars, names)
 
     return docs.mapInArrow(run, kind)
 
 
+def _with_texts(part: pa.RecordBatch, texts: list, at: int, chars: int | None, names: list[str]) -> pa.RecordBatch:
+    """A slice of rows with other texts, and their sizes where the table has them."""
+    columns = list(part.columns[: len(names)])
+    columns[at] = pa.array(texts, pa.string())
+    if chars is not None:
+        columns[chars] = pa.array([None if t is None else len(t) for t in texts]).cast(columns[chars].type)
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _masked_by_join(docs: DataFrame, text_col: str, patterns: DataFrame, names: list[str], kind, at: int, chars: int | None) -> DataFrame:
+    """:func:`mask` with any number of patterns: spans are joined to texts by the texts' digests."""
+    digest_ = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    texts = docs.select(digest_.alias("digest"), F.col(text_col).alias("text")).where("text <> ''")
+
+    def places(batches):
+        for part in slices(batches, "text"):
+            out: list[list] = [[], [], [], []]
+            for d, text in zip(part.column("digest").to_pylist(), part.column("text").to_pylist()):
+                for s, e, k in candidates(text, base_spans(text)):
+                    if not k:
+                        for p in (*context(text, s, e), shape(text[s:e])):
+                            for o, x in zip(out, (d, s, e, p)):
+                                o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["digest", "start", "end", "pattern"])
+
+    met = texts.mapInArrow(places, "digest string, start long, end long, pattern string").join(patterns, "pattern")
+    best = met.groupBy("digest", "start", "end").agg(F.max_by("kind", F.struct("share", "kind")).alias("kind"))
+    spans = materialise(best.groupBy("digest").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans")), "pii-spans").df
+    # columns by place, so that none of the table's clashes
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], digest_.alias("digest"))
+    joined = keyed.join(spans, "digest", "left").select(*[f"c{k}" for k in range(len(names))], "spans")
+
+    def run(batches):
+        for part in slices(batches, f"c{at}"):
+            out = []
+            for text, found in zip(part.column(at).to_pylist(), part.column("spans").to_pylist()):
+                own = [(s, e, k) for k, s, e in base_spans(text)] if text else []
+                out.append(masked(text, own + [(x["start"], x["end"], x["kind"]) for x in found or ()]) if text else text)
+            yield _with_texts(part, out, at, chars, names)
+
+    return joined.mapInArrow(run, kind)
+
+
 def sha256_of(spans: list[tuple[str, int, int]]) -> str:
     """The digest of base spans, as :func:`digest` gives it."""
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
