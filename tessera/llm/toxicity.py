@@ -6,14 +6,18 @@ label, by hash order):
 1. features are words and the first three to seven letters of longer words (for
    languages that build words by joining); their counts by label are summed in
    Spark and the most telling ones (chi-squared) become the vocabulary;
-2. every example is a TF-IDF vector over the vocabulary and one more term for all
-   other words, which tells a passing use in a long text from a dense one; equal
-   vectors are one entry with a count for each label;
+2. every example is a TF-IDF vector over the vocabulary, with frequencies counted
+   over all documents, and one more term for all other words, which tells a passing
+   use in a long text from a dense one; equal vectors are one entry with a count for
+   each label;
 3. entries go into an inverted index whose lists are cut into blocks that know
    their largest weight;
 4. leave-one-out scores of the examples give the calibration: a monotone map
    from votes to the share of toxic documents, weighted to the labels' rates.
 
+Vectors over all words were tried: their neighbours share everyday words, and a few
+telling ones hardly count in a long text (figures in the README).
+
 Scoring: the exact ``k`` nearest entries by cosine, found block by block with
 the largest weights as bounds, vote with the square of their cosine.
 """
@@ -58,7 +62,7 @@ def count_words(text: str) -> dict[str, int]:
 class Vectors:
     """TF-IDF vectors over a vocabulary: {term: idf}."""
 
-    KEPT = 300_000
+    KEPT, KEPT_CHARS = 300_000, 40  # words whose terms are remembered, and the longest of them
     REST = -1  # the term of all other words; its count is a power of two
 
     def __init__(self, terms: list[str], idf: list[float]):
@@ -71,7 +75,9 @@ class Vectors:
         if found is None:
             if len(self._known) >= self.KEPT:
                 self._known.clear()
-            found = self._known[word] = tuple(self.number[f] for f in features(word) if f in self.number)
+            found = tuple(self.number[f] for f in features(word) if f in self.number)
+            if len(word) <= self.KEPT_CHARS:
+                self._known[word] = found
         return found
 
     def counts(self, text: str) -> tuple[tuple[int, int], ...]:
@@ -115,7 +121,7 @@ class BlockMaxIndex:
             e = np.array([p[0] for p in posts], np.int64)  # ascending
             v = np.array([p[1] for p in posts])
             edges = np.flatnonzero(np.diff(e // BLOCK, prepend=-1))
-            self.lists[t] = (e[edges] // BLOCK, np.maximum.reduceat(v, edges), e, v)
+            self.lists[t] = (e[edges] // BLOCK, np.maximum.reduceat(v, edges), np.append(edges, len(e)), e, v)
         self.blocks = -(-len(units) // BLOCK)
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
@@ -125,14 +131,23 @@ class BlockMaxIndex:
             return []
         block = np.concatenate([x[0] for _, x in asked])
         bound = np.bincount(block, np.concatenate([v * x[1] for v, x in asked]), self.blocks)
-        e = np.concatenate([x[2] for _, x in asked])
-        w = np.concatenate([v * x[3] for v, x in asked])
 
         def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            part = chosen[e // BLOCK]
-            total = np.bincount(e[part], w[part], self.blocks * BLOCK)
-            found = np.flatnonzero(total)
-            return found, np.round(total[found], 9)
+            entries, weights = [], []
+            for v, (blocks, _, edges, e, w) in asked:
+                at = np.flatnonzero(chosen[blocks])
+                if not len(at):
+                    continue
+                # postings of the chosen blocks alone
+                first, size = edges[at], edges[at + 1] - edges[at]
+                read = np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
+                entries.append(e[read])
+                weights.append(v * w[read])
+            if not entries:
+                return np.zeros(0, np.int64), np.zeros(0)
+            e = np.concatenate(entries)
+            found, which = np.unique(e, return_inverse=True)
+            return found, np.round(np.bincount(which, np.concatenate(weights)), 9)
 
         chosen = np.zeros(self.blocks, bool)
         first = min(self.FIRST, self.blocks)
@@ -189,7 +204,9 @@ class Model:
             if len(self._known) > 100_000:
                 self._known.clear()
             vote, near = self.vote(counts)
-            found = self._known[counts] = (min(1.0, max(0.0, self.calibrated(vote))), near[:EVIDENCE])
+            found = (min(1.0, max(0.0, self.calibrated(vote))), near[:EVIDENCE])
+            if len(counts) <= 64:  # longer vectors hardly recur
+                self._known[counts] = found
         return found
 
 
@@ -209,12 +226,33 @@ def training_fold(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 != 1, F.lit(False))
 
 
+def frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, list[int]]:
+    """How many documents there are, and how many hold each term."""
+    share = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        maker = Vectors(share.value, [1.0] * len(share.value))
+        total = np.zeros(len(share.value) + 1, np.int64)
+        for part in slices(batches, "text", 1 << 22):
+            total[-1] += part.num_rows
+            for text in part.column("text").to_pylist():
+                for t, _ in maker.counts(text):
+                    if t >= 0:
+                        total[t] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
+
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n = {r.term: r.n for r in counted}
+    return n.get(len(terms), 0), [n.get(k, 0) for k in range(len(terms))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` labelled training rows of each label.
 
     Rows with a null id, label or text are not learned from; several labels of
-    one id count as toxic if one of them does.  Without any usable row the
-    model gives 0.5 to every text.
+    one id count as toxic if one of them does, and of several rows of one id one
+    counts.  Ties are broken by id.  Texts of any length count as a whole.  Without
+    any usable row, as of empty tables, the model gives 0.5 to every text.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training_fold(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
@@ -250,7 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         .where("clean + toxic >= 3").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2 + all_n / 250).orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
     )
     names = [t.term for t in terms]
-    idf = [math.log((1 + all_n) / (1 + t.clean + t.toxic)) + 1 for t in terms]
+    n_docs, df = frequencies(docs, names, text_col)
+    idf = [math.log((1 + n_docs) / (1 + n)) + 1 for n in df]
     share = spark.sparkContext.broadcast((names, idf))
 
     def vectors(batches):
@@ -292,7 +331,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``neighbours`` are the nearest entries as ``cosine, toxic, clean`` (how much
     of each label they stand for).  A text without any term of the vocabulary, an
     empty or a null one, gets the rate of toxic rows among such examples.
-    Repeated rows are scored alike; null ids are passed on.
+    Repeated rows are scored alike; null ids are passed on; other columns are left
+    out; an empty table gives an empty result; neighbours of one cosine are taken in
+    the order of the entries.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)
     near = pa.list_(pa.struct([("cosine", pa.float64()), ("toxic", pa.float64()), ("clean", pa.float64())]))
