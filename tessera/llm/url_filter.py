@@ -2,9 +2,10 @@
 
 All of it is DataFrame functions.  Listed canonical URLs are hashed into a
 Bloom filter of 64-bit blocks, one block and four bits for each URL; the blocks
-form a table with a fixed number of rows, so the join that probes them may be
-broadcast.  Pages that pass go on to an exact join on the canonical URL, which
-removes the false positives.
+form a table of a bounded number of rows, so the join that probes them may be
+broadcast.  Pages that pass, and only these, go on to an exact join on the canonical
+URL, which removes the false positives; a list too long for the filter passes more
+pages, and the result is the same.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = 1 << 12
+BLOCKS, MOST_BLOCKS = 1 << 12, 1 << 17  # a filter grows with the list between these, 4 listed URLs to a block of 64 bits
 BITS = 4
 # The rules of the query, as (verdict, host, path).
 RULES = [
@@ -85,15 +86,16 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, blocks: int = BLOCKS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, blocks: int | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge every URL: ``page_id, host, path, rule, verdict, listed``.
 
     Where a rule fits, its verdict holds.  Elsewhere a page is blocked if its
     canonical URL or its whole host is listed, and allowed otherwise.  Null URLs
     and URLs without ``://`` have an empty host and path, fit no rule and are
     allowed.  Repeated rows are judged alike, null ids are passed on, other
-    columns are left out.  ``listed`` is a table of canonical URLs in a column
-    ``key``; nulls and repeats in it don't matter.
+    columns are left out; an empty table gives an empty result, and an empty list blocks
+    nothing.  ``listed`` is a table of canonical URLs in a column ``key``; nulls and
+    repeats in it don't matter.  ``blocks``: of the filter, by default by the list's size.
     """
     spark = pages.sparkSession
     if listed is None:
@@ -102,16 +104,20 @@ def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES,
     judged = pages.select(
         F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical_url(url).alias("page_key"), F.concat(canonical_host(host_of(url)), F.lit("/")).alias("host_key")
     ).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    blocks = blocks or min(MOST_BLOCKS, max(BLOCKS, listed.count() // 4))
     bloom = F.broadcast(bloom_blocks(listed, "key", blocks))
     for name in ("page", "host"):
         side = bloom.select(F.col("block").alias(f"{name}_block"), F.col("bits").alias(f"{name}_bits"))
         key = F.col(f"{name}_key")
-        judged = judged.withColumn(f"{name}_block", _block(key, blocks)).join(side, f"{name}_block", "left")
         hit = F.coalesce(F.col(f"{name}_bits").bitwiseAND(_mask(key)) == _mask(key), F.lit(False))
-        # only possible hits carry a key into the exact join; the others have null and match nothing
-        judged = judged.withColumn(f"{name}_try", F.when(hit, key)).drop(f"{name}_block", f"{name}_bits")
-        exact = listed.where("key is not null").select(F.col("key").alias(f"{name}_try"), F.lit(True).alias(f"{name}_listed")).distinct()
-        judged = judged.join(exact, f"{name}_try", "left").drop(f"{name}_try")
+        judged = judged.withColumn(f"{name}_block", _block(key, blocks)).join(side, f"{name}_block", "left").withColumn(f"{name}_hit", hit).drop(f"{name}_block", f"{name}_bits")
+    possible = F.col("page_hit") | F.col("host_hit")
+    clear = judged.where(~possible).withColumn("page_listed", F.lit(False)).withColumn("host_listed", F.lit(False))
+    passed = judged.where(possible)
+    for name in ("page", "host"):
+        exact = listed.where("key is not null").select(F.col("key").alias(f"{name}_key"), F.lit(True).alias(f"{name}_listed")).distinct()
+        passed = passed.join(exact, f"{name}_key", "left")
+    judged = clear.unionByName(passed)
     on_list = F.coalesce(F.col("page_listed"), F.lit(False)) | F.coalesce(F.col("host_listed"), F.lit(False))
     return judged.select(
         "page_id",
