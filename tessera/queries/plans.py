@@ -28,20 +28,38 @@ def disruption_order(t):
     return numbered(d.withColumn("o", key), "o", "place").select("doc_id", "rank", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query("""
+  WITH a AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN 'backup' WHEN 1 THEN 'reset' ELSE 'other' END AS kind FROM conversations), b AS (SELECT *, max(CASE WHEN kind = 'backup' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM a),
+  c AS (SELECT *, coalesce(kind = 'reset' AND turn < last, false) AS moves FROM b)
+  SELECT conv_id, turn, kind, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN moves THEN last ELSE turn END, moves, CASE WHEN moves THEN -turn END) AS place FROM c""")
 def dependency_order(t):
     """Turns of each conversation with dependents moved behind what they need."""
     rows = t.conversations.select("conv_id", "turn", F.when(F.length("text") % 3 == 0, "backup").when(F.length("text") % 3 == 1, "reset").otherwise("other").alias("kind"), F.col("turn").alias("place"))
     return P.after_providers(rows, "conv_id", "kind", "place", [("backup", "reset")])
 
 
-@query()
+_SETS = r"t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"
+_ALIKE = "len(list_intersect(x.w, t.w)) >= {} * greatest(1, len(list_distinct(list_concat(x.w, t.w))))"
+_NEAR, _LIKE = f"len(list_filter(r.kept, lambda x: {_ALIKE.format(0.6)}))", f"list_filter(r.heads, lambda x: {_ALIKE.format(0.2)})"
+
+
+@query(f"""
+  WITH RECURSIVE {_SETS}, r AS (
+    SELECT conv_id, turn, n, [{{'h': turn, 'w': w}}] AS kept, 'kept' AS verdict FROM t WHERE n = 1
+    UNION ALL SELECT t.conv_id, t.turn, t.n, CASE WHEN len(r.kept) < 10 AND {_NEAR} = 0 THEN list_append(r.kept, {{'h': t.turn, 'w': t.w}}) ELSE r.kept END, CASE WHEN len(r.kept) >= 10 THEN 'full' WHEN {_NEAR} > 0 THEN 'near_copy' ELSE 'kept' END
+    FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
+  SELECT conv_id, turn, verdict FROM r""")
 def diversity_filter(t):
     """Turns of each conversation that are unlike those kept before."""
     return P.diverse(t.conversations, "conv_id", "turn", "text")
 
 
-@query()
+@query(f"""
+  WITH RECURSIVE {_SETS}, r AS (
+    SELECT conv_id, turn, n, [{{'h': turn, 'w': w}}] AS heads, turn AS head FROM t WHERE n = 1
+    UNION ALL SELECT t.conv_id, t.turn, t.n, CASE WHEN len({_LIKE}) = 0 THEN list_append(r.heads, {{'h': t.turn, 'w': t.w}}) ELSE r.heads END, CASE WHEN len({_LIKE}) = 0 THEN t.turn ELSE {_LIKE}[1].h END
+    FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
+  SELECT conv_id, turn, head FROM r""")
 def goal_merge(t):
     """Turns of each conversation under the earliest one that they are like."""
     return P.first_come(t.conversations, "conv_id", "turn", "text", 0.2)
