@@ -2,6 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes
 each result as Parquet to the shared folder and reads it again for the next one.
+Stages set the session's Arrow batch size, see ``TEXTS_AT_ONCE``.
 All stages but the last keep the columns of ``documents``, extra ones included.
 """
 
@@ -13,11 +14,20 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe_codec, decontamination, jaccard_join, pii, toxicity
 from tessera.llm.queries import vocabulary
 from tessera.llm.removal import without
-from tessera.llm.storage import materialise, table
+from tessera.llm.storage import BATCH_ROWS, materialise, table
+
+
+#: Rows of an Arrow batch while the stages run: with 10,000, as Spark has it, a batch of long texts is too much memory.
+TEXTS_AT_ONCE = 1024
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set(BATCH_ROWS, TEXTS_AT_ONCE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is below 0.7; nulls and empty texts are scored like any other."""
+    """Rows whose score is below 0.7; nulls and empty texts are scored like any other, long ones as a whole."""
+    _bounded(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
@@ -28,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of several rows that bear this id one stays.  Texts without words, and rows
     with a null id, all stay.
     """
+    _bounded(spark)
     groups = materialise(jaccard_join.classes_of(docs).where("doc_id IS NOT NULL AND n_shingles > 0"), "groups").df
     ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
     kept = without(docs, F.col("doc_id"), ids.where(~F.col("first")).select(F.col("doc_id").alias("key")))
@@ -39,19 +50,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no passage of the benchmark; rows with a null id are judged by their text alike."""
+    """Rows that hold no passage of the benchmark; rows with a null id are judged by their text alike, rows without text stay."""
+    _bounded(spark)
     row = F.xxhash64("doc_id", "text")
     leaks = decontamination.find_leaks(docs.withColumn("doc_id", row), table(spark, sf_dir, "benchmark"))
     return without(docs, row, leaks.select(F.col("doc_id").alias("key")))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data in the texts replaced by its kind."""
+    """All rows, with personal data in the texts replaced by its kind; null texts stay null."""
+    _bounded(spark)
     return pii.mask(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; a null text counts as empty."""
+    _bounded(spark)
     return bpe_codec.round_trip(docs, vocabulary())
 
 
