@@ -21,10 +21,13 @@ text's word counts alone, so it is summed without regard to their order.
 
 Counts cover all training documents, and every node answers: none is left out and
 none goes to the workers.  The codes that the words to be scored ask for are in the
-tree with a count of zero, which changes no estimate; from the shortest contexts
-down, one equi-join for each depth hands every node what its parent has settled, and
-a node without counts answers as its parent does.  The deepest nodes then give each
-distinct code its probability, and another equi-join sums them over words.
+tree with a count of zero, which changes no estimate.  A code is its context, the
+last byte first, and then its byte, so sorted codes are the tree in order: all that
+lies under a context of CUT bytes is one run of codes, at most 256 ** (DEPTH - CUT + 1)
+of them.  One sorted pass folds each run into the nodes of its top, Spark groups
+these up to the root and hands down, by one equi-join for each depth, what every node
+leaves to the deeper ones, and a second pass over the runs gives each code its
+probability; another equi-join sums them over words.
 """
 
 from __future__ import annotations
@@ -41,9 +44,10 @@ from tessera.llm.batches import slices
 from tessera.llm.storage import Stored, materialise
 
 DEPTH = 6
-NODES = 2_000_000  # of a tree in memory
-HEAD = 1 << 16  # most frequent words, which the workers know
-FLUSH = 200_000  # distinct words that a task holds while counting
+CUT = 4  # bytes of context that part the tree into runs
+RUNS = 1 << 18  # codes of the runs that are folded together
+HEAD, HEAD_BYTES = 1 << 16, 64  # most frequent words, which the workers know, and the longest of them
+FLUSH, FLUSH_BYTES = 200_000, 1 << 24  # distinct words that a task holds while counting, and their bytes
 BLANK = 0x20
 OWN = 300.0  # words that the tree counts for beside the text's own
 
@@ -77,11 +81,14 @@ def count_words(docs: DataFrame) -> DataFrame:
             for i in range(0, len(words), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), pa.array(n[i : i + 50_000])], ["word", "c"])
 
+        held = 0
         for part in slices(batches, "text"):
             for learn, text in zip(part.column("learn").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
                 (counts if learn else others).update(words_of(text))
-            if len(counts) + len(others) > FLUSH:
+            held += part.column("text").nbytes  # words that recur are counted too often: a flush comes early, at worst
+            if len(counts) + len(others) > FLUSH or held > FLUSH_BYTES and max(map(len, [*counts, *others])) > FLUSH_BYTES / FLUSH:
                 yield from flush()
+                held = 0
         yield from flush()
 
     return docs.select("text", "learn").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -107,7 +114,10 @@ def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spelled(words: DataFrame) -> DataFrame:
-    """``code, n``: how often training words put a byte after a context; 0 where only other words do."""
+    """``code, n``: how often training words put a byte after a context; 0 where only other words do.
+
+    A code has a row for each batch of words that has it.
+    """
 
     def run(batches):
         for b in batches:
@@ -119,15 +129,15 @@ def _spelled(words: DataFrame) -> DataFrame:
                 edges = np.flatnonzero(np.diff(code, prepend=-1))
                 yield pa.RecordBatch.from_arrays([pa.array(code[edges]), pa.array(np.add.reduceat(n, edges))], ["code", "n"])
 
-    return words.select("word", "c").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return words.select("word", "c").mapInArrow(run, "code long, n long")
 
 
-def _log_gamma(x: Column) -> Column:
-    """ln(gamma(x)) for x >= 1/2, by Stirling's series six steps up."""
+def _log_gamma(x, log=F.log):
+    """ln(gamma(x)) for x >= 1/2, by Stirling's series six steps up; of a Column, or of numbers with numpy's log."""
     y = x + 6
     steps = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
     series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - log(steps)
 
 
 def _estimate(zeros: Column, ones: Column) -> Column:
@@ -136,46 +146,126 @@ def _estimate(zeros: Column, ones: Column) -> Column:
     return F.when(a + b > 0, _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1)).otherwise(0.0)
 
 
-def levels(pairs: DataFrame) -> list[Stored]:
-    """Written tables of the nodes of each depth, the shortest contexts first: ``ctx, node, zeros,
-    ones, own, mixed, stay``, the last being the weight that stays at the node.  The deepest
-    level has ``asked`` too: 1 where a code goes on with a zero, 2 with a one, 3 with both."""
-    # decision k of a byte: 1 and its first k bits name the node, the next bit is decided
-    eight = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(
-        (F.call_function("shiftleft", F.lit(1), k) + F.call_function("shiftright", F.col("byte"), 8 - k)).alias("node"), F.call_function("shiftright", F.col("byte"), 7 - k).bitwiseAND(F.lit(1)).alias("bit")
-    ))
-    split = pairs.select(F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n").select("ctx", "n", F.explode(eight).alias("d"))
-    level = split.groupBy("ctx", F.col("d.node").alias("node")).agg(F.sum(F.when(F.col("d.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("d.bit") == 1, F.col("n")).otherwise(0)).alias("ones"), F.bit_or(F.col("d.bit") + 1).alias("asked"))
-    level = level.withColumn("own", _estimate(F.col("zeros"), F.col("ones"))).withColumn("mixed", F.col("own")).withColumn("stay", F.lit(1.0))
-    out: list[Stored] = []
-    for depth in range(DEPTH, -1, -1):
-        if depth < DEPTH:
+class Level:
+    """The nodes of one depth under some runs: ``key`` (context and decision, in order), ``zeros, ones``,
+    ``mixed`` (ln of the mixed estimate) and ``stay``, the weight that stays at the node."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.key, self.zeros, self.ones = key, zeros, ones
+        a, b = zeros + 0.5, ones + 0.5
+        own = np.where(zeros + ones > 0, _log_gamma(a, np.log) + _log_gamma(b, np.log) - math.log(math.pi) - _log_gamma(a + b, np.log), 0.0)
+        self.mixed = own if below is None else math.log(0.5) + np.logaddexp(own, below)
+        self.stay = np.ones(len(key)) if below is None else np.exp(math.log(0.5) + own - self.mixed)
+
+    def up(self) -> np.ndarray:
+        """Keys of the parents: the farthest byte of the context goes."""
+        return ((self.key >> 16) << 8) | (self.key & 255)
+
+    def parents(self) -> Level:
+        up = self.up()
+        order = np.argsort(up, kind="stable")
+        first = np.flatnonzero(np.diff(up[order], prepend=-1))
+        return Level(up[order][first], *(np.add.reduceat(x[order], first) for x in (self.zeros, self.ones, self.mixed)))
+
+
+def leaves(code: np.ndarray, n: np.ndarray) -> Level:
+    """The deepest level, from codes in order and their counts: eight decisions for each byte."""
+    keys, zeros, ones = [], [], []
+    for k in range(8):  # decision k of a byte: 1 and its first k bits name the node, the next bit is decided
+        head = code >> (8 - k)
+        first = np.flatnonzero(np.diff(head, prepend=-1))
+        h = head[first]
+        one = np.add.reduceat(n * ((code >> (7 - k)) & 1), first)
+        keys.append(((h >> k) << 8) | (1 << k) | (h & ((1 << k) - 1)))
+        ones.append(one)
+        zeros.append(np.add.reduceat(n, first) - one)
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return Level(key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order], None)
+
+
+def under_cut(code: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels from the deepest up to that of contexts of CUT bytes."""
+    out = [leaves(code, n)]
+    for _ in range(DEPTH - CUT):
+        out.append(out[-1].parents())
+    return out
+
+
+def log_probabilities(code: np.ndarray, levels: list[Level], p: np.ndarray, rest: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each code, given what the nodes of the top level have settled
+    (``p``), leave to deeper ones (``rest``) and would answer alone (``answer``)."""
+    for above, level in zip(levels[::-1], levels[-2::-1]):
+        at = np.searchsorted(above.key, level.up())
+        n = level.zeros + level.ones
+        one = (level.ones + 0.5) / (n + 1)
+        p, rest, answer = p[at] + rest[at] * level.stay * one, rest[at] * (1 - level.stay), answer[at]
+        answer = np.where(n > 0, p + rest * one, answer)
+    total = np.zeros(len(code))
+    for k in range(8):
+        head = code >> (8 - k)
+        at = np.searchsorted(levels[0].key, ((head >> k) << 8) | (1 << k) | (head & ((1 << k) - 1)))
+        total += np.log10(np.clip(np.where((code >> (7 - k)) & 1 == 1, answer[at], 1 - answer[at]), 1e-12, 1.0))
+    return total
+
+
+def _runs(batches, names: list[str]):
+    """Arrays of the columns ``names`` (the first one in order, with the context of CUT bytes), cut between
+    runs, about RUNS rows at a time; a longer run, which the key bounds, is not cut."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+        count += b.num_rows
+        if count >= RUNS:
+            rows = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield [x[:cut] for x in rows]
+            held, count = [[x[cut:] for x in rows]], len(rows[0]) - cut
+    if count:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, of codes in order, and their counts."""
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n, first)
+
+
+def _top(codes: DataFrame) -> DataFrame:
+    """``ctx, node, zeros, ones, mixed, stay``: the nodes of contexts of CUT bytes, from codes (cut, code, n)."""
+
+    def run(batches):
+        for _, code, n in _runs(batches, ["cut", "code", "n"]):
+            level = under_cut(*_summed(code, n))[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.key >> 8, (level.key & 255).astype(np.int32), level.zeros, level.ones, level.mixed, level.stay)], ["ctx", "node", "zeros", "ones", "mixed", "stay"])
+
+    return codes.repartition("cut").sortWithinPartitions("cut", "code").mapInArrow(run, "ctx long, node int, zeros long, ones long, mixed double, stay double")
+
+
+def levels(top: DataFrame) -> list[Stored]:
+    """Written tables of the nodes of depths 0 to CUT, as of :func:`_top`."""
+    level, out = top, []
+    for depth in range(CUT, -1, -1):
+        if depth < CUT:
             level = level.groupBy(F.shiftright("ctx", 8).alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("below"))
             level = level.withColumn("own", _estimate(F.col("zeros"), F.col("ones")))
-            top = F.greatest("own", "below")
-            level = level.withColumn("mixed", math.log(0.5) + top + F.log1p(F.exp(F.least("own", "below") - top))).withColumn("stay", F.exp(math.log(0.5) + F.col("own") - F.col("mixed"))).drop("below")
+            high = F.greatest("own", "below")
+            level = level.withColumn("mixed", math.log(0.5) + high + F.log1p(F.exp(F.least("own", "below") - high))).withColumn("stay", F.exp(math.log(0.5) + F.col("own") - F.col("mixed"))).drop("below", "own")
         out.insert(0, materialise(level, f"ctw-{depth}"))
         level = out[0].df
     return out
 
 
-def build(pairs: DataFrame) -> DataFrame:
-    """``key, n, one, stay`` of all nodes with counts: the depth, context and decision; its count;
-    the estimate of a one; and the weight that stays at the node."""
-    n = F.col("zeros") + F.col("ones")
-    out = None
-    for depth, level in enumerate(levels(pairs)):
-        key = F.lit(depth << 57).cast("long") + F.shiftleft("ctx", 8) + F.col("node")
-        part = level.df.where(n > 0).select(key.alias("key"), n.alias("n"), ((F.col("ones") + 0.5) / (n + 1)).cast("float").alias("one"), F.col("stay").cast("float").alias("stay"))
-        out = part if out is None else out.unionAll(part)
-    return out
-
-
-def log_codes(pairs: DataFrame) -> Stored:
-    """``code, lp``: log10 of the probability of the byte of each code of ``pairs`` after its context."""
+def log_codes(words: DataFrame) -> Stored:
+    """``code, lp``: log10 of the probability of each code of ``words`` (word, c): of its byte after its context."""
+    codes = materialise(_spelled(words).withColumn("cut", F.shiftright("code", 8 * (DEPTH - CUT + 1))), "lm-spelled")
+    tree = levels(_top(codes.df))
     n = F.col("zeros") + F.col("ones")
     one = (F.col("ones") + 0.5) / (n + 1)
-    tree = levels(pairs)
     above = None
     for depth, level in enumerate(tree):
         if above is None:
@@ -185,45 +275,26 @@ def log_codes(pairs: DataFrame) -> Stored:
             up = F.broadcast(up) if depth <= 2 else up  # 255 decisions after each of no more than 256 bytes
             rows = level.df.join(up, (F.shiftright("ctx", 8) == F.col("up")) & (F.col("node") == F.col("up_node")))
         p, rest = F.col("p0") + F.col("rest0") * F.col("stay") * one, F.col("rest0") * (1 - F.col("stay"))
-        kept = ["ctx", "node", *(["asked"] if depth == DEPTH else [])]
-        above = rows.select(*kept, p.alias("p"), rest.alias("rest"), F.when(n > 0, p + rest * one).otherwise(F.col("answer0")).alias("answer"))
-    grouped = above.groupBy("ctx").agg(F.collect_list(F.struct("node", "answer", "asked")).alias("d")).select("ctx", F.col("d.node").alias("node"), F.col("d.answer").alias("answer"), F.col("d.asked").alias("asked"))
+        above = rows.select("ctx", "node", p.alias("p"), rest.alias("rest"), F.when(n > 0, p + rest * one).otherwise(F.col("answer0")).alias("answer"))
+    none = F.lit(None).cast("double")
+    given = above.select(F.col("ctx").alias("cut"), F.lit(0).alias("kind"), F.col("node").cast("long").alias("code"), F.lit(0).cast("long").alias("n"), "p", "rest", "answer")
+    asked = codes.df.select("cut", F.lit(1).alias("kind"), "code", "n", none.alias("p"), none.alias("rest"), none.alias("answer"))
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                code, lp = _bytes_of(b.slice(at, 2048))
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(lp)], ["code", "lp"])
-
-    out = materialise(grouped.mapInArrow(run, "code long, lp double"), "lm-codes")
-    for level in tree:
-        level.drop()
+        for _, kind, code, n, p, rest, answer in _runs(batches, ["cut", "kind", "code", "n", "p", "rest", "answer"]):
+            top = kind == 0  # the same nodes in the same order as the codes give
+            code, n = _summed(code[~top], n[~top])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(log_probabilities(code, under_cut(code, n), p[top], rest[top], answer[top]))], ["code", "lp"])
+
+    out = materialise(given.unionAll(asked).repartition("cut").sortWithinPartitions("cut", "kind", "code").mapInArrow(run, "code long, lp double"), "lm-codes")
+    for x in (codes, *tree):
+        x.drop()
     return out
 
 
-def _bytes_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The asked codes of contexts with their decisions (``ctx, node, answer, asked``), and log10 of their probabilities."""
-    lists = b.column("node")
-    row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
-    node, answer, asked = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("node", "answer", "asked"))
-    table = np.full((b.num_rows, 256), 0.5)
-    table[row, node] = answer
-    codes, logs = [], []
-    for bit in (0, 1):
-        last = (node >= 128) & (asked & (1 + bit) > 0)
-        r, byte = row[last], (node[last].astype(np.int64) - 128) * 2 + bit
-        total = np.zeros(len(r))
-        for k in range(8):
-            p = table[r, (1 << k) + (byte >> (8 - k))]
-            total += np.log10(np.clip(np.where((byte >> (7 - k)) & 1 == 1, p, 1 - p), 1e-12, 1.0))
-        codes.append((b.column("ctx").to_numpy()[r] << 8) | byte)
-        logs.append(total)
-    return np.concatenate(codes), np.concatenate(logs)
-
-
-def log_words(words: DataFrame) -> DataFrame:
+def log_words(words: DataFrame) -> Stored:
     """``word, c, lp`` for ``words`` (id, word, c): log10 of the probability of each, its closing blank included."""
-    codes = log_codes(_spelled(words))
+    codes = log_codes(words)
 
     def run(batches):
         for b in batches:
@@ -232,20 +303,9 @@ def log_words(words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), np.diff(np.append(starts, len(code))))), pa.array(code)], ["id", "code"])
 
     sums = words.select("id", "word").mapInArrow(run, "id long, code long").join(codes.df, "code").groupBy("id").agg(F.sum("lp").alias("lp"))
-    return words.join(sums, "id").select("word", "c", "lp")
-
-
-def largest(nodes: DataFrame, most: int = NODES) -> pa.Table:
-    """The nodes with the largest counts, no more than ``most``, for a :class:`Tree`; the operator does without."""
-    step = F.floor(F.log2(F.col("n")) * 8)
-    sizes = sorted(((r.step, r.k) for r in nodes.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)  # a few hundred steps
-    least, total = None, 0
-    for s, k in sizes:
-        total += k
-        if total > most:
-            break
-        least = s
-    return (nodes.where(step >= least) if least is not None else nodes.limit(0)).select("key", "one", "stay").toArrow()
+    out = materialise(words.join(sums, "id").select("word", "c", "lp"), "lm-scored")
+    codes.drop()
+    return out
 
 
 LN10 = math.log(10)
@@ -263,50 +323,6 @@ def _drawn(k: Column, lp: Column) -> Column:
     return math.log10(OWN) + lp + F.when(k > 1, (_log_gamma(k + own) - _log_gamma(1 + own)) / LN10).otherwise(0.0)
 
 
-class Tree:
-    """Nodes as sorted arrays, and the probabilities that they give: the plain form of :func:`log_codes`."""
-
-    def __init__(self, nodes: pa.Table):
-        key = nodes.column("key").to_numpy()
-        order = np.argsort(key)
-        self.key = key[order]
-        self.one = nodes.column("one").to_numpy()[order]
-        self.stay = nodes.column("stay").to_numpy()[order]
-
-    def log_byte(self, code: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's byte after its context."""
-        ctx, byte = code >> 8, code & 255
-        total = np.zeros(len(code))
-        for k in range(8):
-            node = (1 << k) + (byte >> (8 - k))
-            bit = (byte >> (7 - k)) & 1
-            p = np.zeros(len(code))
-            rest = np.ones(len(code))
-            last = np.full(len(code), 0.5)
-            live = np.arange(len(code))
-            for depth in range(DEPTH + 1):
-                if not len(live) or not len(self.key):
-                    break
-                key = (depth << 57) + ((ctx[live] >> (8 * (DEPTH - depth))) << 8) + node[live]
-                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                has = self.key[at] == key
-                live, at = live[has], at[has]
-                last[live] = self.one[at]
-                p[live] += rest[live] * self.stay[at] * self.one[at]
-                rest[live] *= 1.0 - self.stay[at]
-            p += rest * last
-            total += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1.0))
-        return total
-
-    def log_words(self, words: pa.Array) -> np.ndarray:
-        """log10 of the probability of each word, its closing blank included."""
-        if not len(words):
-            return np.zeros(0)
-        code, starts = spell(words)
-        known, which = np.unique(code, return_inverse=True)
-        return np.add.reduceat(self.log_byte(known)[which], starts)
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every text, learned from the training rows of ``docs``.
 
@@ -326,9 +342,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_train = (got.n or 0) + ends
     v_train = (got.v or 0) + (ends > 0)
     end_word = spark.createDataFrame([(bytearray(b""), ends, -1)], "word binary, c long, id long")
-    scored = materialise(log_words(words.df.unionAll(end_word)), "lm-scored")
+    scored = log_words(words.df.unionAll(end_word))
     words.drop()
-    head = {bytes(r.word): (r.c, r.lp) for r in scored.df.orderBy(F.desc("c"), "word").limit(HEAD).collect()}
+    head = {bytes(r.word): (r.c, r.lp) for r in scored.df.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).collect()}
     end = scored.df.where(F.length("word") == 0).first()
     share = spark.sparkContext.broadcast(head)
     end_c, end_lp = end.c, end.lp
@@ -372,7 +388,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.sum(F.col("lp") + F.when(F.col("word_lp").isNotNull(), _drawn(F.col("k"), F.col("word_lp"))).otherwise(F.lit(0.0))).alias("score"),
         F.sum("bytes").alias("bytes"),
     )
-    return per_text.select(
+    out = per_text.select(
         "doc_id",
         (~F.col("learn")).alias("held_out"),
         "n_tokens",
@@ -382,3 +398,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "score",
         (-F.col("score") / F.lit(math.log10(2)) / F.col("bytes")).alias("bits_per_byte"),
     )
+    answer = materialise(out, "lm-answer")
+    scored.drop()
+    return answer.df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -93,3 +94,53 @@ def base_entities(text):
             out.append(("card", m.start(), m.end()))
     out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= sum(c in "0123456789" for c in m.group()) <= 15]
     return out
+
+
+class PlainTree:
+    """Context-tree weighting over the bytes of words with dictionaries: ``counts`` of words (bytes)."""
+
+    def __init__(self, counts, depth=6):
+        self.depth, self.nodes = depth, defaultdict(lambda: [0, 0])
+        for word, n in counts.items():
+            for ctx, byte in self.places(word):
+                for k in range(8):
+                    for d in range(depth + 1):
+                        self.nodes[ctx[:d], (1 << k) | (byte >> (8 - k))][(byte >> (7 - k)) & 1] += n
+        children = defaultdict(list)
+        for ctx, node in self.nodes:
+            if ctx:
+                children[ctx[:-1], node].append((ctx, node))
+        self.mixed, self.stay = {}, {}
+        for key in sorted(self.nodes, key=lambda x: -len(x[0])):
+            a, b = self.nodes[key]
+            own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) if a + b else 0.0
+            if len(key[0]) == depth:
+                self.mixed[key], self.stay[key] = own, 1.0
+            else:
+                below = sum(self.mixed[c] for c in children[key])
+                top = max(own, below)
+                self.mixed[key] = top + math.log(0.5 * math.exp(own - top) + 0.5 * math.exp(below - top))
+                self.stay[key] = math.exp(math.log(0.5) + own - self.mixed[key])
+
+    def places(self, word):
+        """Each byte and the closing blank, with the bytes before it, the last one first."""
+        whole = b" " * self.depth + word + b" "
+        return [(whole[i - self.depth : i][::-1], whole[i]) for i in range(self.depth, len(whole))]
+
+    def log_byte(self, ctx, byte):
+        total = 0.0
+        for k in range(8):
+            node, p, rest, last = (1 << k) | (byte >> (8 - k)), 0.0, 1.0, 0.5
+            for d in range(self.depth + 1):
+                a, b = self.nodes.get((ctx[:d], node), (0, 0))
+                if not a + b:
+                    break
+                last = (b + 0.5) / (a + b + 1)
+                p += rest * self.stay[ctx[:d], node] * last
+                rest *= 1 - self.stay[ctx[:d], node]
+            p += rest * last
+            total += math.log10(p if (byte >> (7 - k)) & 1 else 1 - p)
+        return total
+
+    def log_word(self, word):
+        return sum(self.log_byte(*x) for x in self.places(word))

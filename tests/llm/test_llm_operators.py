@@ -93,6 +93,28 @@ def test_patterns_discover_identifiers(spark):
     assert all(found[200 + i].spans == "" for i in range(30))
 
 
+def test_shapes_discover_grouped_numbers(spark):
+    rng = random.Random(2)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(i, f"{rng.choice('abcdef')}x +1 {number()} z{i}q") for i in range(20)] + [(100 + i, f"w{i}r {number()} u{i}v") for i in range(6)] + [(200 + i, f"k{i}l {rng.randint(100, 999)} 77 s{i}t") for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x"))
+    found = {r.doc_id: r for r in pii.digest(pii.find(table)).collect()}
+    texts = dict(rows)
+    for i in range(6):
+        start = texts[100 + i].index("(")
+        assert found[100 + i].spans == f"phone:{start}:{start + 14}" and found[100 + i].n_phone == 0
+    assert all(found[200 + i].spans == "" for i in range(9))
+    # masking gives the same texts by a broadcast and by joins
+    plain, joined = (sorted(map(tuple, pii.mask(table, most=n).collect())) for n in (1000, 0))
+    assert plain == joined and all("[PHONE]" in r[1] for r in plain if 100 <= r[0] < 200)
+
+
+def test_candidates_have_no_length_limits():
+    long = "x9" * 100
+    assert [text[s:e] for text in (f"call 030 123 4567, id {long} or 12",) for s, e, k in pii.candidates(text, [])] == ["030 123 4567", long]
+    assert len(pii.named(long)) == 64 and pii.shape("+1 (743) 555-3824") == pii.shape("(017) 555-7713")
+
+
 def test_pii_digest_and_mask(docs, odd, spark):
     for table in (docs, odd, docs.limit(0)):
         texts = sorted((str(r.doc_id), pii.sha256_of(brute.base_entities(r.text))) for r in table.collect())
@@ -163,6 +185,77 @@ def test_sharding(docs, odd, spark):
     check_shards(sharding.shard_by_bytes(hot, shards=6, per_shard=2).collect(), 6)
 
 
+def test_cuts_are_the_nearest_rows(spark):
+    rng = random.Random(11)
+    keys = [(rng.choice([5, 5, 5, rng.getrandbits(62) - (1 << 61), sharding.LOW, sharding.HIGH]), rng.choice([sharding.LOW, 7, 7, rng.randint(-9, 9)]), rng.getrandbits(63) - (1 << 62), rng.randint(16, 400)) for _ in range(500)]
+    keyed = spark.createDataFrame(keys, "h long, d long, t long, size long")
+    total = sum(k[3] for k in keys)
+    found = sharding.splitters(keyed, total, 12, 0.0)
+    ends, at = {0}, 0
+    for k in sorted(keys):
+        at += k[3]
+        ends.add(at)
+    for n, cut in enumerate(sorted(found), 1):
+        target = total * n // 12
+        below = sum(k[3] for k in keys if k[:3] <= cut)
+        assert abs(below - target) == min(abs(e - target) for e in ends)
+
+
+def test_sharding_of_repeated_rows(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 2000, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, "the same text " * 70).otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit(1).alias("h"), F.lit(2).alias("bucket"))
+    got = sharding.shard_by_bytes(rows, shards=10, per_shard=2).collect()
+    assert len(got) == 4000
+    check_shards(got, 10)
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(10)]
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes)
+
+
+CONTRACTS = {
+    "op1_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op2_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op3_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op4_bpe_round_trip": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op5_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op7_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op9_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op10_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_registered_queries_keep_their_contracts(spark, docs, name):
+    got = QUERIES[name](spark, SF)
+    kinds = dict(got.dtypes)
+    assert [f"{c} {kinds[c]}" for c in kinds][: CONTRACTS[name].count(",") + 1] == CONTRACTS[name].split(", ")
+    table = spark.read.parquet(f"{SF}/pages.parquet") if name == "op10_url_filter" else docs
+    assert got.count() == table.count()
+
+
+def test_registered_decontamination(spark, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, SF).collect()} == brute.leaks(texts, items) | brute.leaks_of_short_texts(texts, items)
+
+
+def test_fingerprints_find_what_brute_force_finds():
+    """Recall of the Hamming radius at its limit: windows of just 0.75 or more, repeated shingles among them."""
+    rng = np.random.default_rng(7)
+    lost = met = 0
+    with np.errstate(over="ignore"):
+        for size in (4, 8, 12, 20, 36, 60, 96):
+            for _ in range(300):
+                pool = rng.integers(0, 1 << 63, size * 2).astype(np.uint64)
+                a = rng.choice(pool[: max(2, size // 2)], size) if rng.random() < 0.5 else pool[:size].copy()
+                b = a.copy()
+                n = size - -(-6 * size // 7)  # as many as may differ
+                b[rng.choice(size, n, replace=False)] = rng.integers(0, 1 << 63, n).astype(np.uint64)
+                x, y = (decontamination.simhash(decontamination.bit_weights(s).sum(0)[None])[0] for s in (a, b))
+                met += 1
+                lost += int(np.bitwise_count(x ^ y)) > decontamination.RADIUS
+    assert lost <= 0.01 * met
+    print("lost", lost, "of", met)
+
+
 def test_leaks(docs, spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()}
@@ -284,6 +377,22 @@ def test_hamming_search(spark):
     assert hamming_search.search(frame.where("vec_id < 5"), frame.where("vec_id = 0")).count() == 5
 
 
+@pytest.mark.parametrize("size", [8, 80, 150])
+def test_hamming_search_of_other_lengths(spark, size):
+    rng = random.Random(size)
+    vectors = [(i, [rng.choice([-1.0, 1.0, 0.5, -0.1]) for _ in range(size)]) for i in range(120)]
+    vectors += [(200, []), (201, None), (202, [None] * size), (203, [1.0] * (size // 2)), (0, [1.0] * size), (0, [1.0] * size), (300, [float("nan")] * size)]
+    frame = spark.createDataFrame(vectors, "vec_id long, v array<double>").withColumn("extra", F.lit(1))
+    codes = frame.select("vec_id", hamming_search.sign_code(F.col("v")).alias("code"), "extra")
+    bits = lambda v: tuple(int(i < len(v) and v[i] is not None and v[i] > 0) for i in range(size))
+    rows = {(i, bits(v)) for i, v in vectors if v is not None}
+    want = set()
+    for q in {b for i, b in rows if i % 100 == 0}:
+        near = sorted((sum(a != b for a, b in zip(q, c)), i) for i, c in rows)[:10]
+        want |= {(i, k + 1, j, d) for i, b in rows if i % 100 == 0 and b == q for k, (d, j) in enumerate(near)}
+    assert {tuple(r) for r in hamming_search.search(codes, codes.where("vec_id % 100 = 0"), bits=size).collect()} == want
+
+
 def test_lm_base_scores_and_probabilities(docs, odd):
     import math
     from collections import Counter
@@ -309,33 +418,34 @@ def test_lm_base_scores_and_probabilities(docs, odd):
 
 
 def test_lm_bytes_sum_to_one(spark):
-    words = spark.createDataFrame([(bytearray(w), n) for w, n in ((b"abc", 9), (b"abd", 3), (b"b", 50), (b"", 12))], "word binary, c long")
-    tree = lm_scoring.Tree(lm_scoring.largest(lm_scoring.build(lm_scoring._spelled(words))))
-    for last in (b"", b"a", b"ba", b"za"):  # the last byte first
-        ctx = np.int64(int.from_bytes(last.ljust(lm_scoring.DEPTH, b" "), "big"))
-        assert np.power(10.0, tree.log_byte((ctx << 8) | np.arange(256))).sum() == pytest.approx(1.0, abs=1e-4)
+    counts = {b"abc": 9, b"abd": 3, b"b": 50, b"": 12}
+    rows = [(bytearray(w), n) for w, n in counts.items()] + [(bytearray(w + bytes([b])), 0) for w in (b"", b"a", b"ab", b"az", b"abcdefgh") for b in range(256)]
+    got = {r.code: r.lp for r in lm_scoring.log_codes(spark.createDataFrame(rows, "word binary, c long")).df.collect()}
+    tree = brute.PlainTree(counts)
+    for last in (b"", b"a", b"ba", b"za", b"hgfedc"):  # the last byte first
+        ctx = last.ljust(lm_scoring.DEPTH, b" ")
+        mine = [got[int.from_bytes(ctx, "big") << 8 | b] for b in range(256)]
+        assert sum(10.0**x for x in mine) == pytest.approx(1.0, abs=1e-6)
+        assert mine == pytest.approx([tree.log_byte(ctx, b) for b in range(256)], rel=1e-5)
     ctx = int.from_bytes(b"ba".ljust(lm_scoring.DEPTH, b" "), "big") << 8
-    order = np.power(10.0, tree.log_byte(np.array([ctx | 0x63, ctx | 0x64], np.int64)))
-    assert order[0] > order[1] > 0.1
+    assert got[ctx | 0x63] > got[ctx | 0x64] > -1
 
 
-def test_lm_scores_use_all_nodes(spark, monkeypatch):
+def test_lm_scores_are_the_plain_trees(spark, monkeypatch):
     import math
     from collections import Counter
 
-    monkeypatch.setattr(lm_scoring.largest, "__defaults__", (50,))  # scores must not hang on what a table in memory may hold
+    monkeypatch.setattr(lm_scoring, "HEAD", 20)  # most words come by the join
     rng = random.Random(12)
     rows = [(d, " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(30))) for d in range(40)]
     learned = Counter()
     for d, text in rows:
         learned.update(brute.words(text) if zlib.crc32(str(d).encode()) % 5 != 1 else ())
     ends = sum(zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows)
-    words = spark.createDataFrame([(bytearray(w.encode()), n) for w, n in [*learned.items(), ("", ends)]], "word binary, c long")
-    tree = lm_scoring.Tree(lm_scoring.largest(lm_scoring.build(lm_scoring._spelled(words)), 1 << 40))
-    assert len(tree.key) > 1000
-    names = sorted({w for _, text in rows for w in brute.words(text)} | {""})
-    assert set(names) - set(learned) - {""}  # held-out words that training has not
-    lp = dict(zip(names, tree.log_words(pa.array([w.encode() for w in names], pa.binary())).tolist()))
+    tree = brute.PlainTree({w.encode(): n for w, n in learned.items()} | {b"": ends})
+    names = {w for _, text in rows for w in brute.words(text)} | {""}
+    assert names - set(learned) - {""}  # held-out words that training has not
+    lp = {w: tree.log_word(w.encode()) for w in names}
     got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for d, text in rows:
         found = Counter(brute.words(text))
@@ -344,6 +454,16 @@ def test_lm_scores_use_all_nodes(spark, monkeypatch):
         assert got[d] == pytest.approx(want, rel=1e-5), d
 
 
+def test_lm_runs_are_never_cut(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "RUNS", 7)
+    rng = np.random.default_rng(5)
+    cut = np.sort(rng.integers(0, 30, 200))
+    batches = [pa.RecordBatch.from_arrays([pa.array(cut[i : i + 13]), pa.array(np.arange(i, min(200, i + 13)))], ["cut", "code"]) for i in range(0, 200, 13)]
+    parts = list(lm_scoring._runs(iter(batches), ["cut", "code"]))
+    assert np.concatenate([p[1] for p in parts]).tolist() == list(range(200))
+    assert all(set(p[0].tolist()).isdisjoint(q[0].tolist()) for p, q in zip(parts, parts[1:])) and len(parts) > 5
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/x", "https://WWW.Example.com/en/1?q", "http://x.example.com/en/2", "http://b.net/es/1", "http://b.net", "http://m.spam-farm.example.org/en/7#t", "http://ok.example.org/p", "nothing", None, "x://y.com", "ftp://u@free-bets.example.net:8080/", "http://a.com?x=://z"]
     rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, key string")
@@ -356,6 +476,10 @@ def test_url_filter(spark):
     assert got[7] == ("", "", None, "allow") and got[8] == ("", "", None, "allow") and got[9] == ("y.com", "", None, "allow")
     assert got[10] == ("u@free-bets.example.net:8080", "/", None, "block") and got[11] == ("a.com", "", None, "allow")
     assert url_filter.filter_urls(rows.limit(0)).count() == 0
+    listed = spark.createDataFrame([("b.net/es/1",), ("x.example.org/p",), ("x.example.org/p",), (None,), ("ok.example.org/",)], "key string")
+    own = {r.page_id: (r.verdict, r.listed) for r in url_filter.filter_urls(rows, listed).collect()}
+    assert own[3] == ("block", True) and own[6] == ("block", True) and own[5] == ("allow", False) and len(own) == len(urls)
+    assert not any(r.listed for r in url_filter.filter_urls(rows, listed.limit(0)).collect())
     tiny = url_filter.filter_urls(rows, blocks=1).collect()  # a filter that passes nearly all
     assert {r.page_id: r.verdict for r in tiny} == {k: v[3] for k, v in got.items()}
 
