@@ -323,6 +323,19 @@ def _drawn(k: Column, lp: Column) -> Column:
     return math.log10(OWN) + lp + F.when(k > 1, (_log_gamma(k + own) - _log_gamma(1 + own)) / LN10).otherwise(0.0)
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """About the ``most`` most frequent rows of ``words``, no more: all with a count above a cut that a histogram gives."""
+    step = F.floor(F.log2(F.col("c")) * 16)
+    sizes = words.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()  # a few hundred steps
+    least, total = None, 0
+    for s, k in sorted(((r.step, r.k) for r in sizes), reverse=True):
+        total += k
+        if total > most:
+            break
+        least = s
+    return words.where("c > 0").where(step >= least) if least is not None else words.limit(0)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every text, learned from the training rows of ``docs``.
 
@@ -344,7 +357,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     end_word = spark.createDataFrame([(bytearray(b""), ends, -1)], "word binary, c long, id long")
     scored = log_words(words.df.unionAll(end_word))
     words.drop()
-    head = {bytes(r.word): (r.c, r.lp) for r in scored.df.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).collect()}
+    head = {bytes(r.word): (r.c, r.lp) for r in most_frequent(scored.df.where(F.length("word") <= HEAD_BYTES), HEAD).collect()}
     end = scored.df.where(F.length("word") == 0).first()
     share = spark.sparkContext.broadcast(head)
     end_c, end_lp = end.c, end.lp
