@@ -23,3 +23,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         group = (np.cumsum(sizes) - sizes) // most
         for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
             yield batch.slice(int(part[0]), len(part))
+    pa.default_memory_pool().release_unused()  # the worker is used again by other tasks

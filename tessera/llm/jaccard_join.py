@@ -57,11 +57,12 @@ LIGHT_MOST = 12
 SCAN_COST = 4  # a scanned entry costs so many enumerated ones
 FILTER_BITS = 1 << 23
 LEADER_ROUNDS = 3
+KEYS_AT_ONCE = 2048  # texts, and entries of lists, of a batch
 LEFT_COST = 4  # pairs left over, for each entry of the lists, that are cheaper than another turn
 SPLIT_LEAST = 2048  # lists of shingles that so many sets share are dealt over parts
 PARTS = 64
 SEEN = 1 << 18  # names of sets that a task remembers, to pass copies by
-SETS_AT_ONCE, SKETCHES_AT_ONCE = 128, 1024  # rows with sets, or sketches, of a batch
+SETS_AT_ONCE, SKETCHES_AT_ONCE, TEXTS_AT_ONCE = 128, 1024, 1024  # rows with sets, sketches or texts of a batch
 
 
 def overlap(a: int, b: int) -> int:
@@ -175,7 +176,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> Stored:
             yield recurring()
 
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialise(only.mapInArrow(run, "kind byte, k long, fp long, n long, sketch binary, name binary"), "sets")
+    return materialise(only.mapInArrow(run, "kind byte, k long, fp long, n long, sketch binary, name binary"), "sets", batch_rows=TEXTS_AT_ONCE)
 
 
 def _hot(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +324,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
     only = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = only.mapInArrow(run, "name binary, items binary")
-    return materialise(found.join(wanted.select("class", "name"), "name").select("class", "items").dropDuplicates(["class"]), "set-items")
+    return materialise(found.join(wanted.select("class", "name"), "name").select("class", "items").dropDuplicates(["class"]), "set-items", batch_rows=TEXTS_AT_ONCE)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> Stored:
@@ -438,8 +439,9 @@ def _leaders(mixed: DataFrame) -> DataFrame:
 
 
 def _left_over(mixed: DataFrame) -> float:
-    """Pairs across components for each entry of the lists."""
-    by_list = mixed.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+    """About how many pairs across components are left for each entry of the lists, sets being of about one size:
+    then both places have to be in the first seventh."""
+    by_list = mixed.where(7 * F.col("pos") <= F.col("n")).groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
     row = by_list.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs"), F.sum("m").alias("entries")).first()
     return row.pairs / row.entries if row.entries else 0.0
 
@@ -460,7 +462,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grouped = scan.df.where("kind = 0 AND n > 0").groupBy("name").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("k").alias("least"), F.count("*").alias("copies"))
     classes = materialise(grouped.withColumn("class", F.monotonically_increasing_id()), "classes").df
     sizes = {r.n: r.c for r in classes.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    lists = materialise(_lists(_keys(docs, light_boundary(sizes), _hot(scan.df), id_col, text_col)), "lists")
+    lists = materialise(_lists(_keys(docs, light_boundary(sizes), _hot(scan.df), id_col, text_col)), "lists", batch_rows=KEYS_AT_ONCE)
     linker = _Linker(docs, classes.select("class", "name", "fp", "n", "sketch"), id_col, text_col)
 
     def mixed_lists(before: Stored | None) -> Stored:
