@@ -408,3 +408,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).first().vector == [0.5]
     files.graph_snapshot(spark.range(2), spark.range(3), str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g" / "nodes")).count() == 2
+
+
+def test_kept_variations(spark):
+    texts = [("my screen is black", True, 0.9), ("MY screen is  black", True, 0.9), ("the display shows nothing", False, 0.9), ("phone display stays dark now", True, 0.9), ("phone display stays dark today", True, 0.9), ("weather report", True, 0.1), ("why is there no picture", False, 0.9), ("screen is black my", True, 0.9)]
+    rows = spark.createDataFrame([(1, i, t, "my screen is black", f, c) for i, (t, f, c) in enumerate(texts)], "g long, o long, t string, q string, f boolean, c double")
+    got = lambda n: [r.verdict for r in plans.kept_variations(rows, "g", "o", "t", "q", "f", "c", least=n).orderBy("o").collect()]
+    assert got(2) == ["copy", "copy", "kept", "kept", "token_jaccard_vs_kept", "off_meaning", "changes_the_problem", "token_jaccard_vs_original"]
+    assert got(1)[2] == "changes_the_problem"
