@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import steps as S
@@ -18,7 +20,13 @@ _SENT = r"""
   l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
   p AS (SELECT doc_id, line_no, string_split(regexp_replace(trim(line), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM l WHERE trim(line) <> ''),
   s AS (SELECT doc_id, line_no, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM p)"""
-_FLAG_SQL = ", ".join(f"count(*) FILTER (WHERE regexp_matches(sentence, '{p.replace(chr(39), chr(39) * 2)}')) AS {n}" for n, p in S.FLAGS.items())
+def _sql_words(pattern: str) -> str:
+    """A pattern for DuckDB, whose word boundaries know ASCII letters only."""
+    before = re.sub(r"\\b(?=[a-z(])", lambda _: r"(?:^|[^\pL\pN_])", pattern)
+    return before.replace(r"\b", r"(?:[^\pL\pN_]|$)").replace("'", "''")
+
+
+_FLAG_SQL = ", ".join(f"count(*) FILTER (WHERE regexp_matches(sentence, '{_sql_words(p)}')) AS {n}" for n, p in S.FLAGS.items())
 
 
 @query(f"WITH {_SENT} SELECT doc_id, {_FLAG_SQL} FROM s GROUP BY doc_id")
