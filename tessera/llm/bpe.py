@@ -262,12 +262,12 @@ class MergeMachine:
         self.size = {i: len(b) for b, i in self.vocab.items()}
         #: Length of the longest token that starts with these four bytes.
         self.reach: dict[bytes, int] = {}
-        #: The same of those that end with them.
-        self.reach_back: dict[bytes, int] = {}
+        #: The lengths of the tokens of four bytes or more that end with these four, longest first.
+        self.ends: dict[bytes, tuple[int, ...]] = {}
         for token in self.vocab:
             if len(token) > 3:
                 self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
-                self.reach_back[token[-4:]] = max(len(token), self.reach_back.get(token[-4:], 0))
+                self.ends[token[-4:]] = tuple(sorted({len(token), *self.ends.get(token[-4:], ())}, reverse=True))
         self._edges: tuple[dict, dict] = ({}, {})
         self._fits: dict[tuple[int, int], bool] = {}
         self._own: dict[int, bool] = {}
@@ -412,8 +412,9 @@ class StreamingMerger:
         for byte in data:
             self.tail = (self.tail + bytes([byte]))[-m.lookahead :]
             self.read += 1
-            for size in range(min(m.reach_back.get(self.tail[-4:], 3), self.read - self.sent), 0, -1):
-                token = m.vocab.get(self.tail[-size:])
+            most = self.read - self.sent
+            for size in (*m.ends.get(self.tail[-4:], ()), 3, 2, 1):
+                token = m.vocab.get(self.tail[-size:]) if size <= most else None
                 if token is None:
                     continue
                 start = self.read - size
@@ -468,29 +469,17 @@ class CountMachine:
     ``lookahead`` of them say all that the future needs, and older ones are let go.
     """
 
-    KEPT = 1 << 19  # states, and counts of whole pieces
+    STATES, KEPT = 300_000, 400_000  # states, and counts of whole pieces
 
     def __init__(self, machine: MergeMachine):
         self.m = machine
+        self._known: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
         #: of each state: its last token, and its transitions by byte as (state, tokens added)
         self.last: list[int | None] = [None]
         self.next: list[dict[int, tuple[int, int]]] = [{}]
-        self._known: dict[str, int] = {}
-
-    def _token(self, tail: bytes, state_at) -> tuple[int, int]:
-        """The token that ends ``tail``, and its size; ``state_at``: the last token before so many bytes."""
-        m = self.m
-        for size in range(min(m.reach_back.get(tail[-4:], 3), len(tail)), 0, -1):
-            token = m.vocab.get(tail[-size:])
-            if token is None:
-                continue
-            before = state_at(size)
-            if m.alone(token) if before is None else m.fits(before, token):
-                return token, size
-        raise ValueError("the merge list gives no encoding")
 
     def count(self, piece: str) -> int:
         """Tokens of one piece."""
@@ -499,32 +488,60 @@ class CountMachine:
             raw = piece.encode("utf-8", "surrogatepass")
             if len(raw) > self.m.lookahead:
                 return self._long(raw)
-            if len(self._known) + len(self.last) > self.KEPT:
+            if len(self.last) > self.STATES:
                 self._clear()
+            if len(self._known) >= self.KEPT:
+                self._known.clear()
             found = self._known[piece] = self._walk(raw)
         return found
 
     def _walk(self, raw: bytes) -> int:
+        next_, last = self.next, self.last
         path, counts, state = [0], [0], 0
         for at, byte in enumerate(raw):
-            step = self.next[state].get(byte)
+            step = next_[state].get(byte)
             if step is None:
-                token, size = self._token(raw[: at + 1], lambda size: self.last[path[at + 1 - size]])
-                step = self.next[state][byte] = (len(self.last), counts[at + 1 - size] + 1 - counts[at])
-                self.last.append(token)
-                self.next.append({})
+                token, size = self._ending(raw, at + 1, path, last)
+                step = next_[state][byte] = (len(last), counts[at + 1 - size] + 1 - counts[at])
+                last.append(token)
+                next_.append({})
             state = step[0]
             path.append(state)
-            counts.append(counts[-1] + step[1])
+            counts.append(counts[at] + step[1])
         return counts[-1]
 
+    def _ending(self, raw: bytes, end: int, path, last) -> tuple[int, int]:
+        """The last token of the first ``end`` bytes, and its size: the one that fits what was last where it begins."""
+        m = self.m
+        vocab, known = m.vocab, m._fits
+        for size in (*m.ends.get(raw[max(0, end - 4) : end], ()), 3, 2, 1):
+            if size > end:
+                continue
+            token = vocab.get(raw[end - size : end])
+            if token is None:
+                continue
+            before = last[path[end - size]]
+            if before is None:
+                if m.alone(token):
+                    return token, size
+            else:
+                fit = known.get((before, token))
+                if m.fits(before, token) if fit is None else fit:
+                    return token, size
+        raise ValueError("the merge list gives no encoding")
+
     def _long(self, raw: bytes) -> int:
+        """A piece beyond the lookahead: only what its last ``lookahead`` bytes have led to is kept."""
         window = self.m.lookahead
-        last: deque[int | None] = deque([None], window + 1)
-        counts: deque[int] = deque([0], window + 1)
-        for at in range(len(raw)):
-            token, size = self._token(raw[max(0, at + 1 - window) : at + 1], lambda size: last[-size])
-            counts.append(counts[-size] + 1)
+        last: list[int | None] = [None]
+        counts, base = [0], 0  # from the prefix of ``base`` bytes on
+        for end in range(1, len(raw) + 1):
+            if len(last) > 4 * window:
+                cut = len(last) - window - 1
+                last, counts, base = last[cut:], counts[cut:], base + cut
+            own = raw[max(base, end - window) : end]
+            token, size = self._ending(own, len(own), range(len(last) - len(own), len(last)), last)
+            counts.append(counts[len(counts) - size] + 1)
             last.append(token)
         return counts[-1]
 
