@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.lexicon import sql_list
+from tessera.operators import impacts as I
 from tessera.operators import retrieval as R
 from tessera.queries.registry import query
 from tessera.sources import files
@@ -31,9 +32,13 @@ _JAC = f"""
   jr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM js)"""
 
 
+def _index(t, asked):
+    return I.impact_index(t.documents, "doc_id", {"text": 1}, asked)
+
+
 def _bm25(t, k=20):
-    index = files.stored(R.postings(t.documents, "doc_id", {"text": 1}), "postings")  # read for lengths, counts and scores
-    return R.bm25(index, "doc_id", R.query_terms(t.benchmark, "item_id", "text"), "item_id", k)
+    asked = files.stored(R.query_terms(t.benchmark, "item_id", "text"), "asked")
+    return I.bm25_pruned(_index(t, asked), asked, "item_id", k).best.withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 20")
@@ -53,9 +58,30 @@ def bm25_topk(t):
   SELECT n_nationkey, p_partkey, score, rank FROM r WHERE rank <= 3""")
 def bm25_weighted(t):
     """Parts like one chosen for each nation, over weighted fields."""
-    index = R.postings(t.part, "p_partkey", {"p_name": 2, "p_type": 2, "p_brand": 1})
+    index = I.impact_index(t.part, "p_partkey", {"p_name": 2, "p_type": 2, "p_brand": 1})
     asked = t.nation.join(t.part, F.col("p_partkey") == F.col("n_nationkey") + 1).select("n_nationkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return R.bm25(index, "p_partkey", R.query_terms(asked, "n_nationkey", "text"), "n_nationkey", 3)
+    return I.bm25_pruned(index, R.query_terms(asked, "n_nationkey", "text"), "n_nationkey", 3).best.withColumnRenamed("key", "p_partkey")
+
+
+@query(f"""
+  WITH p AS (SELECT p_partkey, term, count(*) AS tf FROM ({_terms("part", "p_partkey", "p_name || ' ' || p_brand")}) GROUP BY ALL),
+  a AS (SELECT o_orderpriority AS priority, min(p_partkey) AS chosen FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderpriority),
+  q AS (SELECT priority, term, count(*) AS qn FROM (SELECT priority, unnest(list_filter(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+'), lambda x: x NOT IN ({_STOP}))) AS term FROM a JOIN part ON p_partkey = chosen) GROUP BY ALL),
+  ln AS (SELECT p_partkey, sum(tf) AS len FROM p GROUP BY p_partkey), st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM ln), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+  sc AS (SELECT priority, p.p_partkey, sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+         FROM p JOIN q USING (term) JOIN df USING (term) JOIN ln ON ln.p_partkey = p.p_partkey, st GROUP BY priority, p.p_partkey),
+  b AS (SELECT sc.priority, sc.p_partkey, round(score + CASE WHEN part.p_type = w.p_type THEN 1.5 ELSE 0 END, 6) AS score FROM sc JOIN part ON part.p_partkey = sc.p_partkey JOIN a ON a.priority = sc.priority JOIN part w ON w.p_partkey = chosen WHERE score > 0),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY priority ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM b)
+  SELECT priority, p_partkey, score, rank FROM r WHERE rank <= 8""")
+def bm25_polarity(t):
+    """Parts like the first one ordered under each priority; those of its type are wanted and gain a bonus. Ties by key."""
+    index = I.impact_index(t.part, "p_partkey", {"p_name": 1, "p_brand": 1})
+    sold = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    chosen = sold.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.min("p_partkey").alias("p_partkey")).join(t.part, "p_partkey")
+    asked = R.query_terms(chosen.select("priority", F.concat_ws(" ", "p_name", "p_brand").alias("text")), "priority", "text")
+    kinds = t.part.select(F.col("p_partkey").alias("key"), F.col("p_type").alias("kind"))
+    found = I.bm25_pruned(index, asked, "priority", 8, kinds, chosen.select("priority", F.col("p_type").alias("kind")))
+    return found.best.withColumnRenamed("key", "p_partkey")
 
 
 _COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6)"
@@ -76,7 +102,11 @@ _RRF = f"""{_BM25}, {_JAC},
 
 
 def _fused(t, k):
-    return R.rrf([_bm25(t), R.overlap(t.documents, "doc_id", t.benchmark, "item_id", 20)], "item_id", "doc_id", k)
+    asked = files.stored(R.query_terms(t.benchmark, "item_id", "text"), "asked")
+    index = _index(t, asked)
+    sizes = asked.groupBy("item_id").agg(F.count("*").alias("qn"))
+    lists = [I.bm25_pruned(index, asked, "item_id", 20).best, I.overlap_pruned(index, asked, "item_id", 20, sizes).best]
+    return R.rrf([x.withColumnRenamed("key", "doc_id") for x in lists], "item_id", "doc_id", k)
 
 
 @query(f"WITH {_RRF} SELECT item_id, doc_id, score, rank FROM rr WHERE rank <= 3")

@@ -28,6 +28,15 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def bucketed(rows: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+    """The rows as a table in buckets of ``key``, sorted inside each: joins and groups by the key need no shuffle of it."""
+    spark = rows.sparkSession
+    path, n = shared_folder(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rpartition("/")[2].replace("-", "_")
+    rows.repartition(n, key).write.bucketBy(n, key).sortBy(*order).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def json_documents(spark: SparkSession, path: str, field: str) -> DataFrame:
     """The elements of an array at ``field`` of each JSON file."""
     return spark.read.json(path, multiLine=True).select(F.explode(field).alias("row")).select("row.*")
