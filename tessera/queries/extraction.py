@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import steps as S
 from tessera.functions import text as T
 from tessera.functions.lexicon import GENERAL_FIX, GENERIC, sql_list
 from tessera.operators import plans as P
-from tessera.operators import repair, segments, slots
+from tessera.operators import completion, repair, segments, slots
 from tessera.operators import requests as Q
-from tessera.queries.registry import query
+from tessera.queries.registry import Tables, query
 from tessera.queries.texts import CORPUS_DENIALS, CORPUS_LEXICON, _FOUND, _sql_scrub
 from tessera.sources import files
 
@@ -376,6 +377,35 @@ def screen_in_section(t):
     return t.part.select("p_partkey", P.on_section(F.concat(F.lit("Settings > "), "p_name"), section).alias("path"))
 
 
+def conversation_plans(t: Tables):
+    """Each conversation as an article: a turn is a section, a line a paragraph; and a plan that took the ends of its turns.
+
+    An action for each turn that instructs cites the first instruction of its first paragraph
+    and, from three such paragraphs on, the last one of its last; speakers are the goals.
+    """
+    lines = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    cut = F.split(F.regexp_replace("line", r"([.!?])\s+([A-Z])", "$1\u0001$2"), "\u0001")
+    parts = lines.select("conv_id", "turn", "role", "line_no", F.posexplode(cut).alias("p", "text"))
+    no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "line_no", "p"))
+    rows = parts.withColumn("no", no).withColumn("section", F.concat_ws(" ", F.lit("Turn"), F.col("turn").cast("string"), F.lit("of"), "role")).withColumn("instructs", S.is_instruction(F.col("text"), _VERBS))
+    rows = files.stored(rows, "sentences")
+    units = P.paragraph_units(rows.withColumn("heading", F.col("section")), "conv_id", "section", "line_no", "no")
+    units = files.stored(units.select("conv_id", "unit", "heading", "ids", "instructing", "heading_step"), "units")
+    ends = units.groupBy("conv_id", F.col("heading").alias("section")).agg(F.min(F.get("instructing", F.lit(0))).alias("first"), F.when(F.count("*") >= 3, F.max(F.array_max("instructing"))).alias("last"))
+    met = ends.join(rows.select("conv_id", "section", F.col("no").alias("first"), "turn", "role", "text"), ["conv_id", "section", "first"])
+    actions = met.select("conv_id", F.col("first").alias("pos"), S.imperative_name(F.col("text")).alias("name"), F.when(F.col("role") == "user", 0).otherwise(1).alias("goal"))
+    own = met.select("conv_id", F.col("first").alias("pos"), F.explode(F.array_compact(F.array("first", "last"))).alias("no")).join(rows.select("conv_id", "no", "text"), ["conv_id", "no"])
+    steps = own.select("conv_id", "pos", F.col("no").alias("at"), "text", F.array("no").alias("ids"))
+    chosen = units.select("conv_id", "unit", F.col("unit").alias("rank"), F.when(F.size("ids") > 1, F.col("heading")).alias("name"))
+    return rows.select("conv_id", "no", "section", "text"), units, chosen, files.stored(actions, "actions"), files.stored(steps, "steps")
+
+
+@query()
+def completed_paragraphs(t):
+    """Plans over conversations, completed by the paragraphs that they left out or took in part."""
+    return completion.completed_plans(*conversation_plans(t), "conv_id", verbs=_VERBS).select("conv_id", "place", "at", "name", "goal", "text", "added")
+
+
 @query()
 def merged_overlaps(t):
     """Actions that cite the same sentences, merged or dropped."""
