@@ -140,16 +140,17 @@ def rules_titles(t):
     return t.conversations.select("conv_id", "turn", S.rules_title(component, symptom, F.col("text")).alias("title"))
 
 
-@query("""
-  WITH k AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+')[1:6] AS w FROM conversations WHERE len(regexp_extract_all(lower(text), '[a-z]+')) >= 6),
-  v(kind, said) AS (VALUES ('words','{0} {1} {2} {3}'),('fix','screen {1} fix'),('why','Why is my screen {1}?'),('repair','How can I repair a {1} screen?'),('help','Help, my screen keeps being {1}!'),('formal','I am experiencing an issue where the device screen is {1}.'),
-    ('annoyed','ugh screen {1} again, so annoying'),('cause','What causes {0} and {2}?'),('guide','Troubleshooting a {1} screen'),('after','screen {1} after update, what should I do'),('brand','Problem with screen: {0}, {1}'))
-  SELECT conv_id, turn, kind, replace(replace(replace(replace(said, '{0}', w[1]), '{1}', w[2]), '{2}', w[3]), '{3}', w[4]) AS text FROM k, v""")
+@query(f"""
+  WITH k AS (SELECT conv_id, turn, role, list_concat(list_filter(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]*'), lambda w: w NOT IN ({sql_list(T.STOPWORDS + T.UI_VERBS)}) AND length(w) >= 3 AND w NOT IN ('samsung','galaxy','phone','tablet','mobile','device','new')), lambda x: true) , ['phone', 'issue', 'problem', 'device']) AS w FROM conversations),
+  d AS (SELECT conv_id, turn, role, list_filter(w[1:-5], lambda x, i: list_position(w, x) = i) || w[-4:] AS w FROM k),
+  v(no, said) AS (VALUES (0,'{{0}} {{1}} {{2}} {{3}} {{4}}'),(1,'{{0}} {{1}} fix'),(2,'Why is my {{0}} {{1}}?'),(3,'How can I repair a {{1}} {{0}} on my Galaxy?'),(4,'Help, my {{0}} keeps being {{1}}!'),(5,'Samsung {{0}} problem: {{0}}, {{1}}'),(6,'I am experiencing an issue where the device {{0}} is {{1}}.'),
+    (7,'ugh {{0}} {{1}} again, so annoying'),(8,'{{t0}} {{t1}} {{t0}} not wroking'),(9,'What causes {{0}} and {{2}} on a Galaxy?'),(10,'Troubleshooting a {{1}} {{0}}'),(11,'{{0}} {{1}} after update, what should I do')),
+  y AS (SELECT conv_id, turn, role, w, list_transform([w[1], w[2]], lambda x: CASE {" ".join(f"WHEN contains(x, '{a}') THEN regexp_replace(x, '{a}', '{b}')" for a, b in (("ea", "ae"), ("en", "ne"), ("in", "ni"), ("er", "re"), ("on", "no"), ("ck", "kc")))} WHEN length(x) > 4 THEN x[1:length(x) - 1] ELSE x END) AS t FROM d)
+  SELECT conv_id, turn, CAST(no AS INTEGER) AS no, trim(replace(replace(replace(replace(replace(replace(replace(said, '{{0}}', w[1]), '{{1}}', w[2]), '{{2}}', w[3]), '{{3}}', w[4]), '{{4}}', coalesce(w[5], '')), '{{t0}}', t[1]), '{{t1}}', t[2])) AS text FROM y, v""")
 def template_variants(t):
-    """Rewordings of a turn by templates."""
-    w = T.words(F.col("text"), "[a-z]+")
-    rows = t.conversations.where(F.size(w) >= 6).select("conv_id", "turn", F.explode(P.variants(F.lit("screen"), F.lit(None).cast("string"), F.slice(w, 1, 6))).alias("v"))
-    return rows.select("conv_id", "turn", "v.kind", "v.text").where("kind <> 'typo'")
+    """Rewordings of every turn by templates, from its own words."""
+    none = F.lit(None).cast("string")
+    return t.conversations.select("conv_id", "turn", F.explode(P.variants(none, none, F.col("text"))).alias("v")).select("conv_id", "turn", "v.no", "v.text")
 
 
 @query("""
@@ -406,7 +407,18 @@ def completed_paragraphs(t):
     return completion.completed_plans(*conversation_plans(t), "conv_id", verbs=_VERBS).select("conv_id", "place", "at", "name", "goal", "text", "added")
 
 
-@query()
+_HIT = "list_filter(r.kept, lambda k: len(list_intersect(k.ids, t.ids)) > 0 AND len(list_intersect(k.ids, t.ids)) >= 0.5 * least(len(k.ids), len(t.ids)))[1]"
+
+
+@query(f"""
+  WITH RECURSIVE t AS (SELECT conv_id, turn, list_distinct([turn % 3, turn % 4, turn % 2 + 5]) AS ids, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+  r AS (
+    SELECT conv_id, turn, n, [{{'no': turn, 'ids': ids}}] AS kept, turn AS head FROM t WHERE n = 1
+    UNION ALL
+    SELECT t.conv_id, t.turn, t.n, CASE WHEN {_HIT} IS NULL THEN list_append(r.kept, {{'no': t.turn, 'ids': t.ids}}) ELSE list_transform(r.kept, lambda k: CASE WHEN k.no = {_HIT}.no THEN {{'no': k.no, 'ids': list_distinct(list_concat(k.ids, t.ids))}} ELSE k END) END,
+      CASE WHEN {_HIT} IS NULL THEN t.turn WHEN len(list_filter(t.ids, lambda x: NOT list_contains({_HIT}.ids, x))) > 0 THEN {_HIT}.no END
+    FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
+  SELECT conv_id, turn, head FROM r""")
 def merged_overlaps(t):
     """Actions that cite the same sentences, merged or dropped."""
     ids = F.array_distinct(F.array(F.col("turn") % 3, F.col("turn") % 4, F.col("turn") % 2 + 5))

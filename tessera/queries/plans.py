@@ -34,8 +34,9 @@ def disruption_order(t):
   SELECT conv_id, turn, kind, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN moves THEN last ELSE turn END, moves, CASE WHEN moves THEN -turn END) AS place FROM c""")
 def dependency_order(t):
     """Turns of each conversation with dependents moved behind what they need."""
-    rows = t.conversations.select("conv_id", "turn", F.when(F.length("text") % 3 == 0, "backup").when(F.length("text") % 3 == 1, "reset").otherwise("other").alias("kind"), F.col("turn").alias("place"))
-    return P.after_providers(rows, "conv_id", "kind", "place", [("backup", "reset")])
+    kind = F.when(F.length("text") % 3 == 0, "backup").when(F.length("text") % 3 == 1, "reset").otherwise("other")
+    rows = t.conversations.select("conv_id", "turn", kind.alias("kind"), F.array(kind).alias("provides"), F.when(kind == "reset", F.array(F.lit("backup"))).otherwise(F.array().cast("array<string>")).alias("needs"))
+    return P.after_providers(rows, "conv_id", "turn", "provides", "needs").join(rows.select("conv_id", "turn", "kind"), ["conv_id", "turn"]).select("conv_id", "turn", "kind", F.col("now").alias("place"))
 
 
 _SETS = r"t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"

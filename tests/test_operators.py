@@ -1,5 +1,7 @@
 """Small golden cases of single operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,8 +124,26 @@ def test_provenance(spark):
 
 
 def test_dependencies(spark):
-    rows = spark.createDataFrame([(1, "reset", 1), (1, "backup", 2), (1, "x", 3)], "g long, kind string, place long")
-    assert [r.kind for r in plans.after_providers(rows, "g", "kind", "place", [("backup", "reset")]).orderBy("place").collect()] == ["backup", "reset", "x"]
+    rng = random.Random(2)
+    kinds = ["a", "b", "c"]
+    pick = lambda: rng.sample(kinds, rng.choice([0, 0, 1, 2]))
+    plans_ = {g: [(n, pick(), pick()) for n in range(rng.randint(1, 8))] for g in range(120)}
+    rows = spark.createDataFrame([(g, n, p, d) for g, items in plans_.items() for n, p, d in items], "g long, place int, provides array<string>, needs array<string>")
+    got = {}
+    for r in plans.after_providers(rows, "g", "place", "provides", "needs").collect():
+        got.setdefault(r.g, {})[r.now] = r.place
+    moved = 0
+    for g, items in plans_.items():
+        now = list(items)
+        for _ in items:
+            late = [(i, max(j for j, y in enumerate(now) if j != i and set(y[1]) & set(x[2]))) for i, x in enumerate(now) if any(j > i and set(y[1]) & set(x[2]) for j, y in enumerate(now))]
+            if not late:
+                break
+            i, to = late[0]
+            now = now[:i] + now[i + 1 : to + 1] + [now[i]] + now[to + 1 :]
+            moved += 1
+        assert [got[g][k] for k in sorted(got[g])] == [x[0] for x in now]
+    assert moved > 50
 
 
 def test_greedy_is_not_transitive(spark):
@@ -307,6 +327,50 @@ def test_overlaps(spark):
     assert {r.o: r.head for r in plans.merged_overlaps(rows, "g", "o", "ids").collect()} == {1: 1, 2: None, 3: 1, 4: 4, 5: 1}
 
 
+def test_overlaps_of_random_sets(spark):
+    rng = random.Random(3)
+    goals = {g: [rng.sample(range(9), rng.randint(1, 5)) for _ in range(rng.randint(1, 9))] for g in range(150)}
+    rows = spark.createDataFrame([(g, n, ids) for g, sets in goals.items() for n, ids in enumerate(sets)], "g long, o long, ids array<long>")
+    got = {(r.g, r.o): r.head for r in plans.merged_overlaps(rows, "g", "o", "ids").collect()}
+    for g, sets in goals.items():
+        heads: dict[int, set] = {}
+        for n, ids in enumerate(map(set, sets)):
+            near = [h for h, own in heads.items() if own & ids and 2 * len(own & ids) >= min(len(own), len(ids))]
+            want = n if not near else near[0] if ids - heads[near[0]] else None
+            heads.setdefault(n if not near else near[0], set()).update(ids)
+            assert got[g, n] == want
+
+
+def test_compiled_actions_of_random_goals(spark):
+    rng = random.Random(4)
+    draw = lambda: (rng.choice(["Go", "go", "Go 2", "Stop", "Wait"]), rng.choice(["auto", "manual", "critical"]), rng.choice([None, "", "Settings > A", " settings > a", "Settings > B"]), rng.choice([None, "E", "F"]), rng.sample(["a", "b", "", "c"], rng.randint(0, 3)))
+    goals = {g: [draw() for _ in range(rng.randint(1, 8))] for g in range(150)}
+    rows = spark.createDataFrame([(g, p, *x) for g, items in goals.items() for p, x in enumerate(items)], "g long, p long, name string, category string, screen string, entry string, steps array<string>")
+    got = {}
+    for r in plans.compiled_actions(rows, "g", "p").orderBy("g", "p").collect():
+        got.setdefault(r.g, []).append((r.p, r.name, r.category, r.steps))
+    for g, items in goals.items():
+        made = []  # [place, name, category, steps, screen]
+        for p, (name, category, screen, entry, steps) in enumerate(items):
+            steps = [s for s in dict.fromkeys(steps) if s]
+            opens = (screen.strip().lower(), entry) if screen and category == "auto" else None
+            hits = [m for m in made if opens and m[4] == opens] + [m for m in made if m[1].lower() == name.lower() and m[2] == category]
+            if steps and hits:
+                hits[0][3] = list(dict.fromkeys(hits[0][3] + steps))
+            elif steps:
+                used = {m[1].lower() for m in made}
+                shown = next(x for x in [name] + [f"{name} {n}" for n in range(2, 20)] if x.lower() not in used)
+                made.append([p, shown, category, steps, opens])
+        assert got.get(g, []) == [tuple(m[:4]) for m in made], items
+
+
+def test_variations(spark):
+    rows = spark.createDataFrame([("My Galaxy screen keeps flickering after charging", "screen", "flickering"), ("help", None, None)], "q string, c string, s string")
+    got = [[v.text for v in r.v] for r in rows.select(plans.variants(F.col("c"), F.col("s"), F.col("q")).alias("v")).collect()]
+    assert got[0][1:4] == ["screen flickering fix", "Why is my screen flickering?", "How can I repair a flickering screen on my Galaxy?"] and got[0][8].endswith(" screne not wroking")
+    assert len(got[1]) == 12 and got[1][0].endswith("phone issue problem device")
+
+
 def test_compiled_actions(spark):
     rows = spark.createDataFrame(
         [(1, 1, "A", "auto", "Settings > X", "E", ["a."]), (1, 2, "B", "auto", "settings > x", "E", ["b.", "a."]), (1, 3, "a", "manual", None, None, ["c."]), (1, 4, "C", "manual", None, None, []), (1, 5, "A 2", "critical", None, None, ["d."])],
