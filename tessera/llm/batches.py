@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker is used again by other tasks, and by other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # of glibc
+        _LIBC.malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -23,4 +32,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         group = (np.cumsum(sizes) - sizes) // most
         for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
             yield batch.slice(int(part[0]), len(part))
-    pa.default_memory_pool().release_unused()  # the worker is used again by other tasks
+    give_back()
