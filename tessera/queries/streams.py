@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.sources import files
+from tessera.streaming import stages as G
 from tessera.streaming import windows as W
+from tessera.streaming.keyed import keyed_table
 from tessera.queries.registry import query
 
 
@@ -56,6 +58,52 @@ def dedupe_stream(t):
     return W.run_to_end(rows.select("user_id", "event_type", "day"), "dedupe").agg(F.count("*").alias("n"))
 
 
+@query("""
+  WITH p AS (SELECT user_id, date_trunc('day', ts) AS day, arg_max(value, event_id) AS bought, max(event_id) AS a FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+  c AS (SELECT user_id, date_trunc('day', ts) AS day, arg_max(props, event_id) AS clicked, max(event_id) AS b FROM events WHERE event_type = 'click' GROUP BY ALL)
+  SELECT user_id, day, bought, clicked, greatest(coalesce(a, b), coalesce(b, a)) AS event_id FROM p FULL JOIN c USING (user_id, day)""")
+def late_enrichment(t):
+    """Each user's last purchase of a day, and what was clicked last: the clicks come later, as a stream of their own, and join the rows that are there."""
+    rows = _stream(t).withColumn("day", F.date_trunc("day", "ts"))
+    kind = rows.select("user_id", "day", F.col("value").alias("bought"), F.col("props").alias("clicked"), "event_id").schema
+    table = keyed_table(t.spark, kind, ["user_id", "day"], "event_id", "enriched")
+    of = lambda name, bought, clicked: rows.where(F.col("event_type") == name).select("user_id", "day", bought.alias("bought"), clicked.alias("clicked"), "event_id")
+    table.follow(of("purchase", F.col("value"), F.lit(None).cast("string")), "purchases")
+    table.follow(of("click", F.lit(None).cast("double"), F.col("props")), "clicks")
+    return table.rows().withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+_RULES = G.Rules(("purchase", "error"), ("signup",), 12 * 3600, 3600)
+_STAGES = """
+  WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true) AS fresh, event_type = 'signup' AS late, event_type IN ('purchase', 'error') AS ends FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spell FROM e),
+  n AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY user_id, spell ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nth,
+          max(ts) OVER (PARTITION BY user_id, spell) AS until, max(spell) OVER (PARTITION BY user_id) AS spells, max(ts) OVER () AS newest FROM s),
+  o AS (SELECT *, CASE WHEN NOT late OR count(*) FILTER (NOT late) OVER (PARTITION BY user_id, spell, nth ORDER BY ts, event_id) > 0 THEN nth ELSE nth - 1 END AS own FROM n),
+  p AS (SELECT *, max(CASE WHEN ends THEN event_id END) OVER q AS end_id, max(CASE WHEN ends THEN event_type END) OVER q AS how, max(event_id) OVER q AS last_id
+        FROM o WHERE own >= 0 WINDOW q AS (PARTITION BY user_id, spell, own)),
+  v AS (SELECT *, 1 + count(*) FILTER (late AND own < nth) OVER r AS version, min(ts) OVER r AS first, max(ts) OVER r AS last, count(*) FILTER (NOT late) OVER r AS stages, sum(value) OVER r AS total, dense_rank() OVER (PARTITION BY user_id ORDER BY spell, own) AS request
+        FROM p WINDOW r AS (PARTITION BY user_id, spell, own ORDER BY ts, event_id))
+  SELECT user_id, CAST(request AS INTEGER) AS request, CAST(version AS INTEGER) AS version, first, last, CAST(stages AS INTEGER) AS stages, round(total, 4) AS total, coalesce(how, 'idle') AS ended FROM v
+  WHERE (event_id = end_id OR (how IS NULL AND event_id = last_id) OR (late AND own < nth)) AND (how IS NOT NULL OR spell < spells OR newest - until >= INTERVAL 13 HOUR)"""
+
+
+def _ntz(rows):
+    return rows.withColumn("first", F.col("first").cast("timestamp_ntz")).withColumn("last", F.col("last").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+@query(_STAGES)
+def request_stages(t):
+    """Requests in each user's events: ended by a purchase, an error or idle time; sign-ups that come later make further versions."""
+    return _ntz(G.staged(W.timed(t.events), "user_id", _RULES))
+
+
+@query(_STAGES)
+def request_stages_stream(t):
+    """The same from a stream with keyed state and timers."""
+    return _ntz(W.run_to_end(G.staged_stream(_stream(t), "user_id", _RULES), "stages"))
+
+
 @query("""SELECT event_type AS event, CAST(event_id AS BIGINT) AS event_id, round(value, 6) AS value FROM events""")
 def sse_frames(t):
     """Events written as server-sent frames and read back."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.sources.files import shared_folder
+from tessera.streaming.keyed import keyed_table
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -54,25 +55,12 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, keys: list[str], order: str, name: str, at: str | None = None) -> DataFrame:
-    """The newest row of each key, merged batch by batch into a Parquet table.
-
-    ``order`` must tell rows of one key apart; late rows lose against newer ones.
-    Batch n writes version n from version n - 1, so a batch that is run again
-    writes the same; the number of the newest version is kept beside the versions.
-    ``at`` is the folder of table and checkpoint: with the same one, a later call
-    goes on where the one before stopped.  A batch rewrites the table, as plain
-    Parquet has no merge.
+    """The newest row of each key, merged batch by batch into a keyed table.
+
+    Late rows lose against newer ones.  A batch writes its own rows, in the buckets of
+    its keys; one that is run again writes nothing.  ``at`` is the folder of table
+    and checkpoint: with the same one, a later call goes on where the one before stopped.
     """
-    spark, schema = stream.sparkSession, stream.schema
-    base = at or shared_folder(spark, f"upsert-{name}")
-    table = lambda n: spark.read.schema(schema).parquet(f"{base}/version={n}")
-    number = "n long"
-
-    def merge(batch: DataFrame, n: int) -> None:
-        rows = table(n - 1).unionByName(batch) if n else batch
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), F.col(order)).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{base}/version={n}")
-        spark.createDataFrame([(n,)], number).write.mode("overwrite").parquet(f"{base}/newest")
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return table(spark.read.schema(number).parquet(f"{base}/newest").first().n)
+    table = keyed_table(stream.sparkSession, stream.schema, keys, order, f"upsert-{name}", at, whole=True)
+    table.follow(stream)
+    return table.rows()
