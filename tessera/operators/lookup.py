@@ -5,22 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.pivots import blocks_of, near_pairs, pivots_of
 from tessera.operators.ranges import numbered
-from tessera.operators.retrieval import cosine
 from tessera.operators.slots import compatible
+from tessera.sources.files import stored
 
 
 def guarded(queries: DataFrame, cache: DataFrame, least: float, key: str = "siis_hash") -> DataFrame:
     """The most similar other cached row of the same article whose slots agree: ``query_id, entry_id, score``.
 
     ``queries``: query_id, key, q_component, q_symptom, q_intent, q_direction, q_vec, q_version;
-    ``cache``: entry_id, key, c_..., c_vec, c_version. The article is an equi-join;
-    slots are checked before the vectors, and the threshold before the choice. A null
-    version on either side passes.
+    ``cache``: entry_id, key, c_..., c_vec, c_version. The article is an equi-join, within
+    which a query meets the blocks that can reach the threshold; slots are checked before
+    the choice. A null version on either side passes.
     """
-    rows = queries.join(cache, key).where(compatible("q_", "c_") & (F.col("q_version").isNull() | F.col("c_version").isNull() | (F.col("q_version") == F.col("c_version"))))
-    rows = rows.where(F.col("query_id") != F.col("entry_id"))
-    scored = rows.withColumn("score", F.round(cosine(F.col("q_vec"), F.col("c_vec")), 6)).where(F.col("score") >= least)
+    return _best(queries, cache, least, key, compatible("q_", "c_") & (F.col("q_version").isNull() | F.col("c_version").isNull() | (F.col("q_version") == F.col("c_version"))))
+
+
+def any_article(queries: DataFrame, cache: DataFrame, least: float, fits: Column) -> DataFrame:
+    """The most similar other row of any article for which ``fits`` holds: ``query_id, entry_id, score``."""
+    everywhere = lambda rows: rows.withColumn("_all", F.lit(0))
+    return _best(everywhere(queries), everywhere(cache), least, "_all", fits)
+
+
+def _best(queries: DataFrame, cache: DataFrame, least: float, key: str, fits: Column) -> DataFrame:
+    """Of the pairs of one ``key`` that fit, each query's best: by score of six digits, then by the lesser entry."""
+    pivots = stored(pivots_of(cache, "entry_id", "c_vec"), "pivots")
+    met = near_pairs(queries, blocks_of(cache, "entry_id", key, "c_vec", pivots), key, "q_vec", pivots, least - 1e-6)
+    scored = met.where(fits & (F.col("query_id") != F.col("entry_id"))).withColumn("score", F.round("cosine", 6)).where(F.col("score") >= least)
     best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry_id")).alias("b"))
     return best.select("query_id", F.col("b.entry_id").alias("entry_id"), (-F.col("b.s")).alias("score"))
 

@@ -136,10 +136,9 @@ def any_article_lookup(t):
     """The most similar other vector whose part agrees, whatever its label, above a higher threshold."""
     part = F.when(F.col("vec_id") % 3 != 0, F.concat(F.lit("c"), F.col("vec_id") % 2))
     rows = t.embeddings.withColumn("component", part)
-    met = R.scored_against_all(rows, rows.where("vec_id % 100 = 0"), "component").where("score >= 0.3")
-    own = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("component").alias("own"))
-    fits = met.join(own, "query_id").where(F.col("own").isNull() | F.col("component").isNull() | (F.col("own") == F.col("component")))
-    return fits.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("b")).select("query_id", F.col("b.vec_id").alias("entry_id"), (-F.col("b.s")).alias("score"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"), F.col("component").alias("own"))
+    cache = rows.select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("c_vec"), "component")
+    return L.any_article(asked, cache, 0.3, F.col("own").isNull() | F.col("component").isNull() | (F.col("own") == F.col("component")))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'manual' WHEN p_retailprice >= 1200 THEN 'catalog' WHEN p_size % 4 IN (1, 2) AND p_retailprice + 150 >= 1200 AND p_size % 3 = 0 THEN 'page' WHEN p_size % 2 = 1 THEN 'dummy' ELSE 'manual' END AS tier FROM part""")
