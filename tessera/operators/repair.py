@@ -17,6 +17,9 @@ LONGEST_PIECE, LONGEST_WORD = 20, 400
 UNKNOWN, UNKNOWN_LETTER, UNKNOWN_LEAST = 6.0, 4.0, 4
 FRAGMENT_RANK = 10_000
 GLUED_RUN, GLUED_RUNS = 16, 3
+# Letters from which a word is put right, and from which by two edits; the lowest tier of known words; the rank beyond
+# which a dictionary word is too rare to count as known.
+LEAST_TYPO, LEAST_TWO_EDITS, LEXICON_TIER, KNOWN_RANK = 4, 6, 0, 30_000
 
 
 def _deletions(word):
@@ -52,6 +55,49 @@ def ranked_corrections(words: DataFrame, known: DataFrame) -> DataFrame:
     return near.groupBy("word").agg(F.min(F.struct("tier", "rank", "candidate")).alias("b")).select("word", F.col("b.candidate").alias("candidate"))
 
 
+def swap_distance(a: Column, b: Column) -> Column:
+    """Edits between two words, a swap of neighbours being one (optimal string alignment); rows of the usual table, folded."""
+    letter = lambda w, i: F.substr(w, i, F.lit(1))
+    first = F.sequence(F.lit(0), F.length(b))
+
+    def row(s: Column, i: Column) -> Column:
+        def cell(left: Column, j: Column) -> Column:
+            same = F.when(letter(a, i) == letter(b, j), 0).otherwise(1)
+            swap = (i > 1) & (j > 1) & (letter(a, i) == letter(b, j - 1)) & (letter(a, i - 1) == letter(b, j))
+            best = F.least(F.get(s["old"], j) + 1, F.get(left, j - 1) + 1, F.get(s["old"], j - 1) + same, F.when(swap, F.get(s["older"], j - 2) + 1))
+            return F.concat(left, F.array(best))
+
+        new = F.when(F.length(b) == 0, F.array(i)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1))), F.array(i), cell))
+        return F.struct(s["old"].alias("older"), new.alias("old"))
+
+    rows = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), F.struct(first.alias("older"), first.alias("old")), row, lambda s: F.get(s["old"], F.length(b)))
+    return F.when(F.length(a) == 0, F.length(b)).otherwise(rows)
+
+
+def corrected_words(words: DataFrame, known: DataFrame, rarest: int = KNOWN_RANK) -> DataFrame:
+    """``word, candidate``: words that are put right, and by what.
+
+    ``known``: word, tier (0: the lexicon, 1: the corpus, 2: a dictionary), rank.  A dictionary
+    word beyond ``rarest`` is real but not known: it becomes a word of the lexicon or stays.
+    Words of four letters and more become the known word one edit away of the lowest
+    tier, then rank, then name; without one, those of six and more become a word of the
+    lexicon two edits away.  Candidates come from equi-joins on shared deletions.
+    """
+    good = known.where((F.col("tier") < 2) | (F.col("rank") <= rarest)).where(F.length("word") >= 3)
+    wrong = words.select("word").distinct().where(F.length("word") >= LEAST_TYPO).join(good.select("word"), "word", "left_anti")
+    rare = known.select("word").distinct().withColumn("rare", F.lit(True))
+    asked = wrong.join(rare, "word", "left").select("word", F.coalesce("rare", F.lit(False)).alias("rare"))
+    target = good.select(F.col("word").alias("candidate"), "tier", "rank")
+    one = asked.withColumn("form", F.explode(_deletions(F.col("word")))).join(target.withColumn("form", F.explode(_deletions(F.col("candidate")))), "form")
+    near = one.where(one_edit(F.col("word"), F.col("candidate")) & (~F.col("rare") | (F.col("tier") == LEXICON_TIER))).select("word", "candidate", "tier", "rank")
+    twice = lambda w: F.array_distinct(F.flatten(F.transform(_deletions(w), _deletions)))
+    left = asked.where(~F.col("rare") & (F.length("word") >= LEAST_TWO_EDITS)).join(near.select("word"), "word", "left_anti")
+    lexicon = target.where(F.col("tier") == LEXICON_TIER)
+    two = left.withColumn("form", F.explode(twice(F.col("word")))).join(lexicon.withColumn("form", F.explode(twice(F.col("candidate")))), "form").select("word", "candidate", "tier", "rank").distinct()
+    two = two.where((F.abs(F.length("word") - F.length("candidate")) <= 2) & (swap_distance(F.col("word"), F.col("candidate")) <= 2))
+    return near.unionByName(two).groupBy("word").agg(F.min(F.struct("tier", "rank", "candidate")).alias("b")).select("word", F.col("b.candidate").alias("candidate"))
+
+
 def rewritten(texts: DataFrame, keys: list[str], text: str, fixes: DataFrame) -> DataFrame:
     """``keys, text``: texts with each word of ``fixes`` (word, candidate) put right; the rest is kept as it is.
 
@@ -69,10 +115,10 @@ def rewritten(texts: DataFrame, keys: list[str], text: str, fixes: DataFrame) ->
 def word_ranks(words: DataFrame, ranks: DataFrame) -> DataFrame:
     """``word, rank``: the best rank of a word, of it without its last letter, or without two; null if none is known.
 
-    ``ranks``: word, rank.  Words under three letters have none.
+    ``ranks``: word, rank.  Forms under three letters have none.
     """
     forms = F.array_distinct(F.array(F.col("word"), F.expr("left(word, length(word) - 1)"), F.expr("left(word, length(word) - 2)")))
-    looked = words.select("word", F.explode(forms).alias("form")).where("length(word) >= 3").join(ranks.select(F.col("word").alias("form"), "rank"), "form")
+    looked = words.select("word", F.explode(forms).alias("form")).where("length(form) >= 3").join(ranks.select(F.col("word").alias("form"), "rank"), "form")
     return words.join(looked.groupBy("word").agg(F.min("rank").alias("rank")), "word", "left")
 
 

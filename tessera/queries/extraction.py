@@ -11,8 +11,9 @@ from tessera.functions import steps as S
 from tessera.functions import text as T
 from tessera.functions.lexicon import GENERAL_FIX, GENERIC, sql_list
 from tessera.operators import plans as P
-from tessera.operators import completion, repair, segments, slots
+from tessera.operators import completion, repair, segments, slots, unglue
 from tessera.operators import requests as Q
+from tessera.operators.ranges import numbered
 from tessera.queries.registry import Tables, query
 from tessera.queries.texts import CORPUS_DENIALS, CORPUS_LEXICON, _FOUND, _sql_scrub
 from tessera.sources import files
@@ -153,13 +154,44 @@ def template_variants(t):
     return t.conversations.select("conv_id", "turn", F.explode(P.variants(none, none, F.col("text"))).alias("v")).select("conv_id", "turn", "v.no", "v.text")
 
 
-@query("""
-  WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), k AS (SELECT word, n AS rank FROM c WHERE n >= 100)
-  SELECT c.word, least(a.rank, b.rank, d.rank) AS rank FROM c LEFT JOIN k a ON a.word = c.word AND length(c.word) >= 3 LEFT JOIN k b ON b.word = substr(c.word, 1, length(c.word) - 1) AND length(c.word) >= 3 LEFT JOIN k d ON d.word = substr(c.word, 1, length(c.word) - 2) AND length(c.word) >= 3""")
+_RANKED = """
+  w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+  k AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS rank FROM c WHERE n >= 100)"""
+
+
+def _ranked(t):
+    """``word, n`` of all words, and the list of the frequent ones by rank, 0 being the most frequent."""
+    c = files.stored(t.documents.select(F.explode(T.words(F.col("text"), "[a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    order = F.concat(F.lpad((F.lit(10**15) - F.col("n")).cast("string"), 16, "0"), F.col("word"))
+    ranks = numbered(c.where("n >= 100").select("word", order.alias("o")), "o", "rank").select("word", (F.col("rank") - 1).alias("rank"))
+    return c, files.stored(ranks, "ranks")
+
+
+@query(f"""
+  WITH {_RANKED}
+  SELECT c.word, least(a.rank, b.rank, d.rank) AS rank FROM c LEFT JOIN k a ON a.word = c.word AND length(c.word) >= 3
+  LEFT JOIN k b ON b.word = substr(c.word, 1, length(c.word) - 1) AND length(c.word) >= 4 LEFT JOIN k d ON d.word = substr(c.word, 1, length(c.word) - 2) AND length(c.word) >= 5""")
 def known_ranks(t):
-    """The best rank of each word, of it without its last letter, or without two."""
-    c = t.documents.select(F.explode(T.words(F.col("text"), "[a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return repair.word_ranks(c.select("word"), c.where("n >= 100").select("word", F.col("n").alias("rank")))
+    """The best rank of each word, of it without its last letter, or without two, in the corpus's own list."""
+    c, ranks = _ranked(t)
+    return repair.word_ranks(c.select("word"), ranks)
+
+
+@query()
+def unglued_turns(t):
+    """Turns whose blanks between small letters were lost, with what the repair puts back."""
+    _, ranks = _ranked(t)
+    torn = t.conversations.select("conv_id", "turn", "role", F.regexp_replace("text", "(?<=[a-z]) (?=[a-z])", "").alias("text"))
+    frequent = ranks.where("rank < 50").select("word")
+    return unglue.unglued(torn, ["conv_id", "turn", "role"], "text", ranks, frequent)
+
+
+@query()
+def corrected_spelling(t):
+    """Words of the corpus that occur once, put right by its own words: the least common tier is the dictionary."""
+    c, ranks = _ranked(t)
+    tier = F.when(F.col("rank") < 20, 0).when(F.col("rank") < 60, 1).otherwise(2)
+    return repair.corrected_words(c.where("n = 1").select("word"), ranks.select("word", tier.alias("tier"), F.col("rank").cast("int").alias("rank")), 150)
 
 
 @query("""

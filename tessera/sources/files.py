@@ -53,6 +53,12 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
 
 
+def ranked_words(spark: SparkSession, path: str) -> DataFrame:
+    """``word, rank``: a word list from the most frequent word on, plain or gzip; a word that comes again keeps its first rank (from 0)."""
+    words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(words).alias("rank", "word")).where("word <> ''").groupBy("word").agg(F.min("rank").alias("rank"))
+
+
 def markdown_row(lines: DataFrame, label: str) -> DataFrame:
     """``cells`` of the table rows whose first cell starts with ``label``."""
     cells = F.transform(F.split(F.trim("line"), r"\|"), lambda c: F.trim(c))
