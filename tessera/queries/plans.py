@@ -66,6 +66,34 @@ def goal_merge(t):
     return P.first_come(t.conversations, "conv_id", "turn", "text", 0.2)
 
 
+_SAME = "((a.screen = b.screen AND a.verb = b.verb) OR a.name = b.name OR len(list_intersect(a.words, b.words)) >= 0.8 * len(list_distinct(list_concat(a.words, b.words))))"
+
+
+@query(f"""
+  WITH RECURSIVE l AS (
+    SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos, l_returnflag AS goal, lower(p_type) AS screen, l_linestatus AS verb, lower(p_name) AS name, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS words, l_discount AS relevance
+    FROM lineitem JOIN part ON p_partkey = l_partkey),
+  p AS (SELECT a.l_orderkey, a.pos, a.goal, a.relevance, list({{'less': -b.relevance, 'goal': b.goal, 'pos': b.pos}} ORDER BY b.pos) FILTER (WHERE b.pos IS NOT NULL) AS others
+        FROM l a LEFT JOIN l b ON a.l_orderkey = b.l_orderkey AND b.pos > a.pos AND a.goal <> b.goal AND {_SAME} GROUP BY ALL),
+  n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS i FROM p),
+  r AS (
+    SELECT l_orderkey, 0::BIGINT AS i, []::STRUCT(pos INTEGER, "by" INTEGER)[] AS gone FROM (SELECT DISTINCT l_orderkey FROM l)
+    UNION ALL
+    SELECT r.l_orderkey, n.i, CASE WHEN len(list_filter(r.gone, lambda g: g.pos = n.pos)) > 0 OR n.others IS NULL THEN r.gone ELSE list_concat(r.gone,
+      list_transform(list_filter(list_prepend({{'less': -n.relevance, 'goal': n.goal, 'pos': n.pos}}, list_filter(n.others, lambda o: len(list_filter(r.gone, lambda g: g.pos = o.pos)) = 0)),
+          lambda x: x.pos <> list_sort(list_prepend({{'less': -n.relevance, 'goal': n.goal, 'pos': n.pos}}, list_filter(n.others, lambda o: len(list_filter(r.gone, lambda g: g.pos = o.pos)) = 0)))[1].pos),
+        lambda x: {{'pos': x.pos::INTEGER, 'by': list_sort(list_prepend({{'less': -n.relevance, 'goal': n.goal, 'pos': n.pos}}, list_filter(n.others, lambda o: len(list_filter(r.gone, lambda g: g.pos = o.pos)) = 0)))[1].pos::INTEGER}})) END
+    FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.i = r.i + 1),
+  z AS (SELECT l_orderkey, arg_max(gone, i) AS gone FROM r GROUP BY l_orderkey)
+  SELECT l.l_orderkey, l.pos, list_filter(gone, lambda g: g.pos = l.pos)[1]."by" AS "by", list_filter(gone, lambda g: g.pos = l.pos)[1] IS NULL AS kept FROM l JOIN z USING (l_orderkey)""")
+def goals_deduped(t):
+    """Lines of an order that are one action in several goals, as return flags have it: the same type and status, name, or words."""
+    l = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))  # line numbers repeat
+    rows = l.select("l_orderkey", pos.alias("pos"), F.col("l_returnflag").alias("goal"), F.col("p_type").alias("screen"), F.col("l_linestatus").alias("verb"), F.col("p_name").alias("name"), F.array("p_name", "p_brand").alias("steps"), F.col("l_discount").alias("relevance"))
+    return P.across_goals(rows, "l_orderkey", "pos")
+
+
 @query("""
   SELECT l_orderkey, round(least(greatest(0.4 * avg(l_discount * 10) + 0.3 * avg(l_tax * 10) + 0.3 * coalesce(avg(CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.5 END END), 1.0), 0.0), 1.0), 6) AS score
   FROM lineitem GROUP BY l_orderkey""")

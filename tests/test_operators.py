@@ -341,6 +341,32 @@ def test_overlaps_of_random_sets(spark):
             assert got[g, n] == want
 
 
+def test_actions_across_goals(spark):
+    rng = random.Random(6)
+    pool = ["open the door", "open a door", "tap the key now", "tap key", "hold the red key for a while", ""]
+    draw = lambda: (rng.randrange(3), rng.choice([None, "", "Settings > A", "settings > a ", "B"]), rng.choice([None, "open", "set"]), rng.choice([None, "Go", "go ", "Stop", "Wait", "X", "Y"]), rng.sample(pool, rng.randint(0, 2)), rng.choice([0.1, 0.5, 0.9]))
+    plans_ = {g: [draw() for _ in range(rng.randint(1, 9))] for g in range(150)}
+    rows = spark.createDataFrame([(g, p, *x) for g, items in plans_.items() for p, x in enumerate(items)], "g long, p int, goal int, screen string, verb string, name string, steps array<string>, relevance double")
+    got = {(r.g, r.p): (r.kept, r.by) for r in plans.across_goals(rows, "g", "p").collect()}
+    low = lambda x: (x or "").strip().lower()
+
+    def same(a, b):
+        u, v = set(" ".join(a[4]).split()), set(" ".join(b[4]).split())
+        return bool(low(a[1]) and low(a[1]) == low(b[1]) and a[2] and a[2] == b[2]) or bool(low(a[3]) and low(a[3]) == low(b[3])) or len(u & v) >= 0.8 * len(u | v)
+
+    lost = 0
+    for g, items in plans_.items():
+        by: dict[int, int] = {}
+        for p, a in enumerate(items):
+            if p not in by:
+                alike = [p] + [n for n in range(p + 1, len(items)) if n not in by and items[n][0] != a[0] and same(a, items[n])]
+                best = sorted(alike, key=lambda n: (-items[n][5], items[n][0], n))[0]
+                by |= {n: best for n in alike if n != best}
+        lost += len(by)
+        assert {p: got[g, p] for p in range(len(items))} == {p: (p not in by, by.get(p)) for p in range(len(items))}
+    assert lost > 50
+
+
 def test_compiled_actions_of_random_goals(spark):
     rng = random.Random(4)
     draw = lambda: (rng.choice(["Go", "go", "Go 2", "Stop", "Wait"]), rng.choice(["auto", "manual", "critical"]), rng.choice([None, "", "Settings > A", " settings > a", "Settings > B"]), rng.choice([None, "E", "F"]), rng.sample(["a", "b", "", "c"], rng.randint(0, 3)))
