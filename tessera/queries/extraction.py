@@ -11,7 +11,7 @@ from tessera.functions import steps as S
 from tessera.functions import text as T
 from tessera.functions.lexicon import GENERAL_FIX, GENERIC, sql_list
 from tessera.operators import plans as P
-from tessera.operators import completion, repair, segments, slots, unglue
+from tessera.operators import completion, expansion, repair, segments, slots, unglue
 from tessera.operators import requests as Q
 from tessera.operators.ranges import numbered
 from tessera.queries.registry import Tables, query
@@ -433,6 +433,20 @@ def conversation_plans(t: Tables):
     return rows.select("conv_id", "no", "section", "text"), units, chosen, files.stored(actions, "actions"), files.stored(steps, "steps")
 
 
+@query()
+def finished_procedures(t):
+    """The same plans' chosen sentences with the start and the end of their procedures, cut where they hold two fixes.
+
+    An action is taken to be about what the sentence after its first one is about.
+    """
+    sentences, _, _, actions, steps = conversation_plans(t)
+    chosen = steps.groupBy("conv_id", "pos").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    after = sentences.select("conv_id", (F.col("no") - 1).cast("int").alias("pos"), F.concat(F.lit("Settings > "), F.get(T.content_terms(F.col("text")), F.lit(0))).alias("path"))
+    rows = actions.join(chosen, ["conv_id", "pos"]).join(after, ["conv_id", "pos"], "left")
+    told = sentences.withColumn("instructs", S.is_instruction(F.col("text"), _VERBS))
+    return expansion.finished(rows, told, "conv_id").select("conv_id", "pos", "part", F.array_join("ids", ",").alias("ids"))
+
+
 @query()
 def completed_paragraphs(t):
     """Plans over conversations, completed by the paragraphs that they left out or took in part."""
