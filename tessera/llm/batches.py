@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 _LIBC = ctypes.CDLL(None)
+_MMAP_THRESHOLD = -3  # glibc's number of this option
+if hasattr(_LIBC, "mallopt"):  # arrays of a megabyte and more go back as soon as they are freed
+    _LIBC.mallopt(_MMAP_THRESHOLD, 1 << 20)
 
 
 def give_back() -> None:
