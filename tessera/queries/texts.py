@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.lexicon import sql_list
-from tessera.operators import repair, segments, slots
+from tessera.operators import prompts, repair, segments, slots
 from tessera.operators.ranges import numbered
 from tessera.queries.registry import query
 
@@ -228,6 +229,57 @@ def prompt_build(t):
     return joined.select("conv_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"), F.substring("prompt", 1, 200).alias("head"))
 
 
+_TURNS = r"""
+  l AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM conversations),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, line_no) AS no, 'Turn ' || turn || ' of ' || role AS section FROM l WHERE trim(line, ' ') <> ''),
+  h AS (SELECT *, trim(line, ' ') AS t, CASE WHEN lag(section) OVER w IS NULL THEN '### ' || section WHEN lag(section) OVER w <> section THEN chr(10) || '### ' || section END AS head FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY no))"""
+
+
+def _turn_lines(t):
+    """The lines of each conversation, numbered, under turns as sections."""
+    lines = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("text", F.trim("line")).where("text <> ''")
+    no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "line_no"))
+    return lines.select("conv_id", "role", no.alias("no"), F.concat(F.lit("Turn "), "turn", F.lit(" of "), "role").alias("section"), "text")
+
+
+@query(rf"""WITH {_TURNS},
+  p AS (SELECT conv_id, string_agg(CASE WHEN head IS NULL THEN '' ELSE head || CASE WHEN role = 'system' THEN '{prompts.UNRELATED}' ELSE '' END || chr(10) END || '[S' || no || '] ' || t, chr(10) ORDER BY no) AS text FROM h GROUP BY conv_id)
+  SELECT conv_id, md5(substr(text, 1, 2000)) AS text_md5, length(substr(text, 1, 2000)) AS n_chars FROM p""")
+def sentence_prompts(t):
+    """Each conversation's lines under its turns, packed into 2,000 characters; the system's are marked."""
+    rows = _turn_lines(t).withColumn("relevant", F.col("role") != "system")
+    return prompts.sentence_prompt(rows, "conv_id", prompts.QUERY).select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query(rf"""WITH {_TURNS}, u AS (SELECT *, role = 'user' AS asks, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY no) AS unit FROM h),
+  p AS (SELECT conv_id, string_agg(CASE WHEN head IS NULL THEN '' ELSE head || chr(10) END || CASE WHEN asks THEN '[P' || unit || '] ' || substr(t, 1, 700) ELSE '- ' || substr(t, 1, 200) END, chr(10) ORDER BY no) AS text FROM u GROUP BY conv_id)
+  SELECT conv_id, md5(text) AS text_md5, length(text) AS n_chars FROM p""")
+def paragraph_prompts(t):
+    """Each conversation's paragraphs under its turns: the user's numbered, the others as context."""
+    rows = _turn_lines(t)
+    asks = F.col("role") == "user"
+    unit = F.count_if(asks).over(Window.partitionBy("conv_id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
+    found = prompts.paragraph_prompt(rows.withColumn("unit", F.when(asks, unit)), "conv_id")
+    return found.select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query(r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS no FROM conversations WHERE role = 'user'),
+  p AS (SELECT conv_id, string_agg(no || '. ' || substr(text, 1, 400) || ' (title: ' || CASE WHEN split_part(text, ' ', 1) = '' THEN '-' ELSE split_part(text, ' ', 1) END || ')', chr(10) ORDER BY no) AS text FROM n GROUP BY conv_id)
+  SELECT conv_id, md5(text) AS text_md5, length(text) AS n_chars FROM p""")
+def intent_prompts(t):
+    """What the user says in each conversation, as numbered intents with their first words as titles."""
+    no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")) - 1
+    rows = t.conversations.where("role = 'user'").select("conv_id", no.alias("no"), prompts.cut(F.col("text"), prompts.SECTION).alias("text"), F.substring_index("text", " ", 1).alias("title"))
+    return prompts.intent_prompt(rows, "conv_id").select("conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query(r"""SELECT doc_id, md5(CASE WHEN length(text) > 14000 THEN substr(text, 1, 14000) || chr(10) || '[article truncated]' ELSE text END) AS text_md5 FROM documents WHERE text IS NOT NULL""")
+def article_prompts(t):
+    """Documents cut at 14,000 characters, packed by lines."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return prompts.article_prompt(lines, "doc_id", ["at"], "line").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("""SELECT event_id, CASE WHEN value >= 1000 THEN CAST(floor(value / 1000) AS BIGINT) || 's' ELSE CAST(floor(value) AS BIGINT) || 'ms' END AS shown,
   CASE WHEN value >= 1000 THEN floor(value / 1000) ELSE floor(value) / 1000 END AS seconds FROM events""")
 def duration_parse(t):
