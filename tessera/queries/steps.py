@@ -9,6 +9,7 @@ from tessera.functions import steps as S
 from tessera.functions import text as T
 from tessera.operators import plans as P
 from tessera.operators import retrieval as R
+from tessera.operators import schemas
 from tessera.queries.registry import query
 
 @query("""
@@ -172,6 +173,27 @@ def stage_stream(t):
     return t.events.withColumn("no", no).select("event_id", F.element_at(stages, ((F.col("no") - 1) % 8 + 1).cast("int")).alias("stage"), F.floor((F.col("no") - 1) / 8).cast("long").alias("request"))
 
 
+@query(r"""
+  WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations),
+  a AS (SELECT conv_id, arg_min(w, (turn, role)) AS ids FROM t GROUP BY conv_id),
+  x AS (SELECT conv_id, turn, role, unnest(w[1:5]) AS id, generate_subscripts(w[1:5], 1) - 1 AS i FROM t),
+  v AS (
+    SELECT conv_id, turn, role, '$.goals[0].ids[' || i || ']' AS path, 'not_allowed' AS kind, id AS found FROM x JOIN a USING (conv_id) WHERE NOT list_contains(ids, id)
+    UNION ALL SELECT conv_id, turn, role, '$.goals[0].topic', 'not_allowed', role FROM t WHERE role NOT IN ('user', 'assistant')
+    UNION ALL SELECT conv_id, turn, role, '$.goals[0].ids', 'missing', NULL FROM t WHERE len(w) < 3
+    UNION ALL SELECT conv_id, turn, role, '$.goals[0].ids', 'too_many', '5' FROM t WHERE len(w) >= 5)
+  SELECT * FROM v WHERE NOT (kind = 'not_allowed' AND path LIKE '%ids%' AND EXISTS (SELECT 1 FROM t WHERE t.conv_id = v.conv_id AND t.turn = v.turn AND t.role = v.role AND len(t.w) < 3))""")
+def answer_violations(t):
+    """Turns as answers that pick words of their conversation's first turn: words it doesn't have, unknown topics, missing or long lists."""
+    w = T.words(F.col("text"), "[a-z]+")
+    rows = t.conversations.select("conv_id", "turn", "role", w.alias("w"))
+    own = rows.groupBy("conv_id").agg(F.min_by("w", F.struct("turn", "role")).alias("ids"))
+    picked = F.when(F.size("w") >= 3, F.slice("w", 1, 5))
+    answers = rows.select("conv_id", "turn", "role", F.to_json(F.struct(F.array(F.struct(F.col("role").alias("topic"), picked.alias("ids"))).alias("goals"))).alias("answer")).join(own, "conv_id")
+    shape = schemas.Fields({"goals": schemas.Items(schemas.Fields({"topic": schemas.Text(F.array(F.lit("user"), F.lit("assistant"))), "ids": schemas.Items(schemas.Text(F.col("ids")), 4)}))})
+    return schemas.violations(answers, ["conv_id", "turn", "role"], "answer", shape)
+
+
 @query("""SELECT doc_id FROM documents ORDER BY md5(doc_id || '-42'), doc_id LIMIT 100""")
 def seeded_sample(t):
     """A sample of 100 documents that a seed fixes, whatever the partitions."""
