@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.lexicon import CHECKED_PROPER, EDGES, SMALL
 from tessera.functions.steps import NUMBERING, clean_step, description, goal, split_words, title
+from tessera.sources.files import bucketed
 
 _ACT = "struct<deeplink string, description string, message string, originalType string>"
 _VAL = "struct<deeplink string, key string, resultType string, condition string, value string>"
@@ -83,8 +84,11 @@ def findings(plans: DataFrame, key: str, strict: bool = True, edges: list[tuple[
     """``key, code, severity, path``: all that is wrong with each plan, but for its links' catalogue (see :func:`link_findings`).
 
     A null ``contexts`` is a finding of its own; ``strict``: whether a goal without
-    its full stop fails or is only warned of.
+    its full stop fails or is only warned of.  Plans are written once in buckets of
+    their key: however they were made, each rule reads them from there, and none of the
+    windows and groups by key needs a shuffle.
     """
+    plans = bucketed(plans.select(key, "contexts", "meta"), "plans", key, key)
     goals = goals_of(plans, key)
     actions = actions_of(goals, key)
     groups = groups_of(actions, key)
