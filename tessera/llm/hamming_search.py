@@ -14,8 +14,8 @@ of the nearest ones counts, so a code is met once for each query, in one round.
 Equal codes are one row with a count and their ``k`` least ids, so thousands of
 copies of a vector cost one lookup.
 
-The values looked up grow with r (12,870 of a segment's 65,536 at most), so they
-are dealt over the tasks and meet the index in a shuffled join; nothing is
+The values looked up grow with r (12,870 of a segment's 65,536 at most; each round's
+are one constant array of its plan), so they are dealt over the tasks and meet the index in a shuffled join; nothing is
 broadcast.
 """
 
@@ -53,6 +53,12 @@ def _segment(code: Column, s: int) -> Column:
     return F.shiftrightunsigned(_word(code, s // per), SEGMENT_BITS * (s % per)).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
 
 
+def _shell(r: int) -> Column:
+    """All segment values of ``r`` bits, as one constant of the plan: a cast of constants is folded, a filter with a lambda would run in every row."""
+    values = ",".join(str(x) for x in range(1 << SEGMENT_BITS) if x.bit_count() == r)
+    return F.split(F.lit(values), ",").cast("array<int>")
+
+
 def _by_segment(code: Column, segments: int, name: str) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _segment(code, s).alias(name)) for s in range(segments)])).alias("s")
 
@@ -98,8 +104,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int | None =
         last = r == SEGMENT_BITS
         probe = open_.repartition(parts, "q").select("q", "bound", _by_segment(F.col("q"), segments, "own")).select("q", "bound", "s.seg", "s.own")
         probe = probe.where(F.col("bound").isNull() | (F.col("seg") < F.col("bound") + 1 - segments * r))
-        shell = F.expr(f"filter(sequence(0, {(1 << SEGMENT_BITS) - 1}), x -> bit_count(x) = {r})")
-        probe = probe.select("q", "bound", "seg", "own", F.explode(shell).alias("flip")).select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
+        probe = probe.select("q", "bound", "seg", "own", F.explode(_shell(r)).alias("flip")).select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
         met = probe.hint("merge").join(index.df, ["seg", "val"]).where(_first_nearest(segments, r) & (distance <= F.coalesce("bound", F.lit(bits))))
         found = met.select("q", "code", "least", "copies", distance.alias("distance"))
         if rounds:
