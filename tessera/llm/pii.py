@@ -8,14 +8,19 @@ code left off).  Patterns and instances (candidate strings) form a bipartite gra
 round Spark scores a pattern by the share of its distinct instances that are
 known to be of one kind, weighted by the logarithm of their number, and an
 instance by the patterns of that kind that it occurs in.  Confident patterns make
-their other instances known, those help to score further patterns, and after
-the last round candidates with a confident pattern are spans of its kind.
+their other instances known, those help to score further patterns, and when a round
+makes nothing known any more candidates with a confident pattern are spans of its kind.
+
+What is known stays known with its kind, so a pattern's share only grows, and as it
+has to pass a half no pattern changes its kind: the rounds end by themselves, in the
+same place whatever the order of rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,12 +30,12 @@ from tessera.llm.batches import slices
 from tessera.llm.storage import Stored, materialise
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS = 3
+ROUNDS = 100  # more are an error, never a result that has not settled
 LEAST_SEEDS = 5  # distinct known instances that a pattern needs
 LEAST_SHARE = 0.6  # of a pattern's distinct instances
 LEAST_CONTEXT = 3  # letters that a context has at least
-LEAST_ITEM = 4  # characters of a candidate
-WHOLE_ITEM = 64  # longer candidates are known by their digest
+LEAST_ITEM = 4  # characters of a candidate: shorter ones tell nobody apart
+WHOLE_ITEM = 64  # longer candidates, and longer shapes, are known by their digest
 
 # The base patterns. Runs of digits are atomic: a match that
 # starts inside one would go on the same way.
@@ -104,9 +109,10 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
 
 
 def shape(item: str) -> str:
-    """A candidate's form: its digits counted, letters not, a leading country code left off."""
+    """A candidate's form: its digits counted, letters not, a leading country code left off; a long form by its digest."""
     bare = _COUNTRY.sub("", item) if item.startswith("+") else item
-    return "= " + _LETTERS.sub("a", _DIGITS.sub(lambda m: f"9{len(m.group())}", bare))[:CONTEXT_CHARS]
+    form = _LETTERS.sub("a", _DIGITS.sub(lambda m: f"9{len(m.group())}", bare))
+    return "= " + (form if len(form) <= WHOLE_ITEM else hashlib.sha256(form.encode()).hexdigest())
 
 
 def named(item: str) -> str:
@@ -115,7 +121,10 @@ def named(item: str) -> str:
 
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
-    """Identifier-like strings: base entities with their kind, runs of digit groups, and other tokens with a digit or an at sign."""
+    """Identifier-like strings: base entities with their kind, runs of digit groups, and other tokens with a digit or an at sign.
+
+    Such tokens have ``LEAST_ITEM`` characters or more, and no upper limit.
+    """
     out, taken = [], []
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if not taken or start >= taken[-1][1]:
@@ -181,19 +190,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sto
 
 
 def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, kind, share``: confident patterns, by rounds over the pattern-instance graph."""
+    """``pattern, kind, share``: confident patterns, by rounds over the pattern-instance graph until nothing new is known.
+
+    A pattern is confident with ``LEAST_SEEDS`` distinct known instances of one
+    kind and ``LEAST_SHARE`` of all its instances; contexts have ``LEAST_CONTEXT``
+    letters or more.  An instance that is a base entity of two kinds counts as the
+    first by name; one for which patterns of two kinds speak is of the kind with the
+    greater sum of share times the logarithm of known instances.  Without
+    candidates there are no patterns.  ``RuntimeError`` if more than ``rounds`` were needed.
+    """
     seen = scanned.select(F.explode("seen").alias("s")).select("s.*")
     edges = materialise(
         seen.select("item", "kind", F.explode(F.array("left", "both", "shape")).alias("pattern")).where(F.col("pattern").startswith("= ") | (F.length(F.regexp_replace("pattern", r"[\W_]", "")) >= LEAST_CONTEXT)).groupBy("pattern", "item").agg(F.max("kind").alias("kind")),
         "pii-graph",
     )
     graph = edges.df.select("pattern", "item")
-    seeds = edges.df.where("kind <> ''").select("item", "kind").distinct()
-    known = seeds
+    # one kind for each instance, so that a pattern counts it once
+    known = [materialise(edges.df.where("kind <> ''").groupBy("item").agg(F.min("kind").alias("kind")), "pii-known")]
     patterns = None
     for _ in range(rounds):
-        # one kind for each instance, so that a pattern counts it once
-        labels = known.groupBy("item").agg(F.min("kind").alias("kind"))
+        labels = reduce(DataFrame.unionAll, [x.df for x in known])
         counts = graph.join(labels, "item", "left").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         total = Window.partitionBy("pattern")
         best = (
@@ -203,12 +219,15 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         before, patterns = patterns, materialise(best, "pii-patterns")
         if before is not None:
             before.drop()
-        if patterns.df.isEmpty():
+        # an instance is known once confident patterns speak for it
+        scores = graph.join(patterns.df, "pattern").join(labels.select("item"), "item", "left_anti").groupBy("item", "kind").agg(F.sum(F.col("share") * F.col("weight")).alias("score"))
+        known.append(materialise(scores.groupBy("item").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), "pii-known"))
+        if known[-1].df.isEmpty():
             break
-        # an instance is known once confident patterns of one kind speak for it
-        scores = graph.join(patterns.df, "pattern").groupBy("item", "kind").agg(F.sum(F.col("share") * F.col("weight")).alias("score"))
-        pick = scores.groupBy("item").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-        known = seeds.unionAll(pick.join(seeds.select("item").distinct(), "item", "left_anti"))
+    else:
+        raise RuntimeError(f"patterns have not settled in {rounds} rounds")
+    for x in (edges, *known):
+        x.drop()
     return patterns.df
 
 
@@ -221,7 +240,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     """Entities of every text: ``row, doc_id, spans`` with spans (rank, start, end, kind, source).
 
     Base entities come from their patterns (``source`` base); the others are
-    candidates in a confident context (``source`` learned).  Null and empty texts
+    candidates with a confident context or shape (``source`` learned), of
+    ``LEAST_ITEM`` characters or more.  Null and empty texts
     have none.  Ids are passed on as they are; a repeated row is a row of its
     own; other columns are left out; an empty table gives an empty result.  Offsets
     count code points.  Texts of any length are searched whole.

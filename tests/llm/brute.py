@@ -144,3 +144,31 @@ class PlainTree:
 
     def log_word(self, word):
         return sum(self.log_byte(*x) for x in self.places(word))
+
+
+def learned_patterns(sightings, seeds=5, least=0.6, letters=3):
+    """{pattern: (kind, share)} from (item, base kind or "", patterns), by plain rounds until nothing changes."""
+    graph, base = defaultdict(set), {}
+    for item, kind, patterns in sightings:
+        for p in patterns:
+            if p.startswith("= ") or len(re.sub(r"[^a-zA-Z0-9]", "", p)) >= letters:
+                graph[p].add(item)
+                if kind:
+                    base.setdefault((p, item), set()).add(kind)
+    known = {}
+    for (_, item), kinds in base.items():
+        known[item] = min(max(kinds), known.get(item, max(kinds)))
+    while True:
+        confident = {}
+        for p, items in graph.items():
+            for kind, n in Counter(known[i] for i in items if i in known).items():
+                if n >= seeds and n / len(items) >= least:
+                    confident[p] = (kind, n / len(items), n)
+        scores = defaultdict(Counter)
+        for p, (kind, share, n) in confident.items():
+            for i in graph[p] - known.keys():
+                scores[i][kind] += share * math.log2(n)
+        if not scores:
+            return {p: (kind, share) for p, (kind, share, _) in confident.items()}
+        for i, of in scores.items():
+            known[i] = max((score, kind) for kind, score in of.items())[1]

@@ -109,6 +109,39 @@ def test_shapes_discover_grouped_numbers(spark):
     assert plain == joined and all("[PHONE]" in r[1] for r in plain if 100 <= r[0] < 200)
 
 
+def chain():
+    """Texts in which each context is confident only once the one before has made its instances known."""
+    sizes = [90, 60, 40, 26, 17, 11, 7]
+    items = [[f"user{i}@mail.example.org" for i in range(sizes[0])]]
+    items += [[f"k{k}" + "-x" * (100 * k + i) for i in range(n)] for k, n in enumerate(sizes[1:], 1)]
+    rows = [f"step{'abcdef'[k]} {item} end" for k in range(6) for item in items[k] + items[k + 1]]
+    return list(enumerate(rows))
+
+
+def plain_patterns(texts):
+    sightings = []
+    for text in texts:
+        for s, e, kind in pii.candidates(text or "", pii.base_spans(text or "")):
+            sightings.append((pii.named(text[s:e]), kind, (*pii.context(text, s, e), pii.shape(text[s:e]))))
+    return brute.learned_patterns(sightings)
+
+
+def test_rounds_go_on_until_nothing_is_new(spark, docs, odd):
+    rows = spark.createDataFrame(chain(), "doc_id long, text string")
+    for table in (rows, docs, odd, docs.limit(0)):
+        got = {r.pattern: (r.kind, r.share) for r in pii.learn(pii.scan(table).df).collect()}
+        want = plain_patterns([r.text for r in table.collect()])
+        assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1]) for p in want)
+    assert any("stepf" in p for p in plain_patterns([t for _, t in chain()]))
+    with pytest.raises(RuntimeError):
+        pii.learn(pii.scan(rows).df, rounds=3)
+
+
+def test_long_shapes_stay_apart():
+    a, b = ("1a" * 60 + x for x in ("b-2", "b.2"))
+    assert pii.shape(a) != pii.shape(b) and len(pii.shape(a)) == len("= ") + 64
+
+
 def test_candidates_have_no_length_limits():
     long = "x9" * 100
     assert [text[s:e] for text in (f"call 030 123 4567, id {long} or 12",) for s, e, k in pii.candidates(text, [])] == ["030 123 4567", long]
