@@ -85,13 +85,14 @@ def judged_plans(t):
     return rows.select("conv_id", "judged", "score", "order_ok", F.col("n_missing").cast("int").alias("n_missing"), steps.alias("steps"), F.array_join("unjudged", ",").alias("unjudged"))
 
 
-@query("""WITH k AS (SELECT lower(trim(text)) AS key, max(item_id) AS item_id, arg_max(length(text), item_id) AS n_chars FROM benchmark WHERE text IS NOT NULL GROUP BY 1),
-  r AS (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))))) AS key FROM documents WHERE text IS NOT NULL)
-  SELECT matched, count(*) AS n, count(DISTINCT doc_id) AS n_docs, count(DISTINCT item_id) AS n_items, sum(n_chars) AS n_chars FROM (SELECT *, k.key IS NOT NULL AS matched FROM r LEFT JOIN k USING (key)) GROUP BY matched""")
+@query("""WITH k AS (SELECT lower(trim(text)) AS key, max(doc_id) AS kit_id, arg_max(quality, doc_id) AS quality FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY 1),
+  r AS (SELECT source, kit_id, quality FROM documents LEFT JOIN k ON k.key = lower(trim(text)))
+  SELECT source, count(*) AS n, count(kit_id) AS n_matched, count(*) - count(kit_id) AS n_unmatched, count(DISTINCT kit_id) AS n_kit, count(*) FILTER (WHERE quality = 1) AS n_good FROM r GROUP BY source""")
 def results_in_kit(t):
-    """Lines of all documents joined to the benchmark items that they are; lines that are none stay and are counted."""
-    key = lambda c: F.lower(F.trim(c))
-    kit = t.benchmark.select(key(F.col("text")).alias("key"), "item_id", F.length("text").cast("long").alias("n_chars"))
-    results = t.documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", key(F.col("line")).alias("key"))
-    joined = J.joined_results(results, kit, "key", "item_id")
-    return joined.groupBy("matched").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item_id").alias("n_items"), F.sum("n_chars").alias("n_chars"))
+    """All documents joined to the labelled document of the same text, unmatched ones counted too; digests are joined, not texts."""
+    key = F.sha2(F.lower(F.trim("text")).cast("binary"), 256).alias("key")
+    kit = t.documents.join(t.labels, "doc_id").select(key, F.col("doc_id").alias("kit_id"), "quality")
+    joined = J.joined_results(t.documents.select("source", key), kit, "key", "kit_id")
+    return joined.groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.count_if(~F.col("matched")).alias("n_unmatched"), F.count_distinct("kit_id").alias("n_kit"), F.count_if(F.col("quality") == 1).alias("n_good")
+    )
