@@ -92,31 +92,47 @@ def preference(verb: Column, polarity: Column) -> Column:
     return rank.cast("int")
 
 
+def _by_kind(entries: DataFrame, key: str, entry: str) -> DataFrame:
+    """``key, kinds``: the least entry of each polarity under a key, in one row; all that a choice by verb can take."""
+    least = entries.where(F.col(key).isNotNull()).groupBy(key, "polarity").agg(F.min(entry).alias("least"))
+    return least.groupBy(key).agg(F.collect_list(F.struct("polarity", "least")).alias("kinds"))
+
+
+def _serving(verb: Column, kinds: Column) -> Column:
+    """``rank, least`` of the entry that serves a verb best, of :func:`_by_kind`."""
+    return F.array_min(F.transform(kinds, lambda k: F.struct(preference(verb, k["polarity"]).alias("rank"), k["least"].alias("least"))))
+
+
 def siblings(asked: DataFrame, entries: DataFrame) -> DataFrame:
     """``query_id, entry_id``: of the entries on the node that was found, the one that serves the verb best.
 
     ``asked``: query_id, entry_id (found), verb; ``entries``: entry_id, node, polarity.
-    An entry without a node stays itself.
+    An entry without a node stays itself.  A node is one row with the least entry of
+    each polarity, so a query meets one row however many entries its node has.
     """
     found = asked.join(entries.select("entry_id", "node"), "entry_id", "left")
-    all_ = entries.select("node", F.col("entry_id").alias("sibling"), "polarity")
-    best = F.min_by("sibling", F.struct(preference(F.col("verb"), F.col("polarity")), "sibling"))
-    return found.join(all_, "node", "left").groupBy("query_id").agg(F.coalesce(best, F.first("entry_id")).alias("entry_id"))
+    met = found.join(_by_kind(entries, "node", "entry_id"), "node", "left").withColumn("b", _serving(F.col("verb"), F.col("kinds")))
+    return met.groupBy("query_id").agg(F.coalesce(F.min("b")["least"], F.first("entry_id")).alias("entry_id"))
 
 
 def by_rules(asked: DataFrame, entries: DataFrame) -> DataFrame:
     """``query_id, entry_id, how``: an entry whose name is the step's leaf, else one whose description holds it; then by verb.
 
     ``asked``: query_id, leaf, verb; ``entries``: entry_id, name, description, polarity.
-    Names meet by equality; for leaves that find none, descriptions are looked up by
-    the leaf's first word and then searched for the whole phrase.
+    Names meet by equality.  So do descriptions: their runs of as many words as some
+    leaf has are phrases.  A name or phrase is one row with the least entry of each
+    polarity, so a query meets one row however many entries bear it.
     """
     low = lambda c: F.lower(F.trim(c))
     q = asked.select("query_id", low("leaf").alias("leaf"), "verb").where("leaf <> ''")
-    rank = F.struct(preference(F.col("verb"), F.col("polarity")), "entry_id")
-    pick = lambda rows, how: rows.groupBy("query_id").agg(F.min_by("entry_id", rank).alias("entry_id")).withColumn("how", F.lit(how))
-    exact = pick(q.join(entries.select("entry_id", "polarity", low("name").alias("leaf")), "leaf"), "name")
-    words = entries.select("entry_id", "polarity", low("description").alias("d")).withColumn("word", F.explode(F.array_distinct(F.split("d", "[^a-z0-9]+"))))
-    rest = q.join(exact, "query_id", "left_anti").withColumn("word", F.element_at(F.split("leaf", "[^a-z0-9]+"), 1))
-    held = rest.join(words, "word").where(F.concat(F.lit(" "), F.regexp_replace("d", "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("leaf", "[^a-z0-9]+", " "), F.lit(" "))))
-    return exact.unionByName(pick(held, "description"))
+    pick = lambda rows, how: rows.withColumn("b", _serving(F.col("verb"), F.col("kinds"))).groupBy("query_id").agg(F.min("b")["least"].alias("entry_id")).withColumn("how", F.lit(how))
+    exact = pick(q.join(_by_kind(entries.select("entry_id", "polarity", low("name").alias("leaf")), "leaf", "entry_id"), "leaf"), "name")
+    tokens = lambda c: F.split(c, "[^a-z0-9]+")
+    rest = q.join(exact, "query_id", "left_anti").withColumn("phrase", F.array_join(tokens("leaf"), " "))
+    sizes = q.agg(F.collect_set(F.size(tokens("leaf"))).alias("sizes"))  # one row
+    # entries of one description count once
+    told = entries.select("entry_id", "polarity", low("description").alias("d")).groupBy("d", "polarity").agg(F.min("entry_id").alias("entry_id"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
+    cut = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.size("t")), runs))
+    phrases = told.where("d IS NOT NULL").withColumn("t", tokens("d")).join(F.broadcast(sizes)).select("entry_id", "polarity", F.explode(F.array_distinct(cut)).alias("phrase"))
+    return exact.unionByName(pick(rest.join(_by_kind(phrases, "phrase", "entry_id"), "phrase"), "description"))

@@ -1,5 +1,6 @@
 """Small golden cases of single operators."""
 
+import re
 import random
 
 import pytest
@@ -450,6 +451,44 @@ def test_siblings_and_pages(spark):
     assert guard("Settings > Navigation bar > Buttons", "Settings > Navigation bar") is True and guard("Settings > Volume > Alarm", "alarms in Do Not Disturb") is False
 
 
+def most_rows_of_a_join(rows):
+    """The largest number of rows that a join of the plan has made."""
+    rows.collect()
+    out, todo = 0, [rows._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        kind = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else []
+        out = max(out, p.metrics().apply("numOutputRows").value()) if "Join" in kind else out
+    return out
+
+
+def test_siblings_of_a_large_node_meet_one_row(spark):
+    entries = spark.createDataFrame([(i, "n", ["offURL", "onURL", None][i % 3]) for i in range(3, 603)], "entry_id int, node string, polarity string")
+    asked = spark.createDataFrame([(i, i, "enable") for i in range(3, 303)] + [(1000, 1, "open")], "query_id int, entry_id int, verb string")
+    got = lookup.siblings(asked, entries)
+    assert most_rows_of_a_join(got) <= 301
+    assert {r.query_id: r.entry_id for r in got.collect()} == {i: 4 for i in range(3, 303)} | {1000: 1}
+
+
+def test_rules_of_many_alike_entries_meet_one_row(spark):
+    entries = [(i, "Wi-Fi" if i % 2 else "Other", f"Opens the{' big' if i % 3 else ''} screen, page", ["offURL", "onURL"][i % 2]) for i in range(1, 601)]
+    leaves = ["wi-fi", "the screen", "screen page", "big  screen!", "creen", " Opens the", "page", "page.", "other", ""]
+    asked = [(i, leaves[i % 10], ["enable", "disable"][i // 10 % 2]) for i in range(400)]
+    got = lookup.by_rules(spark.createDataFrame(asked, "query_id int, leaf string, verb string"), spark.createDataFrame(entries, "entry_id int, name string, description string, polarity string"))
+    assert most_rows_of_a_join(got) <= 2000
+    spaced = lambda x: " " + re.sub("[^a-z0-9]+", " ", x) + " "
+    want = {}
+    for q, leaf, verb in asked:
+        leaf = leaf.strip().lower()
+        named = [("name", e) for e in entries if e[1].lower() == leaf]
+        for how, e in named or [("description", e) for e in entries if spaced(leaf) in spaced(e[2].lower())]:
+            rank = (0 if (verb == "enable") == (e[3] == "onURL") else 12, e[0])
+            want[q] = min(want.get(q, (rank, e[0], how)), (rank, e[0], how)) if leaf else None
+    assert {r.query_id: (r.entry_id, r.how) for r in got.collect()} == {q: w[1:] for q, w in want.items() if w}
+
+
 def test_ranges(spark):
     from tessera.operators import ranges
 
