@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.files import stored
+
 RANGES = 200
 
 
@@ -25,9 +27,11 @@ def running(rows: DataFrame, column: str, value: Column, name: str) -> DataFrame
     """The rows with ``name``: the sum of ``value`` over all rows up to this one by ``column``, which must be unique.
 
     Each range is summed on its own; what lies before it comes from a table of one
-    row for each range.
+    row for each range.  The rows are stored first: the order is compared with every
+    cut, and an expression in its place would be evaluated as often.
     """
-    parted = rows.withColumn("range_no", range_of(rows, column)).withColumn("own_value", value)
+    rows = stored(rows.withColumn("own_value", value), "in-order")
+    parted = rows.withColumn("range_no", range_of(rows, column))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES + 1 rows
     offsets = parted.groupBy("range_no").agg(F.sum("own_value").alias("total")).select("range_no", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     inside = F.sum("own_value").over(Window.partitionBy("range_no").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))

@@ -498,6 +498,33 @@ def test_ranges(spark):
     assert ranges.numbered(rows.limit(0), "k").count() == 0
 
 
+def test_orders_are_evaluated_once(spark):
+    from tessera.operators import ranges
+
+    rows = spark.range(300).select(F.concat(F.when(F.col("id").cast("string").rlike("7"), "b").otherwise("a"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("k"))
+    got = ranges.numbered(rows, "k")
+    assert "RLIKE" not in got._jdf.queryExecution().toString()
+    assert [r.k for r in got.orderBy("no").collect()] == sorted(r.k for r in rows.collect())
+
+
+def test_word_breaks_gather_without_joining_back(spark):
+    words = spark.createDataFrame([("turnoffwifi",), ("turnoffwifi",), (None,), ("",), ("on" * 201,), ("qqq",)], "word string")
+    known = spark.createDataFrame([("turn", 900), ("off", 800), ("wifi", 700), ("on", 950)], "word string, n long")
+    got = repair.word_breaks(words, known)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
+    assert sorted((str(r.word), str(r.pieces)) for r in got.collect()) == [("", "")] + [("None", "None"), ("on" * 201, "on" * 201), ("qqq", "qqq")] + [("turnoffwifi", "turn off wifi")] * 2
+
+
+def test_scrub_bounds_as_its_sql_has_them(spark):
+    import duckdb
+
+    from tessera.queries.texts import _sql_scrub
+
+    text = "jaciónga.LY. éwww.x.y zébc://q ü1.2.3.4ö <  imgé> next a.comé señora.org"
+    want = duckdb.connect().execute(f"SELECT {_sql_scrub('t')} FROM (SELECT ? AS t)", [text]).fetchall()[0][0]
+    assert one(spark, T.scrub(F.col("t"), ascii_bounds=True), t=text) == want != one(spark, T.scrub(F.col("t")), t=text)
+
+
 def test_against_all_in_blocks(spark):
     v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 3)]) for i in range(40)], "vec_id long, embedding array<double>")
     q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("q"))
