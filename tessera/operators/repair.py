@@ -148,21 +148,27 @@ def word_breaks(words: DataFrame, known: DataFrame) -> DataFrame:
     (word, n) by frequency among its V words; an unknown one of four letters or more
     6 and 4 a letter; shorter unknown ones, single letters but a and i, and short
     rare words can't stand.  Pieces meet the dictionary by an equi-join, so no task
-    holds it.  Words of over 400 letters stay whole.
+    holds it, and gather with their word's own row, so nothing is joined back.
+    Words of over 400 letters stay whole.
     """
     order = F.concat(F.lpad((F.lit(10**15) - F.col("n")).cast("string"), 16, "0"), F.col("word"))
     ranked = numbered(known.select("word", order.alias("o")), "o", "rank").select("word", (F.col("rank") - 1).alias("rank"))
     size = math.log(known.count() + 2)
     stands = F.when(F.length("word") == 1, F.col("word").isin("a", "i")).when(F.length("word") <= 3, F.col("rank") <= FRAGMENT_RANK).otherwise(True)
     costs = ranked.where(stands & (F.length("word") <= LONGEST_PIECE)).select(F.col("word").alias("piece"), F.log((F.col("rank") + 1) * size).alias("cost"))
-    short = words.where(F.length("word") <= LONGEST_WORD).distinct()
+    each = words.groupBy("word").agg(F.count("*").alias("times"))
+    short = each.where(F.length("word").between(1, LONGEST_WORD))
     places = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_PIECE), F.length("word") - i + 1)), lambda k: F.struct(i.alias("at"), F.substr("word", i, k).alias("piece")))))
-    met = short.where("length(word) > 0").select("word", F.explode(places).alias("p")).select("word", "p.at", "p.piece").join(costs, "piece")
-    by_word = met.groupBy("word").agg(F.collect_list(F.struct("at", F.length("piece").alias("size"), "cost")).alias("known"))
+    met = short.select("word", F.explode(places).alias("p")).select("word", "p.at", "p.piece").join(costs, "piece")
+    found = met.select("word", F.lit(0).cast("long").alias("times"), F.struct("at", F.length("piece").alias("size"), "cost").alias("known"))
+    own = each.select("word", "times", F.lit(None).cast(found.schema["known"].dataType).alias("known"))
+    by_word = own.unionByName(found).groupBy("word").agg(F.sum("times").alias("times"), F.collect_list("known").alias("known"))
 
     @F.pandas_udf(StringType())
     def cut(word: pd.Series, found: pd.Series) -> pd.Series:
         def one(w, pieces):
+            if w is None or len(w) > LONGEST_WORD:
+                return w
             n = len(w)
             price = {(p["at"] - 1, p["size"]): p["cost"] for p in (pieces if pieces is not None else ())}
             best = [(0.0, 0)] + [(math.inf, 0)] * n
@@ -182,5 +188,5 @@ def word_breaks(words: DataFrame, known: DataFrame) -> DataFrame:
 
         return pd.Series([one(w, f) for w, f in zip(word, found)])
 
-    done = short.join(by_word, "word", "left").select("word", cut("word", "known").alias("pieces"))
-    return words.join(done, "word", "left").select("word", F.coalesce("pieces", "word").alias("pieces"))
+    done = by_word.select("word", "times", cut("word", "known").alias("pieces"))
+    return done.select("word", "pieces", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("word", "pieces")
