@@ -10,6 +10,7 @@ from tessera.functions.lexicon import sql_list
 from tessera.operators import prompts, repair, segments, slots
 from tessera.operators.ranges import numbered
 from tessera.queries.registry import query
+from tessera.sources import files
 
 _STOP = sql_list(T.RANK_STOP)
 _CONTENT_STOP = sql_list(T.STOPWORDS + T.UI_VERBS)
@@ -46,13 +47,13 @@ def _sql_scrub(column: str) -> str:
 @query(f"SELECT page_id, {_sql_scrub('html')} AS clean, substr(sha256({_sql_scrub('html')}), 1, 16) AS hash FROM pages")
 def scrub_pages(t):
     """Pages without markup, links and addresses, with the hash of what is left."""
-    return t.pages.select("page_id", T.scrub(F.col("html")).alias("clean")).withColumn("hash", T.short_hash(F.col("clean")))
+    return t.pages.select("page_id", T.scrub(F.col("html"), ascii_bounds=True).alias("clean")).withColumn("hash", T.short_hash(F.col("clean")))
 
 
 @query(f"SELECT doc_id, md5({_sql_scrub('text')}) AS clean_md5, length({_sql_scrub('text')}) AS n_clean FROM documents")
 def scrub_docs(t):
     """Digest and length of each scrubbed document."""
-    clean = T.scrub(F.col("text"))
+    clean = T.scrub(F.col("text"), ascii_bounds=True)
     return t.documents.select("doc_id", F.md5(clean.cast("binary")).alias("clean_md5"), F.length(clean).cast("long").alias("n_clean"))
 
 
@@ -203,7 +204,7 @@ def spell_candidates(t):
 @query()
 def word_break(t):
     """Glued words cut into the likeliest frequent ones."""
-    w = t.documents.select(F.explode(T.words(F.col("text"), "[a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    w = files.stored(t.documents.select(F.explode(T.words(F.col("text"), "[a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
     return repair.word_breaks(w.where("n = 1 AND length(word) >= 12").select("word"), w.where("n >= 100"))
 
 
