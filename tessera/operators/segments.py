@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.steps import let
+
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, line``: the lines that are not blank, numbered from 1 with the blank ones."""
@@ -23,16 +25,27 @@ def preamble(text: Column) -> Column:
     pre = F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
     rest = F.when(at > 0, F.substr(text, at)).otherwise(F.lit(""))
     crumb = r"^\s*([^\n()]{1,600}?)\(\s*([^()\n]{1,600}?)\s*\)\s*:\s*"
-    head, cats = F.trim(F.regexp_extract(pre, crumb, 1)), squash(F.regexp_extract(pre, crumb, 2))
-    is_crumb = (cats != "") & squash(head).startswith(cats)
-    # how far the categories reach into the head, which may space them otherwise
-    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1))), F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at")), lambda a, i: F.when(a["seen"] >= F.length(cats), a).otherwise(
-        F.struct((a["seen"] + F.substr(head, i, F.lit(1)).rlike(r"\S").cast("int")).alias("seen"), i.alias("at"))
-    ))["at"]
-    name = F.when(is_crumb, F.regexp_replace(F.substr(head, walk + 1), r"^[ ,:]+|[ ,:]+$", "")).otherwise(F.lit(""))
+    words = F.struct(F.trim(F.regexp_extract(pre, crumb, 1)).alias("head"), squash(F.regexp_extract(pre, crumb, 2)).alias("cats"))
+
+    def title(w: Column) -> Column:
+        """What follows the categories in the head, which may space them otherwise; null: no breadcrumb."""
+        n = F.length(w["cats"])
+        size = lambda a, x: a["seen"] + F.length(x)
+        # the categories' letters are passed by, with the blanks between: by words, not by letters
+        step = lambda a, x: F.when(a["seen"] >= n, F.struct(a["seen"].alias("seen"), F.concat(a["left"], x).alias("left"))).when(x.rlike(r"^\s"), a).otherwise(
+            F.struct(size(a, x).alias("seen"), F.when(size(a, x) > n, F.substr(x, n - a["seen"] + 1)).otherwise(F.lit("")).alias("left"))
+        )
+        left = lambda: F.aggregate(F.regexp_extract_all(w["head"], F.lit(r"(\S+|\s+)"), F.lit(1)), F.struct(F.lit(0).alias("seen"), F.lit("").alias("left")), step, lambda a: a["left"])
+        is_crumb = (w["cats"] != "") & squash(w["head"]).startswith(w["cats"])
+        return F.when(is_crumb, F.regexp_replace(left(), r"^[ ,:]+|[ ,:]+$", ""))
+
     label = (at > 0) & ~pre.rlike(r"(?s)\S.*\n.*\S") & ~pre.rlike(r"[.!?]\s")
-    intro = F.when(is_crumb, F.regexp_replace(pre, crumb, "")).when(label, F.lit("")).otherwise(pre)
-    return F.struct(name.alias("title"), F.regexp_replace(intro, r"^\s+|\s+$", "").alias("intro"), rest.alias("rest"))
+
+    def parts(name: Column) -> Column:
+        intro = F.when(name.isNotNull(), F.regexp_replace(pre, crumb, "")).when(label, F.lit("")).otherwise(pre)
+        return F.struct(F.coalesce(name, F.lit("")).alias("title"), F.regexp_replace(intro, r"^\s+|\s+$", "").alias("intro"), rest.alias("rest"))
+
+    return let(words, lambda w: let(title(w), parts))
 
 
 def section_text(heading: Column, body: Column, most: int = 400) -> Column:

@@ -246,7 +246,8 @@ def section_texts(t):
 def preambles(t):
     """Titles, introductions and articles behind breadcrumbs."""
     text = F.concat(F.lit("Phones "), "p_type", F.lit(" "), "p_name", F.lit(" ( Phones"), "p_type", F.lit(" ): Do this first.\n# "), "p_type")
-    return t.part.select("p_partkey", segments.preamble(text).alias("p")).select("p_partkey", "p.title", "p.intro", "p.rest")
+    parts = t.part.repartition(2 * t.spark.sparkContext.defaultParallelism)  # a small file is one task, however many rows it has
+    return parts.select("p_partkey", segments.preamble(text).alias("p")).select("p_partkey", "p.title", "p.intro", "p.rest")
 
 
 @query(r"""SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS n_words, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]*'), lambda w: regexp_matches(w, '[a-z]') AND (w IN (""" + sql_list(T.STOPWORDS + T.UI_VERBS) + """) OR w IN ('est', 'der', 'las')))) > 0 AS readable FROM conversations""")
