@@ -525,6 +525,22 @@ def test_scrub_bounds_as_its_sql_has_them(spark):
     assert one(spark, T.scrub(F.col("t"), ascii_bounds=True), t=text) == want != one(spark, T.scrub(F.col("t")), t=text)
 
 
+def test_best_against_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    rng = random.Random(3)
+    few = [[rng.gauss(0, 1) for _ in range(9)] for _ in range(5)]
+    rows = [(i, rng.choice(few) if i % 3 else [rng.gauss(0, 1) for _ in range(9)]) for i in range(400)] + [(1000, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 20 = 0")
+    plain = retrieval.top(retrieval.scored_against_all(v, q.where("embedding IS NOT NULL"), (F.col("vec_id") % 3).cast("string").alias("kind")).where("score IS NOT NULL"), ["query_id", "kind"], [F.desc("score"), F.col("vec_id")], 4)
+    got = retrieval.best_against_all(v, q, 4, F.col("vec_id") % 3)
+    columns = ["query_id", "vec_id", "kind", "score"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+    # every pair is scored in a block, none is a row
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_against_all_in_blocks(spark):
     v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 3)]) for i in range(40)], "vec_id long, embedding array<double>")
     q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("q"))
