@@ -80,7 +80,8 @@ _COS = "round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / s
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE source WHEN 'kit' THEN 0 ELSE 1 END, entry_id) AS rn FROM s WHERE score >= 0.25) SELECT query_id, entry_id, score, source FROM r WHERE rn = 1""")
 def two_source_best(t):
     """The best of two tables for each query; the first table wins ties."""
-    s = R.scored_against_all(t.embeddings, t.embeddings.where("vec_id % 100 = 0")).select("query_id", F.col("vec_id").alias("entry_id"), "score", F.when(F.col("vec_id") % 2 == 0, "kit").otherwise("cache").alias("source"))
+    source = F.when(F.col("vec_id") % 2 == 0, "kit").otherwise("cache")
+    s = R.best_against_all(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 1, source).select("query_id", F.col("vec_id").alias("entry_id"), "score", F.col("kind").alias("source"))
     return R.top(s.where("score >= 0.25"), ["query_id"], [F.desc("score"), F.desc("source"), "entry_id"], 1).drop("rank")
 
 
