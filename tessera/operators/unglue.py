@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.steps import let
 from tessera.operators.repair import FRAGMENT_RANK, LONGEST_PIECE, LONGEST_WORD, UNKNOWN, UNKNOWN_LEAST, UNKNOWN_LETTER, glued, inflected, spaced
 from tessera.sources.files import stored
 
@@ -29,27 +30,30 @@ def own_words(texts: DataFrame, keys: list[str], text: str, ranks: DataFrame) ->
     return known.select(*keys, F.explode(forms).alias("word")).distinct()
 
 
-def _price(rank: Column, piece: Column, scale: float) -> Column:
-    """What a piece costs by its rank (null: unknown); infinite where it can't stand."""
-    n = F.length(piece)
-    known = F.log((rank + 1) * scale)
-    unknown = F.when(n >= UNKNOWN_LEAST, UNKNOWN + UNKNOWN_LETTER * n).otherwise(math.inf)
-    single = F.when(piece.isin("a", "i") & rank.isNotNull(), known).otherwise(math.inf)
-    return F.when(n == 1, single).when(rank.isNull() | ((n <= 3) & (rank > FRAGMENT_RANK)), unknown).otherwise(known)
+def _price(rank: Column, size: Column, scale: float) -> Column:
+    """What a known piece costs by its rank; null where it counts as unknown. One letter is a piece if it is a word (a, i)."""
+    return F.when((size > 1) & (size <= 3) & (rank > FRAGMENT_RANK), None).otherwise(F.log((rank + 1) * scale))
 
 
-def _cut(grid: Column, n: Column) -> Column:
+def _cut(hits: Column, n: Column) -> Column:
     """Sizes of the pieces of the cheapest cut, in order; null if there is none.
 
-    ``grid[i][k - 1]``: what the piece of size k from i costs.  Of equally cheap cuts
-    the one whose last piece starts first holds.
+    ``hits``: ``end, at, cost`` of the known pieces, in this order.  Any other piece is unknown
+    and costs by its size, if it has letters enough.  Of equally cheap cuts the one
+    whose last piece starts first holds.
     """
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("back"))
+    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("back"), F.lit(0).alias("seen"))
 
     def step(s: Column, end: Column) -> Column:
-        starts = F.sequence(F.greatest(end - LONGEST_PIECE, F.lit(0)), end - 1)
-        least = F.array_min(F.transform(starts, lambda at: F.struct((F.get(s["best"], at) + F.get(F.get(grid, at), end - at - 1)).alias("cost"), at.alias("at"))))
-        return F.struct(F.concat(s["best"], F.array(least["cost"])).alias("best"), F.concat(s["back"], F.array(least["at"])).alias("back"))
+        own = F.filter(F.slice(hits, s["seen"] + 1, LONGEST_PIECE), lambda h: h["end"] == end)
+        known = F.transform(own, lambda h: F.struct((F.get(s["best"], h["at"]) + h["cost"]).alias("cost"), h["at"].alias("at")))
+        starts = F.when(end >= UNKNOWN_LEAST, F.sequence(F.greatest(end - LONGEST_PIECE, F.lit(0)), F.greatest(end - UNKNOWN_LEAST, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        free = F.filter(starts, lambda at: ~F.exists(own, lambda h: h["at"] == at))
+        unknown = F.transform(free, lambda at: F.struct((F.get(s["best"], at) + (UNKNOWN + UNKNOWN_LETTER * (end - at))).alias("cost"), at.alias("at")))
+        none = F.struct(F.lit(math.inf).alias("cost"), (end - 1).alias("at"))
+        return let(F.coalesce(F.array_min(F.concat(known, unknown)), none), lambda least: F.struct(
+            F.concat(s["best"], F.array(least["cost"])).alias("best"), F.concat(s["back"], F.array(least["at"])).alias("back"), (s["seen"] + F.size(own)).alias("seen")
+        ))
 
     def trace(s: Column) -> Column:
         # from the end: the sizes found so far, and where the next piece ends
@@ -66,21 +70,31 @@ def run_cuts(runs: DataFrame, keys: list[str], ranks: DataFrame, article: DataFr
 
     ``runs``: keys, word (lower case, up to 400 letters); ``ranks``: word, rank (0 is the
     most frequent); ``article``: keys, word; ``corpus``: word.
+
+    Runs bear numbers, and of a run's pieces only those go on that some list knows,
+    each as its place and rank: what is shuffled are known pieces, not a run for each of its pieces.
     """
     scale = math.log(ranks.count() + 2)
-    each = runs.select(*keys, "word").distinct().where(F.length("word").between(1, LONGEST_WORD))
-    at = F.sequence(F.lit(0), F.length("word") - 1)
-    places = each.select(*keys, "word", F.explode(at).alias("_at")).select(*keys, "word", "_at", F.posexplode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_PIECE), F.length("word") - F.col("_at"))), lambda k: F.substr("word", F.col("_at") + 1, k))).alias("_k", "_piece"))
+    each = stored(runs.select(*keys, "word").distinct().where(F.length("word").between(1, LONGEST_WORD)).withColumn("_run", F.monotonically_increasing_id()), "runs")
     # one look-up for each different piece, not for each place
     frequent = F.when(F.col("_common"), F.least(F.col("rank"), F.greatest(F.floor(F.col("rank") / CORPUS_DIVISOR), F.lit(ARTICLE_RANK)))).otherwise(F.col("rank"))
     known = ranks.select(F.col("word").alias("_piece"), "rank").join(corpus.select(F.col("word").alias("_piece")).distinct().withColumn("_common", F.lit(True)), "_piece", "left").select("_piece", "rank", frequent.alias("_usual"))
     own = article.select(*keys, F.col("word").alias("_piece")).distinct().withColumn("_own", F.lit(True))
-    met = places.join(known, "_piece", "left").join(own, [*keys, "_piece"], "left")
-    rank = F.when(F.col("_own"), F.least(F.coalesce("rank", F.lit(ARTICLE_RANK)), F.lit(ARTICLE_RANK))).otherwise(F.col("_usual"))
-    priced = met.select(*keys, "word", "_at", "_k", _price(rank, F.col("_piece"), scale).alias("cost"))
-    rows = priced.groupBy(*keys, "word", "_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "cost"))), lambda x: x["cost"]).alias("_costs"))
-    grids = rows.groupBy(*keys, "word").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_costs"))), lambda x: x["_costs"]).alias("_grid"))
-    return grids.select(*keys, "word", _cut(F.col("_grid"), F.length("word")).alias("sizes"))
+    listed = known.join(own.select("_piece").distinct(), "_piece", "full").where(F.length("_piece").between(1, LONGEST_PIECE) & ((F.length("_piece") > 1) | (F.col("_piece").isin("a", "i") & F.col("rank").isNotNull())))
+    listed = stored(listed, "listed")
+    at = F.sequence(F.lit(0), F.length("word") - 1)
+    places = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_PIECE), F.length("word") - i)), lambda k: F.struct(i.alias("at"), F.substr("word", i + 1, k).alias("piece")))))
+    met = each.select(*keys, "_run", F.explode(places).alias("_p")).select(*keys, "_run", F.col("_p.at").alias("_at"), F.col("_p.piece").alias("_piece")).join(listed, "_piece")
+    # an article's own words count where their rank isn't better already
+    settled = F.coalesce(F.col("rank") <= ARTICLE_RANK, F.lit(False))
+    size = F.length("_piece")
+    plain = met.where(settled).select("_run", "_at", size.alias("_k"), _price(F.col("rank"), size, scale).alias("cost"))
+    looked = met.where(~settled).join(own, [*keys, "_piece"], "left")
+    rank = F.when(F.col("_own"), F.lit(ARTICLE_RANK)).otherwise(F.col("_usual"))
+    priced = plain.unionByName(looked.select("_run", "_at", size.alias("_k"), _price(rank, size, scale).alias("cost"))).where("cost IS NOT NULL")
+    hits = priced.groupBy("_run").agg(F.array_sort(F.collect_list(F.struct((F.col("_at") + F.col("_k")).alias("end"), F.col("_at").alias("at"), "cost"))).alias("_hits"))
+    none = F.array().cast("array<struct<end:int,at:int,cost:double>>")
+    return each.join(hits, "_run", "left").withColumn("_hits", F.coalesce("_hits", none)).select(*keys, "word", _cut(F.col("_hits"), F.length("word")).alias("sizes"))
 
 
 def unglued(texts: DataFrame, keys: list[str], text: str, ranks: DataFrame, corpus: DataFrame) -> DataFrame:
