@@ -63,15 +63,19 @@ def impact_index(docs: DataFrame, key: str, fields: dict[str, float], terms: Dat
     # sizes first: what stands beside a generator is evaluated for each of its rows
     sized = split.select("key", length.cast("double").alias("len"), F.size(F.array_distinct(all_words)).alias("size"), held.alias("held"))
     given = sized.select("key", "len", "size", F.posexplode("held").alias("at", "p"))
-    counted = given.groupBy("key", "len", "size", F.col("p.term").alias("term")).agg(F.sum("p.weight").alias("tf"), F.max(F.col("at") == 0).cast("long").alias("head"))
+    if terms is None:
+        asked = given.withColumn("asked", F.lit(True))
+    else:  # what nobody asks for goes before it is counted, but for the head of each document
+        flags = terms.select(F.col("term").alias("_term")).distinct().withColumn("asked", F.lit(True))
+        asked = given.join(flags, F.col("p.term") == F.col("_term"), "left").where("asked OR at = 0")
+    counted = asked.groupBy("key", "len", "size", F.col("p.term").alias("term")).agg(F.sum("p.weight").alias("tf"), F.max(F.col("at") == 0).alias("head"), F.coalesce(F.max("asked"), F.lit(False)).alias("asked"))
     postings = stored(counted, "postings")
     # the head of each document counts it once
-    documents, total = postings.agg(F.coalesce(F.sum("head"), F.lit(0)), F.sum("tf")).first()
+    documents, total = postings.where("head").agg(F.count("*"), F.sum("len")).first()
     mean = F.lit((total or 1.0) / max(1, documents))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
     level = (LEVELS - F.floor(impact / (K1 + 1) * LEVELS)).cast("int")  # the largest impacts first
-    kept = postings.join(terms.select("term").distinct(), "term", "left_semi") if terms is not None else postings
-    rows = bucketed(kept.select("term", level.alias("level"), "key", impact.alias("impact"), "size"), "impacts", "key", "term", "level")
+    rows = bucketed(postings.where("asked").select("term", level.alias("level"), "key", impact.alias("impact"), "size"), "impacts", "key", "term", "level")
     blocks = stored(rows.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("most")), "blocks")
     return ImpactIndex(rows, blocks, documents)
 
