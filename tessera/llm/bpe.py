@@ -234,6 +234,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
+def border(left: int, right: int) -> int:
+    """Two tokens side by side as one number."""
+    return left << 32 | right
+
+
 class MergeMachine:
     """Token ids of single pieces, learned from a vocabulary file's merge list."""
 
@@ -269,7 +274,7 @@ class MergeMachine:
                 self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
                 self.ends[token[-4:]] = tuple(sorted({len(token), *self.ends.get(token[-4:], ())}, reverse=True))
         self._edges: tuple[dict, dict] = ({}, {})
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by border(): half the memory of pairs
         self._own: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
 
@@ -309,7 +314,7 @@ class MergeMachine:
     def fits(self, left: int, right: int) -> bool:
         """Whether these two tokens can stand side by side in an encoding: no merge
         across their border comes before the merges that build them."""
-        found = self._fits.get((left, right))
+        found = self._fits.get(border(left, right))
         if found is None:
             if len(self._fits) > self.KEPT:
                 self._fits.clear()
@@ -327,7 +332,7 @@ class MergeMachine:
                     i += 1
                 else:
                     j += 1
-            self._fits[left, right] = found
+            self._fits[border(left, right)] = found
         return found
 
     def alone(self, token: int) -> bool:
@@ -525,7 +530,7 @@ class CountMachine:
                 if m.alone(token):
                     return token, size
             else:
-                fit = known.get((before, token))
+                fit = known.get(border(before, token))
                 if m.fits(before, token) if fit is None else fit:
                     return token, size
         raise ValueError("the merge list gives no encoding")
@@ -546,6 +551,10 @@ class CountMachine:
         return counts[-1]
 
 
+#: Bytes of text whose pieces are held at once: many more small strings among the kept ones keep memory from going back.
+TEXT_BYTES = 1 << 17
+
+
 class Tokenizer:
     """Encoding, counting and decoding of whole texts."""
 
@@ -593,7 +602,26 @@ class Tokenizer:
         return "".join(out) + machine.decode(b"", True)
 
 
+class Vocabulary:
+    """A vocabulary file to broadcast: a worker builds its tokenizer once, and it goes when the worker drops the broadcast.
+
+    Workers are used again by other stages, which a tokenizer of the process would burden for good.
+    """
+
+    def __init__(self, spec: str | bytes):
+        self.spec = spec
+        self._made: Tokenizer | None = None
+
+    def __getstate__(self):
+        return {"spec": self.spec, "_made": None}
+
+    def tokenizer(self) -> Tokenizer:
+        if self._made is None:
+            self._made = Tokenizer(self.spec)
+        return self._made
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer_of(spec: bytes) -> Tokenizer:
-    """One tokenizer for each worker process and vocabulary."""
+    """One tokenizer for each process and vocabulary, which stays; tasks take theirs from a :class:`Vocabulary`."""
     return Tokenizer(spec)

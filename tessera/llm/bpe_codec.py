@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import slices
-from tessera.llm.bpe import tokenizer_of
+from tessera.llm.bpe import TEXT_BYTES, Vocabulary
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,12 +26,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     nulls and repeats included; an empty table gives an empty result.
     """
     with open(vocabulary, "rb") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        machine = tokenizer_of(spec.value)
-        for part in slices(batches, "text"):
+        machine = spec.value.tokenizer()
+        for part in slices(batches, "text", TEXT_BYTES):
             ids = machine.encode_batch(part.column("text").to_pylist())
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), n], ["doc_id", "ids", "n_tokens"])
@@ -42,11 +42,11 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, decoded``: the text of every row's ``ids`` (null ids: an empty text)."""
     with open(vocabulary, "rb") as f:
-        spec = encoded.sparkSession.sparkContext.broadcast(f.read())
+        spec = encoded.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
     only = encoded.select("doc_id", F.coalesce(F.col("ids"), F.lit(b"")).alias("ids"))
 
     def run(batches):
-        machine = tokenizer_of(spec.value)
+        machine = spec.value.tokenizer()
         for part in slices(batches, "ids"):
             texts = [machine.decode(x) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
@@ -60,12 +60,12 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     Both directions run in one pass, so that ids don't travel between processes.
     """
     with open(vocabulary, "rb") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        machine = tokenizer_of(spec.value)
-        for part in slices(batches, "text"):
+        machine = spec.value.tokenizer()
+        for part in slices(batches, "text", TEXT_BYTES):
             ids = machine.encode_batch(part.column("text").to_pylist())
             rows = [
                 part.column("doc_id"),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import slices
-from tessera.llm.bpe import tokenizer_of
+from tessera.llm.bpe import TEXT_BYTES, Vocabulary
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,12 +30,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     driver; its content (under 2 MB) goes to the workers as a broadcast.
     """
     with open(vocabulary, "rb") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = docs.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(batches):
-        machine = tokenizer_of(spec.value)
-        for part in slices(batches, "text"):
+        machine = spec.value.tokenizer()
+        for part in slices(batches, "text", TEXT_BYTES):
             n = machine.count_batch(part.column("text").to_pylist())
             size = pc.cast(pc.binary_length(part.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

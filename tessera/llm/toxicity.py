@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +175,7 @@ class Model:
         self.index = BlockMaxIndex([self.vectors.unit(e) for e in entries])
         self.entries = entries
         self.steps: tuple[list[float], list[float]] = ([], [])
-        self._known: dict[tuple, tuple[float, list]] = {}
+        self._known: dict[bytes, tuple[float, list]] = {}
 
     def vote(self, counts, own: tuple[int, float, float] | None = None) -> tuple[float, list]:
         """The neighbours' vote and the nearest of them; ``own`` (entry, toxic, clean) is taken off."""
@@ -199,14 +201,15 @@ class Model:
         counts = self.vectors.counts(text)
         if not counts:
             return self.empty_rate, []
-        found = self._known.get(counts)
+        key = array("q", chain.from_iterable(counts)).tobytes() if len(counts) <= 64 else None  # longer vectors hardly recur
+        found = self._known.get(key)
         if found is None:
             if len(self._known) > 100_000:
                 self._known.clear()
             vote, near = self.vote(counts)
             found = (min(1.0, max(0.0, self.calibrated(vote))), near[:EVIDENCE])
-            if len(counts) <= 64:  # longer vectors hardly recur
-                self._known[counts] = found
+            if key is not None:
+                self._known[key] = found
         return found
 
 
