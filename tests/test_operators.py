@@ -541,6 +541,40 @@ def test_best_against_all_blocks(spark, monkeypatch):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_best_kinds_against_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 64)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 100)
+    monkeypatch.setattr(retrieval, "_PAIRS_AT_ONCE", 7)
+    rng = random.Random(5)
+    few = [[rng.gauss(0, 1) for _ in range(9)] for _ in range(5)]
+    rows = [(i, rng.choice(few) if i % 3 else [rng.gauss(0, 1) for _ in range(9)]) for i in range(200)] + [(1000, None), (1001, [0.0] * 9), (1002, few[0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    kind = F.when(F.col("vec_id") % 7 > 0, F.col("vec_id") % 7).cast("string")
+    some = v.where("embedding IS NOT NULL AND vec_id <> 1001")
+    plain = retrieval.top(retrieval.scored_against_all(some, some, kind.alias("kind")).where("score IS NOT NULL"), ["query_id", "kind"], [F.desc("score"), F.col("vec_id")], 1)
+    got = retrieval.best_against_all(v, v, 1, kind, kinds=2)
+    columns = ["query_id", "vec_id", "kind", "score"]
+
+    def best_two(found):
+        """Of each query the kinds whose best is no less than that of the second kind."""
+        of = {}
+        for q, c, kind, score in map(tuple, found.select(columns).collect()):
+            of.setdefault(q, []).append((score, c, kind))
+        return {q: {x for x in rows if x[0] >= sorted((y[0] for y in rows), reverse=True)[:2][-1]} for q, rows in of.items()}
+
+    assert best_two(got) == best_two(plain) and 1002 in best_two(got) and got.count() < plain.count()
+
+
+def test_nearest_with_margin_asks_for_every_vector(spark, tmp_path):
+    from tessera.queries import QUERIES
+
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.1, 0.0], 1), (3, [1.0, 1.0, 0.0], 2), (57, [0.0, 0.0, 1.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {tuple(r) for r in QUERIES["nearest_with_margin"](spark, str(tmp_path)).select("query_id", "label", "score", "second").collect()}
+    assert got == {(1, 1, 0.995037, 0.707107), (2, 0, 0.995037, 0.773957), (3, 1, 0.773957, 0.707107)}
+
+
 def test_against_all_in_blocks(spark):
     v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 3)]) for i in range(40)], "vec_id long, embedding array<double>")
     q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("q"))
