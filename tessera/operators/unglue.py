@@ -1,19 +1,24 @@
 """Lost spaces put back: words run together are cut by costs that know the article and the corpus.
 
-Everything stays in the JVM.  Pieces of a run meet the ranked dictionary by an
-equi-join, once for all articles; each article then looks its own words up by
-(article, piece).  The cheapest cut is one fold along the run over a grid of costs by
-start and size, so its time is linear in the run's length.
+Places of a run that may hold a piece of the ranked dictionary are told by a map of bits,
+of one size however long the list is.  What a portion of the articles may hold meets the
+dictionary by an equi-join, each piece once, and the prices found gather with the portion.
+There the cheapest cuts of many runs are found together, letter by letter, so the time is
+linear in the runs' letters.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tessera.functions.steps import let
 from tessera.operators.repair import FRAGMENT_RANK, LONGEST_PIECE, LONGEST_WORD, UNKNOWN, UNKNOWN_LEAST, UNKNOWN_LETTER, glued, inflected, spaced
 from tessera.sources.files import stored
 
@@ -35,34 +40,127 @@ def _price(rank: Column, size: Column, scale: float) -> Column:
     return F.when((size > 1) & (size <= 3) & (rank > FRAGMENT_RANK), None).otherwise(F.log((rank + 1) * scale))
 
 
-def _cut(hits: Column, n: Column) -> Column:
-    """Sizes of the pieces of the cheapest cut, in order; null if there is none.
+#: Bits of the numbers of a dictionary's map and of that of the pieces at hand; letters of a portion of articles, letters and sums that a task works on at a time.
+MAP_BITS, SMALL_MAP_BITS = 24, 22
+PORTION_LETTERS, LETTERS_AT_ONCE, SUMS_AT_ONCE = 1 << 20, 1 << 18, 1 << 19
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-    ``hits``: ``end, at, cost`` of the known pieces, in this order.  Any other piece is unknown
-    and costs by its size, if it has letters enough.  Of equally cheap cuts the one
-    whose last piece starts first holds.
-    """
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("back"), F.lit(0).alias("seen"))
 
-    def step(s: Column, end: Column) -> Column:
-        own = F.filter(F.slice(hits, s["seen"] + 1, LONGEST_PIECE), lambda h: h["end"] == end)
-        known = F.transform(own, lambda h: F.struct((F.get(s["best"], h["at"]) + h["cost"]).alias("cost"), h["at"].alias("at")))
-        starts = F.when(end >= UNKNOWN_LEAST, F.sequence(F.greatest(end - LONGEST_PIECE, F.lit(0)), F.greatest(end - UNKNOWN_LEAST, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        free = F.filter(starts, lambda at: ~F.exists(own, lambda h: h["at"] == at))
-        unknown = F.transform(free, lambda at: F.struct((F.get(s["best"], at) + (UNKNOWN + UNKNOWN_LETTER * (end - at))).alias("cost"), at.alias("at")))
-        none = F.struct(F.lit(math.inf).alias("cost"), (end - 1).alias("at"))
-        return let(F.coalesce(F.array_min(F.concat(known, unknown)), none), lambda least: F.struct(
-            F.concat(s["best"], F.array(least["cost"])).alias("best"), F.concat(s["back"], F.array(least["at"])).alias("back"), (s["seen"] + F.size(own)).alias("seen")
-        ))
+def _letters(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The words as one text, its letters as numbers, how many there are from each to its word's end, and the words' sizes."""
+    text, sizes = "".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return text, codes, np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)), sizes
+
+
+def _slots(codes: np.ndarray, salt: np.ndarray | None, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size of a piece, the slots in a map of the pieces that begin at each letter; those of one salt and the same letters are equal."""
+    h = np.zeros(len(codes), np.uint64) if salt is None else salt
+    for k in range(1, min(LONGEST_PIECE, len(codes)) + 1):
+        h = (h[: len(codes) - k + 1] + codes[k - 1 :]) * _FACTOR
+        yield k, ((h ^ (h >> np.uint64(29))) * _MIX) >> np.uint64(64 - bits)
+
+
+def _slots_of(pieces: list[str], salt: np.ndarray | None, bits: int) -> np.ndarray:
+    """The slot of each piece."""
+    _, codes, _, sizes = _letters(pieces)
+    begins, out = np.cumsum(sizes) - sizes, np.zeros(len(pieces), np.int64)
+    for k, slot in _slots(codes, None if salt is None else np.repeat(salt, sizes), bits):
+        out[sizes == k] = slot[begins[sizes == k]]
+    return out
+
+
+def _in_steps(articles: list[list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Articles of about ``LETTERS_AT_ONCE`` letters together: their words, and the place of each word's article."""
+    words, of, letters = [], [], 0
+    for i, own in enumerate(articles):
+        words += own
+        of += [i] * len(own)
+        letters += sum(map(len, own))
+        if words and (letters >= LETTERS_AT_ONCE or i == len(articles) - 1):
+            yield words, np.array(of, np.int64)
+            words, of, letters = [], [], 0
+
 
-    def trace(s: Column) -> Column:
-        # from the end: the sizes found so far, and where the next piece ends
-        begin = F.struct(n.alias("end"), F.array().cast("array<int>").alias("sizes"))
-        back = lambda t, _: F.when(t["end"] > 0, F.struct(F.get(s["back"], t["end"]).alias("end"), F.concat(F.array(t["end"] - F.get(s["back"], t["end"])), t["sizes"]).alias("sizes"))).otherwise(t)
-        found = F.aggregate(F.sequence(F.lit(1), n), begin, back, lambda t: t["sizes"])
-        return F.when(F.get(s["best"], n) < math.inf, found)
+def _pieces_in_map(articles: list[list[str]], listed: np.ndarray) -> list[str]:
+    """The different pieces of the articles' words whose slot is set: all of the map, and a few others."""
+    out = set()
+    for words, _ in _in_steps(articles):
+        text, codes, left, _ = _letters(words)
+        for k, slot in _slots(codes, None, MAP_BITS):
+            out.update([text[p : p + k] for p in np.flatnonzero(listed[slot] & (left[: len(slot)] >= k)).tolist()])
+    return list(out)
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, trace)
+
+def _map_for(pieces: list[str], salt: np.ndarray | None) -> np.ndarray:
+    """A map of pieces at hand."""
+    out = np.zeros(1 << SMALL_MAP_BITS, bool)
+    out[_slots_of(pieces, salt, SMALL_MAP_BITS)] = True
+    return out
+
+
+def _cheapest(words: list[str], of: np.ndarray, known: dict[str, float], listed: np.ndarray, own: dict[int, dict[str, float]]) -> list[list[int] | None]:
+    """Sizes of the pieces of each word's cheapest cut, in order; none if there is no cut.
+
+    ``known``: what known pieces cost, ``listed``: their map; ``own``: by articles, what pieces cost there
+    instead, ``of`` being each word's article.  Any other piece is unknown and costs by its
+    size, if it has letters enough.  Of equally cheap cuts the one whose last piece starts
+    first holds.
+    """
+    text, codes, left, sizes = _letters(words)
+    article, begins = np.repeat(of, sizes), np.cumsum(sizes) - sizes
+    # a row for each letter that ends a piece: what pieces of twenty letters, nineteen and so on cost
+    cost = np.tile([UNKNOWN + UNKNOWN_LETTER * k if k >= UNKNOWN_LEAST else math.inf for k in range(LONGEST_PIECE, 0, -1)], (len(codes), 1))
+
+    def put(k: int, at: np.ndarray, prices: list[float]) -> None:
+        price = np.array(prices, float)
+        told = ~np.isnan(price)
+        cost[at[told] + k - 1, LONGEST_PIECE - k] = price[told]
+
+    for k, slot in _slots(codes, None, SMALL_MAP_BITS):
+        at = np.flatnonzero(listed[slot] & (left[: len(slot)] >= k))
+        put(k, at, [known.get(text[p : p + k], math.nan) for p in at.tolist()])
+    here = {a: own[a] for a in np.unique(of).tolist()}
+    salt = lambda articles: (np.asarray(articles, np.uint64) + np.uint64(1)) * _MIX
+    mine = _map_for([p for prices in here.values() for p in prices], np.repeat(salt(list(here)), [len(prices) for prices in here.values()]))
+    for k, slot in _slots(codes, salt(article), SMALL_MAP_BITS):
+        at = np.flatnonzero(mine[slot] & (left[: len(slot)] >= k))
+        put(k, at, [here[a].get(text[p : p + k], math.nan) for a, p in zip(article[at].tolist(), at.tolist())])
+    out, order, done = [None] * len(words), np.argsort(-sizes, kind="stable"), 0
+    while done < len(order):
+        longest = int(sizes[order[done]])
+        rows = order[done : done + max(1, SUMS_AT_ONCE // (LONGEST_PIECE + longest))]
+        done += len(rows)
+        best, back = np.full((len(rows), LONGEST_PIECE + longest + 1), math.inf), np.zeros((len(rows), longest + 1), np.uint8)
+        best[:, LONGEST_PIECE] = 0  # before it lies nothing that a piece could follow
+        for end in range(1, longest + 1):
+            live = int(np.searchsorted(-sizes[rows], -end, side="right"))  # longer words come first
+            sums = best[:live, end : end + LONGEST_PIECE] + cost[begins[rows[:live]] + end - 1]
+            least = sums.argmin(axis=1)
+            best[:live, LONGEST_PIECE + end] = sums[np.arange(live), least]
+            back[:live, end] = LONGEST_PIECE - least
+        there = best[np.arange(len(rows)), LONGEST_PIECE + sizes[rows]] < math.inf
+        for row, w, end in zip(back[there].tolist(), rows[there].tolist(), sizes[rows[there]].tolist()):
+            pieces = []
+            while end:
+                pieces.append(row[end])
+                end -= row[end]
+            out[w] = pieces[::-1]
+    return out
+
+
+def _map_of(pieces: DataFrame) -> np.ndarray:
+    """The map of a column of pieces, in bytes of eight bits: a task works its part out, bits of one byte are joined."""
+
+    @F.pandas_udf("long")
+    def slot(piece: pd.Series) -> pd.Series:
+        return pd.Series(_slots_of(piece.tolist(), None, MAP_BITS))
+
+    byte = pieces.select(slot(pieces.columns[0]).alias("slot")).groupBy(F.floor(F.col("slot") / 8).alias("byte"))
+    set_bits = byte.agg(F.bit_or(F.expr("shiftright(128, cast(slot % 8 AS int))")).alias("bits")).toPandas()
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    out[set_bits["byte"].to_numpy(dtype=np.int64)] = set_bits["bits"].to_numpy(dtype=np.uint8)
+    return out
 
 
 def run_cuts(runs: DataFrame, keys: list[str], ranks: DataFrame, article: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -71,30 +169,47 @@ def run_cuts(runs: DataFrame, keys: list[str], ranks: DataFrame, article: DataFr
     ``runs``: keys, word (lower case, up to 400 letters); ``ranks``: word, rank (0 is the
     most frequent); ``article``: keys, word; ``corpus``: word.
 
-    Runs bear numbers, and of a run's pieces only those go on that some list knows,
-    each as its place and rank: what is shuffled are known pieces, not a run for each of its pieces.
+    An article is a row with its runs, and articles are dealt into portions of bounded size.  Of the
+    pieces of a portion only those go on that are in the dictionary's map, each once; what the
+    dictionary knows of them comes back to the portion.
     """
     scale = math.log(ranks.count() + 2)
-    each = stored(runs.select(*keys, "word").distinct().where(F.length("word").between(1, LONGEST_WORD)).withColumn("_run", F.monotonically_increasing_id()), "runs")
-    # one look-up for each different piece, not for each place
-    frequent = F.when(F.col("_common"), F.least(F.col("rank"), F.greatest(F.floor(F.col("rank") / CORPUS_DIVISOR), F.lit(ARTICLE_RANK)))).otherwise(F.col("rank"))
-    known = ranks.select(F.col("word").alias("_piece"), "rank").join(corpus.select(F.col("word").alias("_piece")).distinct().withColumn("_common", F.lit(True)), "_piece", "left").select("_piece", "rank", frequent.alias("_usual"))
-    own = article.select(*keys, F.col("word").alias("_piece")).distinct().withColumn("_own", F.lit(True))
-    listed = known.join(own.select("_piece").distinct(), "_piece", "full").where(F.length("_piece").between(1, LONGEST_PIECE) & ((F.length("_piece") > 1) | (F.col("_piece").isin("a", "i") & F.col("rank").isNotNull())))
-    listed = stored(listed, "listed")
-    at = F.sequence(F.lit(0), F.length("word") - 1)
-    places = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_PIECE), F.length("word") - i)), lambda k: F.struct(i.alias("at"), F.substr("word", i + 1, k).alias("piece")))))
-    met = each.select(*keys, "_run", F.explode(places).alias("_p")).select(*keys, "_run", F.col("_p.at").alias("_at"), F.col("_p.piece").alias("_piece")).join(listed, "_piece")
-    # an article's own words count where their rank isn't better already
-    settled = F.coalesce(F.col("rank") <= ARTICLE_RANK, F.lit(False))
+    spark, schema = runs.sparkSession, runs.schema
+    each = stored(runs.select(*keys, "word").where(F.length("word").between(1, LONGEST_WORD)).groupBy(*keys).agg(F.collect_set("word").alias("words")), "runs")
+    letters = each.agg(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)))).first()[0] or 0
+    portions = max(4 * spark.sparkContext.defaultParallelism, letters // PORTION_LETTERS)
+    each = each.withColumn("_portion", F.pmod(F.xxhash64(*keys), F.lit(portions)))
     size = F.length("_piece")
-    plain = met.where(settled).select("_run", "_at", size.alias("_k"), _price(F.col("rank"), size, scale).alias("cost"))
-    looked = met.where(~settled).join(own, [*keys, "_piece"], "left")
-    rank = F.when(F.col("_own"), F.lit(ARTICLE_RANK)).otherwise(F.col("_usual"))
-    priced = plain.unionByName(looked.select("_run", "_at", size.alias("_k"), _price(rank, size, scale).alias("cost"))).where("cost IS NOT NULL")
-    hits = priced.groupBy("_run").agg(F.array_sort(F.collect_list(F.struct((F.col("_at") + F.col("_k")).alias("end"), F.col("_at").alias("at"), "cost"))).alias("_hits"))
-    none = F.array().cast("array<struct<end:int,at:int,cost:double>>")
-    return each.join(hits, "_run", "left").withColumn("_hits", F.coalesce("_hits", none)).select(*keys, "word", _cut(F.col("_hits"), F.length("word")).alias("sizes"))
+    common = corpus.select(F.col("word").alias("_piece")).distinct().withColumn("_common", F.lit(True))
+    usual = F.when(F.col("_common"), F.least(F.col("rank"), F.greatest(F.floor(F.col("rank") / CORPUS_DIVISOR), F.lit(ARTICLE_RANK)))).otherwise(F.col("rank"))
+    known = ranks.select(F.col("word").alias("_piece"), "rank").join(common, "_piece", "left").where(size.between(1, LONGEST_PIECE) & ((size > 1) | F.col("_piece").isin("a", "i")))
+    # an article's own words count where their rank isn't better already
+    known = known.select("_piece", _price(usual, size, scale).alias("cost"), (F.col("rank") <= ARTICLE_RANK).alias("settled"))
+    known = stored(known.where("cost IS NOT NULL"), "known")
+    own_cost = spark.range(1).select(_price(F.lit(ARTICLE_RANK), F.lit(LONGEST_PIECE), scale)).first()[0]
+    bits = spark.sparkContext.broadcast(_map_of(known.select("_piece")))
+
+    def may_be_known(articles: pa.Table) -> pa.Table:
+        pieces = _pieces_in_map(articles["words"].to_pylist(), np.unpackbits(bits.value).view(bool))
+        return pa.table({"_portion": pa.array([articles["_portion"][0].as_py()] * len(pieces), pa.int64()), "_piece": pa.array(pieces, pa.string())})
+
+    def cut(articles: pa.Table, prices: pa.Table) -> pa.Table:
+        pieces, words, which, sizes = prices["_piece"].to_pylist(), [], [], []
+        known, settled = dict(zip(pieces, prices["cost"].to_pylist())), {p for p, s in zip(pieces, prices["settled"].to_pylist()) if s}
+        own = {a: {p: own_cost for p in mine or [] if p not in settled and (len(p) > 1 or p in known)} for a, mine in enumerate(articles["_own"].to_pylist())}
+        listed = _map_for(pieces, None)
+        for some, of in _in_steps(articles["words"].to_pylist()):
+            words += some
+            which.append(of)
+            sizes += _cheapest(some, of, known, listed, own)
+        at = np.concatenate(which) if which else np.zeros(0, np.int64)
+        return pa.table([articles[k].take(pa.array(at)) for k in keys] + [pa.array(words, pa.string()), pa.array(sizes, pa.list_(pa.int32()))], names=[*keys, "word", "sizes"])
+
+    met = each.select("_portion", "words").groupBy("_portion").applyInArrow(may_be_known, "_portion long, _piece string").join(known, "_piece")
+    own = article.where(F.length("word").between(1, LONGEST_PIECE)).groupBy(*keys).agg(F.collect_set("word").alias("_own"))
+    whole = each.join(own, keys, "left").select(*keys, "_portion", "words", "_own")
+    shape = StructType([StructField(k, schema[k].dataType) for k in keys] + [StructField("word", StringType()), StructField("sizes", ArrayType(IntegerType()))])
+    return whole.groupBy("_portion").cogroup(met.select("_portion", "_piece", "cost", "settled").groupBy("_portion")).applyInArrow(cut, shape)
 
 
 def unglued(texts: DataFrame, keys: list[str], text: str, ranks: DataFrame, corpus: DataFrame) -> DataFrame:

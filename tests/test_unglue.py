@@ -77,6 +77,40 @@ def test_cuts_are_the_cheapest(spark, ranks):
         assert found[k, run] == plain_cut(run, rank_of, article[k], corpus, math.log(len(rank_of) + 2)), run
 
 
+def test_cuts_in_steps_and_full_maps(monkeypatch):
+    """Words of several articles, a few letters and sums at a time, by maps in which most slots are set."""
+    for name, n in (("LETTERS_AT_ONCE", 40), ("SUMS_AT_ONCE", 90), ("MAP_BITS", 6), ("SMALL_MAP_BITS", 6)):
+        monkeypatch.setattr(U, name, n)
+    rng, scale = random.Random(4), math.log(60)
+    pool = COMMON + RARE + ["blorp", "zz", "q", "\u00e9t\u00e9", "\U0001f600"]
+    rank_of = {w: i if w not in RARE else 20_000 + i for i, w in enumerate(COMMON + RARE)}
+    articles = [list({"".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 9))}) for _ in range(40)]
+    articles[7].append("restartyourdevice" * 23)
+    price = lambda r: math.log((r + 1) * scale)
+    known = {w: price(r) for w, r in rank_of.items() if len(w) > 3 or r <= 10_000}
+    mine = [set(rng.sample(COMMON + RARE + ["blorp", "zz"], 6)) for _ in articles]
+    own = {a: {w: price(min(rank_of.get(w, 100), 100)) for w in ws if len(w) > 1 or w in rank_of} for a, ws in enumerate(mine)}
+    got, told = [], []
+    for words, of in U._in_steps(articles):
+        got += U._cheapest(words, of, known, U._map_for(list(known), None), own)
+        told += zip(of.tolist(), words)
+    assert told == [(a, w) for a, ws in enumerate(articles) for w in ws]
+    assert got == [plain_cut(w, rank_of, mine[a], set(), scale) for a, w in told]
+    listed = U._map_for(list(known), None)
+    met = U._pieces_in_map(articles, listed)
+    whole = " ".join(w for ws in articles for w in ws)
+    assert len(met) == len(set(met)) and {w for w in known if w in whole} <= set(met) and all(p in whole for p in met)
+
+
+def test_pieces_are_not_rows_for_each_place(spark, ranks):
+    """A dictionary's piece is a row of a portion however often its articles hold it, and no other piece is one."""
+    runs = spark.createDataFrame([(k, "restartyourdevice" * n + "qqqq") for k in range(50) for n in (1, 3, 5)], "k int, word string")
+    none = spark.createDataFrame([], "k int, word string")
+    got = U.run_cuts(runs, ["k"], ranks, none, none.select("word"))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r.sizes) for r in got.collect()} == {(7, 4, 6) * n + (4,) for n in (1, 3, 5)}
+
+
 def test_a_ranked_list_counts_first_lines(spark, tmp_path):
     for name, opener in (("words.txt", open), ("words.txt.gz", gzip.open)):
         with opener(tmp_path / name, "wt") as f:
