@@ -10,7 +10,8 @@ linear in the runs' letters.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -149,6 +150,20 @@ def _cheapest(words: list[str], of: np.ndarray, known: dict[str, float], listed:
     return out
 
 
+def _mended(text: str, cuts: dict[str, Sequence[int]]) -> str:
+    """The text with its words of ``cuts`` in pieces of these sizes; what stands together with one is told apart."""
+
+    def apart(token: re.Match) -> str:
+        parts = re.findall("[A-Za-z]+|[0-9]+", token[0]) if len(token[0]) <= LONGEST_WORD else []
+        found = [cuts.get(p.lower()) for p in parts]
+        if all(f is None for f in found):
+            return token[0]
+        ends = [[len(p)] if f is None else np.cumsum(f).tolist() for p, f in zip(parts, found)]
+        return " ".join(p[a:b] for p, at in zip(parts, ends) for a, b in zip([0, *at], at))
+
+    return re.sub("[A-Za-z0-9]+", apart, text)
+
+
 def _map_of(pieces: DataFrame) -> np.ndarray:
     """The map of a column of pieces, in bytes of eight bits: a task works its part out, bits of one byte are joined."""
 
@@ -224,13 +239,14 @@ def unglued(texts: DataFrame, keys: list[str], text: str, ranks: DataFrame, corp
     given = texts.select(*keys, F.col(text).alias("text"))
     rows = stored(given.join(glued(given, keys, "text", ranks), keys).select(*keys, spaced(F.col("text"), F.col("glued")).alias("text"), "glued"), "spaced")
     torn = rows.where("glued")
-    tokens = torn.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), F.lit(1))).alias("_pos", "token"))
-    parts = tokens.where(F.col("token").rlike("^[A-Za-z0-9]") & (F.length("token") <= LONGEST_WORD)).select(*keys, "_pos", F.posexplode(F.regexp_extract_all("token", F.lit("([A-Za-z]+|[0-9]+)"), F.lit(1))).alias("_i", "part"))
-    runs = parts.where(F.col("part").rlike("^[A-Za-z]") & (F.length("part") >= LEAST_RUN)).select(*keys, F.lower("part").alias("word")).distinct().join(ranks.select("word"), "word", "left_anti")
+    tokens = torn.select(*keys, F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))).alias("token")).where(F.length("token") <= LONGEST_WORD)
+    parts = tokens.select(*keys, F.explode(F.regexp_extract_all("token", F.lit("([A-Za-z]+)"), F.lit(1))).alias("part"))
+    runs = parts.where(F.length("part") >= LEAST_RUN).select(*keys, F.lower("part").alias("word")).join(ranks.select("word"), "word", "left_anti")
     cuts = run_cuts(runs, keys, ranks, own_words(torn, keys, "text", ranks), inflected(corpus)).where(F.size("sizes") > 1)
-    ends = F.transform(F.col("sizes"), lambda s, i: F.struct(F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, b: a + b).alias("at"), s.alias("size")))
-    pieces = F.when(F.col("sizes").isNull(), F.array("part")).otherwise(F.transform(ends, lambda e: F.substr("part", e["at"] + 1, e["size"])))
-    met = parts.withColumn("word", F.lower("part")).join(cuts, [*keys, "word"], "left").select(*keys, "_pos", "_i", pieces.alias("pieces"), F.col("sizes").isNotNull().alias("cut"))
-    mended = met.groupBy(*keys, "_pos").agg(F.max("cut").alias("cut"), F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_i", "pieces"))), lambda x: x["pieces"])), " ").alias("words")).where("cut").drop("cut")
-    whole = tokens.join(mended, [*keys, "_pos"], "left").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("words", "token").alias("t")))), lambda x: x["t"]), "").alias("mended"))
-    return rows.join(whole, keys, "left").select(*keys, F.coalesce("mended", "text").alias("text"))
+    by_article = cuts.groupBy(*keys).agg(F.collect_list(F.struct("word", "sizes")).alias("_cuts"))
+
+    @F.pandas_udf("string")
+    def mended(text: pd.Series, words: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([t if w is None else _mended(t, dict(zip(w, s))) for t, w, s in zip(text, words, sizes)], dtype=object)
+
+    return rows.join(by_article, keys, "left").select(*keys, mended("text", "_cuts.word", "_cuts.sizes").alias("text"))

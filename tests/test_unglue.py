@@ -151,3 +151,9 @@ def test_corrections_by_tier_with_two_edits_in_the_lexicon(spark):
 def test_golden_mark_spaces(spark):
     rows = spark.createDataFrame([("a.b e.g. x biometrics,and 8.5 done.Next",)], "t string")
     assert rows.select(repair.spaced(F.col("t"), F.lit(True)).alias("x")).first().x == re.sub(r"(?<=[a-z]{2})([.!?;,])([A-Za-z])(?=[A-Za-z])", r"\1 \2", rows.first().t)
+
+
+def test_parts_are_told_apart_where_one_is_cut():
+    cuts = {"unlockyour": [6, 4], "tapthescreen": [3, 3, 6]}
+    text = "UnlockYour5GB tapthescreen, 5Gx éunlockyour " + "9" * 401 + "unlockyour"
+    assert U._mended(text, cuts) == "Unlock Your 5 GB tap the screen, 5Gx éunlock your " + "9" * 401 + "unlockyour"
